@@ -215,6 +215,11 @@ VIEWS: dict[str, str] = {
         SELECT DATE '1995-01-01' AS month, CAST(COUNT(*) * 9 AS DECIMAL(20, 4)) AS sales_ftc,
                CAST(COUNT(*) * 5000 AS DECIMAL(20, 4)) AS retention_net
         FROM supplier""",
+    "sync_log": f"""
+        SELECT event_type AS table_name, {_AT} - INTERVAL '1' HOUR AS cutoff, event_id % 1000 AS rows,
+               event_id % 5000 AS duration_ms, CASE WHEN event_id % 7 = 0 THEN 'error' ELSE 'success' END AS status,
+               CASE WHEN event_id % 7 = 0 THEN 'timeout' ELSE NULL END AS error, event_id AS run_id, {_AT} AS ran_at
+        FROM events""",
     "dept_history": """
         SELECT s_suppkey AS agent_id, CASE WHEN s_suppkey % 4 = 2 THEN 'Retention' ELSE 'Sales' END AS report_dept,
                DATE '1993-01-01' + CAST(s_suppkey * 97 % 3600 AS INT) AS valid_from,
