@@ -6,6 +6,8 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlight.functions.numeric import round_even
+
 
 def as_date(d: str | date) -> date:
     return d if isinstance(d, date) else date.fromisoformat(d)
@@ -46,7 +48,7 @@ def working_days(first: str | date, last: str | date, holidays: DataFrame) -> Co
 
 def run_rate(value: Column, passed: Column, total: Column, places: int = 0) -> Column:
     """Projection to the whole month; the report layer rounds half to even."""
-    return F.bround(value.cast("double") / F.greatest(passed, F.lit(1)) * total, places)
+    return round_even(value.cast("double") / F.greatest(passed, F.lit(1)) * total, places)
 
 
 def progress(first: str, last: str, today: str, holidays: DataFrame) -> dict[str, Column]:
@@ -57,7 +59,7 @@ def progress(first: str, last: str, today: str, holidays: DataFrame) -> dict[str
     full = working_days(month_start(start), month_end(start), holidays)
     in_range = working_days(start, stop, holidays)
     ratio = (F.lit(1.0) if start.day == 1 else
-             F.when(full == 0, F.lit(1.0)).otherwise(F.bround(in_range / full, 6)))
+             F.when(full == 0, F.lit(1.0)).otherwise(round_even(in_range / full, 6)))
     return {"working_days": total, "working_days_passed": passed, "working_days_left": total - passed,
             "wd_in_range": in_range, "target_ratio": ratio}
 

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlight.functions.numeric import round_even
+
 
 def stack_measures(frames: list[DataFrame], keys: list[str], measures: dict[str, str]) -> DataFrame:
     """One row per key over several aggregates that share some of the keys.
@@ -27,7 +29,7 @@ def stack_measures(frames: list[DataFrame], keys: list[str], measures: dict[str,
 
 def ratio(num: Column, den: Column, places: int = 2, times: int = 1, empty=0.0) -> Column:
     """num / den * times rounded half to even, or `empty` when there is nothing to divide by."""
-    value = F.bround(num.cast("double") / den.cast("double") * times, places)
+    value = round_even(num.cast("double") / den.cast("double") * times, places)
     return F.when(den != 0, value).otherwise(F.lit(empty) if empty is not None else F.lit(None))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.functions import buckets as b, money as m
+from ledgerlight.functions.numeric import round_even
 from ledgerlight.operators.grouping import ratio
 from ledgerlight.plans import views
 
@@ -114,12 +115,12 @@ def with_rates(rows: DataFrame) -> DataFrame:
     net = F.col("deposit") - F.col("withdrawal")
 
     def whole(c: Column) -> Column:
-        return F.bround(c.cast("double"), 0)
+        return round_even(c.cast("double"), 0)
 
     n = F.col("ftc")
     return rows.withColumns({
         "ltv": ratio(net, n), "pct_std": ratio(F.col("rdp"), n, 0, 100), "pct_wd_clients": ratio(F.col("wd_count"), n, 0, 100),
-        "pct_wd_usd": F.when(F.col("deposit") > 0, F.bround(
+        "pct_wd_usd": F.when(F.col("deposit") > 0, round_even(
             F.col("withdrawal").cast("double") / F.col("deposit").cast("double") * 100, 0)).otherwise(0.0),
         "traders_pct": ratio(F.col("traders"), n, 0, 100), "net_deposit": whole(net),
         "deposit": whole(F.col("deposit")), "withdrawal": whole(F.col("withdrawal"))})

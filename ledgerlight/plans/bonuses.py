@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.functions import money as m, tiers
+from ledgerlight.functions.numeric import round_even
 from ledgerlight.operators import keyed
 from ledgerlight.operators.grouping import stack_measures
 from ledgerlight.plans import scoreboards as sb, views
@@ -23,7 +24,7 @@ def retention_bonus(kpis: DataFrame, volume: DataFrame, targets: DataFrame, agen
     where = (F.col("dept") == "Retention") & m.countable_agent() & m.not_department()
     rows = (agents.where(where if access is None else where & access).join(measures, "agent_id", "left")
             .fillna(0, list(spec)))
-    net, target, vol = (F.bround(F.col(c).cast("double"), 2) for c in ("net_usd", "target_net", "open_volume_usd"))
+    net, target, vol = (round_even(F.col(c).cast("double"), 2) for c in ("net_usd", "target_net", "open_volume_usd"))
     rows = (rows.select("agent_id", F.coalesce("office_name", F.lit("N/A")).alias("office_name"),
                         F.coalesce("department", F.lit("N/A")).alias("dept_name"),
                         F.coalesce("agent_name", "full_name", F.lit("N/A")).alias("agent_name"),
@@ -38,9 +39,9 @@ def retention_bonus(kpis: DataFrame, volume: DataFrame, targets: DataFrame, agen
     on_volume = tiers.volume_bonus_pct(vol_ratio, group)
     total = on_net + on_target + on_volume
     return rows.select(
-        *rows.columns, F.bround(net_ratio, 6).alias("target_net_pct"), F.bround(vol_ratio, 6).alias("target_vol_pct"),
+        *rows.columns, round_even(net_ratio, 6).alias("target_net_pct"), round_even(vol_ratio, 6).alias("target_vol_pct"),
         on_net.alias("pct_on_net"), on_target.alias("pct_on_target_net"), on_volume.alias("pct_on_target_vol"),
-        F.bround(total, 6).alias("total_bonus_pct"), F.bround(total * F.col("net_usd"), 2).alias("basic_bonus_usd"),
+        round_even(total, 6).alias("total_bonus_pct"), round_even(total * F.col("net_usd"), 2).alias("basic_bonus_usd"),
     ).orderBy(F.asc_nulls_last("office_name"), "dept_name", "agent_name")
 
 
@@ -100,9 +101,9 @@ def sales_bonus(kpis: DataFrame, bonuses: DataFrame, net: DataFrame, targets: Da
         "agent_id", F.coalesce("office_name", F.lit("N/A")).alias("office_name"),
         F.coalesce("agent_name", "full_name", F.lit("N/A")).alias("agent_name"), target, F.col("ftc").alias("ftc_count"),
         "ftd100_count", "ftd100_full_count", "ftd100_half_count", F.col("net_usd").alias("ftc_net_usd"),
-        "total_sales_net", F.bround(basic, 2).alias("basic_bonus"), hit.alias("sales_target_bonus"),
-        amount.alias("ftd_amount_bonus"), F.bround(basic + hit + amount, 2).alias("total_sales_bonus"),
-        F.bround(count / target, 6).alias("target_pct"), multiplier.alias("multiplier"),
+        "total_sales_net", round_even(basic, 2).alias("basic_bonus"), hit.alias("sales_target_bonus"),
+        amount.alias("ftd_amount_bonus"), round_even(basic + hit + amount, 2).alias("total_sales_bonus"),
+        round_even(count / target, 6).alias("target_pct"), multiplier.alias("multiplier"),
         F.coalesce("status", F.lit("")).alias("status"),
     ).orderBy(F.asc_nulls_last("office_name"), F.desc("ftd100_count"), "agent_name")
 
@@ -137,7 +138,7 @@ def _agent_counts(bonuses: DataFrame, targets: DataFrame, first: str, last: str)
 
 def _client_bonus(counts: Column, ok: Column) -> list[Column]:
     multiplier = tiers.ftd100_multiplier(counts)
-    basic = F.when(F.col("ftd100_type") == "full", multiplier.cast("double")).otherwise(F.bround(multiplier / 2, 2))
+    basic = F.when(F.col("ftd100_type") == "full", multiplier.cast("double")).otherwise(round_even(multiplier / 2, 2))
     return [F.when(ok, basic).otherwise(0.0).alias("basic_bonus"),
             F.when(ok, F.col("amount_raw")).otherwise(0).alias("ftd_amount_bonus")]
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.functions import buckets as b, calendar as cal, money as m
+from ledgerlight.functions.numeric import round_even
 from ledgerlight.operators import deals as dl, filters
 from ledgerlight.operators.grouping import ratio, stack_measures
 from ledgerlight.plans import scoreboards as sb, views
@@ -269,7 +270,7 @@ def table_totals(rows: DataFrame) -> DataFrame:
 
     def weighted(value: str, weight: str) -> Column:
         known = F.col(value).isNotNull() & (F.col(weight) > 0)
-        return F.bround(F.sum(F.when(known, F.col(value) * F.col(weight)))
+        return round_even(F.sum(F.when(known, F.col(value) * F.col(weight)))
                         / F.nullif(F.sum(F.when(known, F.col(weight))), F.lit(0)), 1).alias(value)
 
     return with_rates(rows.agg(*sums, weighted("live_avg_score", "live_accounts"), weighted("ftd_avg_score", "ftd")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.functions import buckets as b, calendar as cal, money as m
+from ledgerlight.functions.numeric import round_even
 from ledgerlight.operators import keyed
 from ledgerlight.operators.grouping import stack_measures
 from ledgerlight.plans import views
@@ -116,7 +117,7 @@ def company_gap(rows: DataFrame, company_targets: DataFrame, first: str) -> Data
     gap = rows.agg(F.coalesce(F.sum("target_ftc"), F.lit(0)).alias("t")).select(
         (company - F.col("t")).alias("gap")).where("gap > 0")
     values = {"office_name": F.lit("General"), "agent_name": F.lit("General"), "dept": F.lit("Sales"),
-              "target_ftc": F.bround(F.col("gap"), 0), "status": F.lit("Active")}
+              "target_ftc": round_even(F.col("gap"), 0), "status": F.lit("Active")}
     types = dict(rows.dtypes)
     nulls = ("agent_id", "avg_score", "daily_avg_score")
     extra = gap.select(*[
@@ -271,7 +272,7 @@ def scoreboard_totals(kpis: DataFrame, volume: DataFrame, accounts: DataFrame, h
             .withColumn("grand_net_rr", cal.run_rate(F.col("grand_net"), passed, total, 2))
             .withColumn("open_volume_rr", F.when(F.col("open_volume") > 0,
                                                  cal.run_rate(F.col("open_volume"), passed, total))
-                        .otherwise(F.bround(F.col("open_volume").cast("double"), 0))))
+                        .otherwise(round_even(F.col("open_volume").cast("double"), 0))))
 
 
 def dashboard(run_rate: DataFrame, volume: DataFrame, accounts: DataFrame, equity: DataFrame, bridge: DataFrame,
