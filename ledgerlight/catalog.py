@@ -80,7 +80,7 @@ def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _load() -> None:
-    from ledgerlight import catalog_queries  # noqa: F401  registers on import
+    from ledgerlight import catalog_operators, catalog_queries  # noqa: F401  register on import
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ledgerlight.catalog import FIRST, LAST, LIVE, Domain, query
 from ledgerlight.functions import buckets as b, calendar as cal, clean, money as m, tiers, typing
 from ledgerlight.operators import compare, deals as dl, filters, grouping, keyed, merge
-from ledgerlight.plans import aging, bonuses, campaigns, equity, jobs, regulatory, scoreboards as sb, traders, views
+from ledgerlight.plans import (aging, bonuses, campaigns, equity, jobs, quality, reconcile, regulatory, scoreboards as sb,
+                               traders, views)
 
 # ---- views -----------------------------------------------------------------------------------------------
 
@@ -432,3 +433,132 @@ def R27_regulatory_income(d: Domain):
 @query
 def R33_volume_per_login(d: Domain):
     return regulatory.volume_per_login(d.deals, d.bridge, d.accounts, FIRST, LAST, REP)
+
+
+# ---- lists, status, reconciliation -----------------------------------------------------------------------
+
+
+@query
+def R28_transactions(d: Domain):
+    return reconcile.transactions(d.money, d.accounts, FIRST, LAST)
+
+
+@query
+def R34_sync_status(d: Domain):
+    return reconcile.sync_status(d.sync_log, "1999-01-16 00:00:00", 8)
+
+
+@query
+def O4_last_runs(d: Domain):
+    return reconcile.last_runs(d.sync_log, 25)
+
+
+@query
+def R37_net_by_source(d: Domain):
+    return reconcile.net_by_source(d.kpis, d.equity, d.balance_ops, ("Deposit Void", "Withdrawal Void", "FRF", "Cash ADVANCE"), 50)
+
+
+@query
+def R38_extra_logins(d: Domain):
+    return reconcile.extra_logins(jobs.equity_by_day(d.equity), equity.bridge_logins(d.bridge, d.accounts, with_equity=True))
+
+
+@query
+def R39_daily_leads(d: Domain):
+    return reconcile.daily_counts(d.accounts.where("created IS NOT NULL"), "created")
+
+
+@query
+def R39_daily_bonuses(d: Domain):
+    return reconcile.daily_counts(d.bonuses, "confirmed", F.col("amount"))
+
+
+@query
+def A15_month_gaps(d: Domain):
+    return reconcile.month_gaps(d.money.where("deleted = 0"), d.money, "confirmed")
+
+
+@query
+def D10_incomplete_months(d: Domain):
+    return jobs.incomplete_months(d.money.where(m.approved()), d.money, "confirmed")
+
+
+@query
+def J20_key_diff(d: Domain):
+    """Logins with equity rows against logins on the live bridge, both ways."""
+    live = equity.bridge_logins(d.bridge, d.accounts)
+    return compare.key_diff(d.equity.select("login"), live, ["login"])
+
+
+@query
+def Q16_missing_by_type(d: Domain):
+    return reconcile.missing_by_type(d.money, d.money.where(m.not_bonus_comment()))
+
+
+# ---- quality ---------------------------------------------------------------------------------------------
+
+
+def _sales(d: Domain):
+    return sb.sales_scoreboard(d.kpis, d.clients, sb.month_targets(d.targets, FIRST), d.agents, FIRST, LAST)
+
+
+def _results(d: Domain):
+    sales = _sales(d)
+    return quality.stack([
+        quality.check_sales(sales), quality.minimum_rows(sales, "Performance", "Sales", 5),
+        quality.coverage(sales, "Performance", "Sales", F.col("target_ftc") > 0),
+        quality.check_totals(sales, sb.kpi_totals(d.kpis, FIRST, LAST)),
+        quality.check_sales_bonus(R15_sales_bonus(d)), quality.check_aging(aging.with_rates(_aging(d, ("days_from_ftc",)))),
+        quality.expected_groups(_aging(d, ("days_from_ftc",)), "Aging", "Groups", "g1", [r[2] for r in b.AGING]),
+        quality.freshness(d.sync_log, ["signup", "error", "purchase", "refund"], "1999-01-16 00:00:00", 8)])
+
+
+@query
+def Q2_Q10_check_results(d: Domain):
+    return _results(d).drop("message", "expected", "actual")
+
+
+@query
+def Q14_sections(d: Domain):
+    return quality.sections(_results(d))
+
+
+@query
+def Q14_score(d: Domain):
+    return quality.score(_results(d))
+
+
+@query
+def Q12_cross_source(d: Domain):
+    return quality.cross_source(d.money.where(m.valid_money()), d.money.where(m.valid_money() & m.not_bonus_comment()),
+                                "payments", "usd", 0.05).drop("message", "expected", "actual")
+
+
+@query
+def Q13_per_agent(d: Domain):
+    """Net by agent from the ledger against net by agent without bonus-commented rows."""
+    left = d.kpis.groupBy("agent_id").agg(F.sum("net_usd").alias("net"))
+    plain = views.daily_kpis(d.money, d.accounts, d.agents, bonus_comments=False)
+    right = plain.groupBy("agent_id").agg(F.sum("net_usd").alias("net"))
+    return quality.per_agent(left, right, "agent_id", "net").drop("expected", "actual")
+
+
+@query
+def Q16_duplicate_logins(d: Domain):
+    return quality.duplicate_logins(d.bridge)
+
+
+@query
+def Q16_corrupt_rows(d: Domain):
+    _, bad = jobs.drop_corrupt(d.equity)
+    return bad.select(F.col("at").alias("stamp"), "login", "source", "floating", "balance")
+
+
+@query
+def Q17_snapshot_consistency(d: Domain):
+    return quality.snapshot_consistency(d.equity)
+
+
+@query
+def A16_office_totals(d: Domain):
+    return quality.office_totals(_sales(d), "net_deposits")

@@ -226,6 +226,77 @@ VIEWS: dict[str, str] = {
                CASE WHEN s_suppkey % 3 = 0 THEN NULL
                     ELSE DATE '1993-01-01' + CAST(s_suppkey * 97 % 3600 + 400 AS INT) END AS valid_to
         FROM supplier""",
+    # ---- source-system tables the pulls read -------------------------------------------------------------
+    "raw_users": f"""
+        SELECT c_custkey AS user_id, CASE WHEN c_custkey % 97 = 13 THEN 1 ELSE 0 END AS is_test,
+               CASE WHEN c_custkey % 89 = 1 THEN 1 ELSE 0 END AS is_demo, 'N' || CAST(c_nationkey AS STRING) AS country,
+               CASE WHEN c_custkey % 4 = 3 THEN NULL ELSE CAST(c_custkey % 4 AS INT) END AS gender,
+               CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 1 END AS acquisition,
+               CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE c_custkey % {_AGENTS_N} END AS sales_rep, 900 + c_custkey % 5 AS sales_desk,
+               CASE WHEN c_custkey % 6 = 1 THEN 0 ELSE (c_custkey + 1) % {_AGENTS_N} END AS retention_rep,
+               950 + c_custkey % 5 AS retention_desk,
+               CAST(DATE '1994-06-01' + CAST(c_custkey * 7 % 2500 AS INT) AS {{TS}}) + INTERVAL '22' HOUR AS creation_time,
+               CAST(DATE '1994-08-01' + CAST(c_custkey * 11 % 2500 AS INT) AS {{TS}}) AS updated,
+               DATE '1898-06-01' + CAST(c_custkey * 37 % 30000 AS INT) AS date_of_birth, CAST(c_custkey % 6 AS INT) AS app_id
+        FROM customer""",
+    "raw_user_info": """
+        SELECT c_custkey AS user_id, CAST(DATE '1995-01-01' + CAST(c_custkey * 19 % 2400 AS INT) AS {TS}) AS last_contact,
+               CASE WHEN c_custkey % 5 = 4 THEN NULL
+                    ELSE CAST(DATE '1995-03-01' + CAST(c_custkey * 13 % 2300 AS INT) AS {TS}) + INTERVAL '23' HOUR END AS qualification_time,
+               CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' WHEN 2 THEN CAST(c_custkey % 13 AS STRING) || '.7'
+                    ELSE CAST(c_custkey % 13 AS STRING) END AS potential,
+               CAST(c_custkey % 200 AS STRING) || '.0' AS tracking_campaign,
+               CASE WHEN c_custkey % 2 = 0 THEN c_custkey + 1000000 ELSE NULL END AS customer_ref,
+               CAST(DATE '1995-01-01' AS {TS}) AS updated
+        FROM customer WHERE c_acctbal >= 0""",
+    "raw_user_totals": """
+        SELECT c_custkey AS user_id, CAST(c_acctbal AS DECIMAL(20, 4)) AS balance, CAST(c_acctbal AS DECIMAL(20, 4)) * 2 AS net_deposit,
+               1 AS latest FROM customer
+        UNION ALL SELECT c_custkey, CAST(0 AS DECIMAL(20, 4)), CAST(0 AS DECIMAL(22, 4)), 0 FROM customer""",
+    "raw_apps": "SELECT r_regionkey AS app_id, LOWER(r_name) AS app_name FROM region",
+    "raw_payments": f"""
+        SELECT o_orderkey AS payment_id, o_custkey AS user_id, o_custkey * 2 + o_orderkey % 2 AS platform_account_id,
+               CASE WHEN o_orderkey % 101 = 50 THEN CAST(2000000000 AS BIGINT) ELSE CAST(FLOOR(o_totalprice) AS BIGINT) END AS amount_cents,
+               CAST(o_orderkey % 5 AS INT) AS method_key, CAST(o_orderkey % 4 AS INT) AS status_key, CAST(o_orderkey % 3 AS INT) AS type_key,
+               CAST(o_orderkey % 2 AS INT) AS acquisition, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_orderkey % {_AGENTS_N} END AS sales_rep,
+               (o_orderkey + 3) % {_AGENTS_N} AS retention_rep, CASE WHEN o_orderkey % 9 = 2 THEN 1 ELSE 0 END AS is_ftd,
+               o_orderdate + INTERVAL '23' HOUR AS decision_time, o_orderdate AS creation_time,
+               o_orderdate + INTERVAL '1' DAY * CAST(o_orderkey % 3 AS INT) AS updated
+        FROM orders""",
+    "raw_platform_accounts": """
+        SELECT c_custkey * 2 + k AS platform_account_id, c_custkey AS user_id, CAST(c_custkey * 2 + k AS STRING) AS external_id,
+               CASE WHEN c_custkey % 20 = 7 THEN 1 ELSE 0 END AS is_demo, CAST(ROUND(c_acctbal * 100) AS BIGINT) AS equity_cents,
+               CAST(ROUND(c_acctbal * 50) AS BIGINT) AS balance_cents, CASE WHEN c_custkey % 61 = 9 THEN 1 ELSE 0 END AS is_deleted,
+               CAST(DATE '1995-01-01' + CAST(c_custkey * 5 % 2400 AS INT) AS {TS}) AS updated
+        FROM customer JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) two ON TRUE""",
+    "raw_lookups": """
+        SELECT 'status' AS kind, 0 AS key, 'Success' AS value UNION ALL SELECT 'status', 1, 'Pending'
+        UNION ALL SELECT 'status', 2, 'Declined' UNION ALL SELECT 'type', 0, 'Deposit' UNION ALL SELECT 'type', 1, 'Withdrawal'
+        UNION ALL SELECT 'method', 0, 'Credit card' UNION ALL SELECT 'method', 1, 'Wire' UNION ALL SELECT 'method', 2, 'Cash'
+        UNION ALL SELECT 'channel', 0, 'Google PPC' UNION ALL SELECT 'channel', 1, 'IB network' UNION ALL SELECT 'channel', 2, 'Direct'
+        UNION ALL SELECT 'sub_channel', 0, 'brand' UNION ALL SELECT 'sub_channel', 1, 'generic'""",
+    "raw_operators": """
+        SELECT s_suppkey AS operator_id, 'Op' || CAST(s_suppkey AS STRING) || '.van.' || SUBSTRING(s_name, 10, 10) AS full_name,
+               CASE WHEN s_suppkey % 7 = 6 THEN 0 ELSE 1 END AS is_active, CAST(s_suppkey % 7 AS INT) AS role_id,
+               CAST(DATE '1998-01-01' + CAST(s_suppkey * 11 % 700 AS INT) AS {TS}) AS updated
+        FROM supplier""",
+    "raw_operator_desks": """
+        SELECT s_suppkey AS operator_id, 900 + s_nationkey AS desk_id FROM supplier
+        UNION ALL SELECT s_suppkey, 900 + (s_nationkey + 9) % 25 FROM supplier""",
+    "raw_desks": """
+        SELECT 900 + n_nationkey AS desk_id, CASE WHEN n_nationkey % 3 = 0 THEN 'Conversion ' ELSE 'Retention ' END
+               || '- ' || n_name || ' - Team ' || CAST(n_nationkey % 4 AS STRING) AS desk_name, n_regionkey AS office_id
+        FROM nation""",
+    "raw_offices": """
+        SELECT r_regionkey AS office_id, CASE r_name WHEN 'EUROPE' THEN 'GMT' WHEN 'AFRICA' THEN 'SA' WHEN 'ASIA' THEN 'CY'
+               WHEN 'AMERICA' THEN 'LAG-NG' ELSE '' END AS office FROM region""",
+    "raw_roles": """
+        SELECT 0 AS role_id, 'Sales Agent' AS role_name UNION ALL SELECT 1, 'Retention Agent' UNION ALL SELECT 2, 'Super Admin'
+        UNION ALL SELECT 3, 'Dialer' UNION ALL SELECT 4, 'BDM' UNION ALL SELECT 5, 'Team Leader'""",
+    "raw_campaigns": """
+        SELECT CAST(p_partkey AS STRING) AS campaign_id, CASE WHEN p_size = 1 THEN NULL ELSE p_size END AS external_id, p_name AS name,
+               CAST(p_partkey % 4 AS INT) AS channel_key, CAST(p_partkey % 3 AS INT) AS sub_channel_key,
+               CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE 0 END AS is_deleted FROM part""",
     "agents_master": """
         SELECT s_name AS agent_name, CASE WHEN s_suppkey % 5 = 2 THEN ' General' ELSE n_name END AS office_name,
                UPPER(s_name) || '@DESK.example' AS email,
