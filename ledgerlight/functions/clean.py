@@ -60,9 +60,16 @@ def shift_zone(c: Column, from_zone: str, to_zone: str = "UTC") -> Column:
     return F.convert_timezone(F.lit(from_zone), F.lit(to_zone), c)
 
 
+def to_utc(c: Column, zone: str) -> Column:
+    """Local time to UTC; a time that occurs twice at the end of summer time is taken as the later one."""
+    first = shift_zone(c, zone)
+    second = first + F.expr("INTERVAL 1 HOUR")
+    return F.when(shift_zone(second, "UTC", zone) == c, second).otherwise(first)
+
+
 def shift_stored(c: Column, from_zone: str = "EET", sentinel_before: str = "2000-01-01") -> Column:
     """Shift stored local times to UTC but leave sentinel values alone."""
-    return F.when(c > F.lit(sentinel_before).cast("timestamp_ntz"), shift_zone(c, from_zone)).otherwise(c)
+    return F.when(c > F.lit(sentinel_before).cast("timestamp_ntz"), to_utc(c, from_zone)).otherwise(c)
 
 
 def apply_schema(df: DataFrame, schema: T.StructType, caps: dict[str, int] | None = None) -> DataFrame:
