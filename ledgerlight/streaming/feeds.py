@@ -58,9 +58,9 @@ def daily_totals(stream: DataFrame, lateness: str = "48 hours") -> DataFrame:
 
 def write_daily_totals(stream: DataFrame, table: VersionedTable, checkpoint: str, lateness: str = "48 hours") -> StreamingQuery:
     """Changed (agent, day) totals of each batch merged into a table keyed by both."""
-    def apply(batch: DataFrame, number: int) -> None:
+    def apply(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            table.merge(batch.withColumn("_n", F.lit(number)).drop("_n"), ["tx_date"])
+            table.merge(batch, ["tx_date"])
 
     return (daily_totals(stream, lateness).writeStream.outputMode("update").foreachBatch(apply)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -368,3 +368,21 @@ SQL["R11_two_filters"] = out(f"""
     FROM (SELECT COUNT(DISTINCT account_id) AS traders, ROUND(AVG(s_ref), 2) AS avg_score FROM {rp.TRADED.replace("WHERE", f"WHERE u.office = 'GMT' {LOW} AND", 1)} x) t,
          (SELECT COUNT(DISTINCT CASE WHEN type = 'Deposit' THEN account_id END) AS depositors, COALESCE(SUM(net), 0) AS net
           FROM {rp.PAID.replace("WHERE", f"WHERE u.office = 'GMT' {LOW} AND", 1)} y) p""", "", "net")
+
+# ---- streams -------------------------------------------------------------------------------------------------
+SQL["I1_stream_merge"] = out("SELECT money_id, account_id, type, usd, confirmed FROM money", "confirmed", "usd")
+SQL["I3_resume_after_max"] = out("""
+    SELECT payment_id, user_id FROM raw_payments WHERE payment_id > (SELECT MAX(platform_account_id) FROM raw_platform_accounts)""")
+SQL["I4_stream_deduplicated"] = out("SELECT type, COUNT(*) AS rows, SUM(usd) AS usd FROM money GROUP BY 1", "", "usd")
+SQL["I5_M16_reprocessed_days"] = out(f"""
+    WITH c AS (SELECT e.login, e.day, CASE WHEN e.net <= 0 THEN 0 ELSE ROUND(GREATEST(e.net - GREATEST(COALESCE(b.bonus, 0), 0), 0), 2) END AS eez
+               FROM (SELECT d.login, d.day, {eq.NETEQ} AS net FROM equity_days d JOIN test_logins tl ON tl.login = d.login AND tl.is_test = 0) e
+               LEFT JOIN (SELECT d2.login, d2.day, SUM(b.amount) AS bonus FROM equity_days d2 JOIN bonuses b ON b.login = d2.login
+                          AND CAST(b.confirmed AS DATE) <= d2.day GROUP BY 1, 2) b ON b.login = e.login AND b.day = e.day)
+    SELECT login, day, end_eez, start_eez FROM snap WHERE day BETWEEN DATE '1998-12-25' AND DATE '1999-01-20'
+    UNION ALL SELECT n.login, n.day, n.eez, p.eez FROM c n LEFT JOIN c p ON p.login = n.login AND p.day = n.day - 1
+    WHERE n.day NOT BETWEEN DATE '1998-12-25' AND DATE '1999-01-20'""", "day", "end_eez start_eez")
+SQL["I6_stream_daily_totals"] = out(f"""
+    SELECT t.owner AS agent_id, CAST(t.confirmed AS DATE) AS tx_date, SUM({NET}) AS net_usd, SUM({DEP}) AS deposit_usd, SUM({WDR}) AS withdrawal_usd,
+           COUNT(*) FILTER (WHERE t.type = 'Deposit' AND t.ftd = 1) AS ftd_count FROM money t WHERE {VALID} AND t.owner IS NOT NULL GROUP BY 1, 2""", "tx_date",
+    "net_usd deposit_usd withdrawal_usd")
