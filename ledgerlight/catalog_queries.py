@@ -91,14 +91,14 @@ def R1_restricted_totals(d: Domain):
     return sb.restricted_totals(rows)
 
 
-def _traders(d: Domain):
-    return sb.trader_flags(d.traders, d.accounts, FIRST, LAST, LIVE)
+def _activity(d: Domain):
+    return sb.trading_activity(d.volume, d.accounts, FIRST, LAST, LIVE)
 
 
 @query
 def R2_retention_scoreboard(d: Domain):
     return sb.retention_scoreboard(
-        d.kpis, sb.month_targets(d.targets, FIRST), d.volume, d.std, sb.trader_measures(_traders(d)),
+        d.kpis, sb.month_targets(d.targets, FIRST), sb.activity_measures(_activity(d)), d.std,
         sb.rdp_by_agent(d.money, d.accounts, FIRST, LAST), d.agents, d.dept_history, FIRST, LAST)
 
 
@@ -118,14 +118,14 @@ def R4_daily_monthly_sales(d: Domain):
 @query
 def R5_daily_monthly_retention(d: Domain):
     return sb.retention_scoreboard(
-        d.kpis, sb.month_targets(d.targets, FIRST), d.volume, d.std, sb.trader_measures(_traders(d)),
+        d.kpis, sb.month_targets(d.targets, FIRST), sb.activity_measures(_activity(d)), d.std,
         sb.rdp_by_agent(d.money, d.accounts, FIRST, LAST), d.agents, d.dept_history, FIRST, LAST,
         loads=sb.load_measures(sb.deposit_flags(d.money, d.accounts, FIRST, LAST)))
 
 
 @query
 def R5_global_counts(d: Domain):
-    return sb.retention_globals(_traders(d), sb.deposit_flags(d.money, d.accounts, FIRST, LAST), d.agents)
+    return sb.retention_globals(_activity(d), sb.deposit_flags(d.money, d.accounts, FIRST, LAST), d.agents)
 
 
 @query
@@ -230,8 +230,8 @@ def R7_campaign_cards_filtered(d: Domain):
 
 
 def _table(d: Domain, groups, period=None, chosen=None):
-    return campaigns.campaign_table(d.money, d.accounts, d.campaigns, d.agents, d.traders, d.deals, d.positions, d.bridge,
-                                    FIRST, LAST, LIVE, groups, period, chosen, FLOOR)
+    return campaigns.campaign_table(d.money, d.accounts, d.campaigns, d.agents, d.deals, d.positions, d.bridge, FIRST, LAST, LIVE,
+                                    groups, period, chosen, FLOOR)
 
 
 @query

@@ -24,7 +24,7 @@ def _folder(d: Domain) -> str:
 
 def _money_stream(d: Domain) -> DataFrame:
     """The money view over a stream of the order files."""
-    d.agents  # registers the base tables the view also reads
+    d.register("money")
     orders = streams.read_files(d.spark, d.folder, d.base("orders").schema, name_filter="orders.parquet*")
     name = f"orders_stream_{uuid.uuid4().hex}"
     orders.createOrReplaceTempView(name)

@@ -35,7 +35,7 @@ def day(value: str | Column) -> Column:
 def age_years(birth: Column, on: str | Column) -> Column:
     """Calendar age: one less while the birthday of the year is still ahead."""
     d = day(on)
-    before_birthday = F.date_format(d, "MMdd") < F.date_format(birth, "MMdd")
+    before_birthday = F.month(d) * 100 + F.dayofmonth(d) < F.month(birth) * 100 + F.dayofmonth(birth)
     return F.year(d) - F.year(birth) - F.when(before_birthday, 1).otherwise(0)
 
 

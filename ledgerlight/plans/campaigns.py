@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.functions import buckets as b, calendar as cal, money as m
 from ledgerlight.functions.numeric import round_even
-from ledgerlight.operators import deals as dl, filters
+from ledgerlight.operators import filters
 from ledgerlight.operators.grouping import ratio, stack_measures
 from ledgerlight.plans import scoreboards as sb, views
 
@@ -183,8 +183,8 @@ TABLE_SPEC = {
 }
 
 
-def campaign_table(money: DataFrame, accounts: DataFrame, campaigns: DataFrame, agents: DataFrame, traders: DataFrame,
-                   deals: DataFrame, positions: DataFrame, bridge: DataFrame, first: str, last: str, as_of: str,
+def campaign_table(money: DataFrame, accounts: DataFrame, campaigns: DataFrame, agents: DataFrame, deals: DataFrame,
+                   positions: DataFrame, bridge: DataFrame, first: str, last: str, as_of: str,
                    groups: tuple = (), period: str | None = None, chosen: dict | None = None,
                    floor_day: str = views.FLOOR_DAY) -> DataFrame:
     """The funnel by up to two groups and a period: six aggregates on one key, stacked and summed once."""
@@ -228,31 +228,35 @@ def campaign_table(money: DataFrame, accounts: DataFrame, campaigns: DataFrame,
         F.round(F.sum(F.col("_score") * F.col("ftds"))
                 / F.nullif(F.sum(F.when(F.col("_score").isNotNull(), F.col("ftds"))), F.lit(0)), 1).alias("ftd_avg_score"),
         F.count_if("after").alias("rdp_count"), F.sum("later").cast(USD).alias("rdp_net"))
-    team = agents.where(m.not_test_agent() & (F.col("dept") == "Retention")).select("agent_id")
-    traded = (traders.where(F.col("day").between(_day(first), _day(last))).join(team, "agent_id", "left_semi")
-              .join(base.select("account_id", *dims.keys), "account_id")
-              .select("account_id", *at(F.col("day"))).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("traders")))
-    volume = (open_close_volume(deals, positions, first, last)
-              .join(views.login_accounts(bridge, base).select("login", "account_id", *dims.keys), "login")
-              .groupBy(*at(F.col("day"))).agg((F.sum("open_usd") + F.sum("close_usd")).cast(USD).alias("volume_usd")))
-    rows = stack_measures([people, ftc, paid, traded, volume], keys, TABLE_SPEC)
+    # one pass over the trades gives volume and traders: a trader is an account of the retention team that
+    # opened positive notional in the period, volume counts openings and closings of every real account
+    team = agents.where(m.not_test_agent() & (F.col("dept") == "Retention")).select(
+        F.col("agent_id").alias("assigned_to"), F.lit(1).alias("_team"))
+    owners = (views.login_accounts(bridge, base).select("login", "account_id", "assigned_to", *dims.keys)
+              .join(team, "assigned_to", "left"))
+    days = F.col("day").between(_day(first), _day(last))
+    opened = views.traded_notional(deals, positions, None).withColumnRenamed("open_date", "day").where(days)
+    moves = opened.unionByName(closed_by_day(deals).withColumn("has_notional", F.lit(0)).where(days))
+    traded = (moves.join(owners, "login").groupBy("account_id", *at(F.col("day")))
+              .agg(F.sum("notional").alias("usd"), F.max(F.col("has_notional") * F.col("_team")).alias("trader"))
+              .groupBy(*keys).agg(F.sum("usd").cast(USD).alias("volume_usd"), F.count_if(F.col("trader") == 1).alias("traders")))
+    rows = stack_measures([people, ftc, paid, traded], keys, TABLE_SPEC)
     return rows.drop("_all")
 
 
-def open_close_volume(deals: DataFrame, positions: DataFrame, first: str, last: str,
-                      trades_only: bool = False) -> DataFrame:
-    """(login, day) volume opened (open positions, closed deals dated by entry) and volume closed by exit day."""
-    opened = F.to_date("open_time")
-    open_pos = (positions.where(m.between_days("open_time", first, last)).groupBy("login", opened.alias("day"))
-                .agg(F.sum("notional").cast(USD).alias("open_usd")))
-    matched = (dl.matched_volume(deals, opened, "day").where(F.col("day").between(_day(first), _day(last)))
-               .select("login", "day", F.col("notional").alias("open_usd")))
-    exits = deals.where((F.col("entry") == 1) & m.closed() & m.between_days("close_time", first, last))
-    if trades_only:
-        exits = exits.where(F.col("cmd").isin(0, 1) & m.trade_symbol())
-    close = (exits.groupBy("login", F.to_date("close_time").alias("day"))
-             .agg(F.sum("notional").cast(USD).alias("close_usd")))
-    return stack_measures([open_pos, matched, close], ["login", "day"], {"open_usd": USD, "close_usd": USD})
+def closed_by_day(deals: DataFrame) -> DataFrame:
+    """(login, day) notional of closing deals by the day they closed."""
+    return (deals.where((F.col("entry") == 1) & m.closed()).groupBy("login", F.to_date("close_time").alias("day"))
+            .agg(F.sum("notional").cast(USD).alias("notional")))
+
+
+def open_close_volume(deals: DataFrame, positions: DataFrame, first: str, last: str) -> DataFrame:
+    """(login, day) volume opened (open positions, closed deals dated by entry) plus volume closed by exit day."""
+    inside = F.col("day").between(_day(first), _day(last))
+    opened = (views.traded_notional(deals, positions, None)
+              .select("login", F.col("open_date").alias("day"), "notional").where(inside))
+    return (opened.unionByName(closed_by_day(deals).where(inside)).groupBy("login", "day")
+            .agg(F.sum("notional").cast(USD).alias("volume")))
 
 
 def with_rates(rows: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def country_volume(deals: DataFrame, positions: DataFrame, bridge: DataFrame, ac
     first, last, _ = cal.quarter_bounds(year, quarter)
     owners = views.login_accounts(bridge, accounts.where(in_scope(excluded_rep)))
     moved = (campaigns.open_close_volume(deals, positions, first.isoformat(), last.isoformat())
-             .groupBy("login").agg(F.sum(F.col("open_usd") + F.col("close_usd")).alias("v")))
+             .groupBy("login").agg(F.sum("volume").alias("v")))
     return (moved.join(owners.select("login", country().alias("iso")), "login")
             .groupBy("iso").agg(F.sum("v").cast(USD).alias("volume")))
 

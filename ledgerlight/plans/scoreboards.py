@@ -138,22 +138,31 @@ def rdp_by_agent(money: DataFrame, accounts: DataFrame, first: str, last: str,
             .groupBy(F.col("assigned_to").alias("agent_id")).agg(F.sum("usd").cast(USD).alias("rdp_net")))
 
 
-def trader_flags(traders: DataFrame, accounts: DataFrame, first: str, last: str, as_of: str) -> DataFrame:
-    """(agent, account) pairs that traded in the range: traded on the last day, score, score on the last day."""
+def trading_activity(volume: DataFrame, accounts: DataFrame, first: str, last: str, as_of: str) -> DataFrame:
+    """(agent, account) trading in the range from one pass over V2: notional, and trader flags of live accounts.
+
+    Volume counts every account of V2, traders only live ones with positive notional, so both come from the
+    same rows; `traded` and `today` stay false for accounts that only add volume.
+    """
     acc = accounts.where(m.live_account()).select(
-        "account_id", b.score_or_age(F.col("score"), F.col("birth_date"), as_of).alias("score_now"),
+        "account_id", F.lit(True).alias("live"), b.score_or_age(F.col("score"), F.col("birth_date"), as_of).alias("score_now"),
         b.score_or_age(F.col("score"), F.col("birth_date"), last).alias("score_last"))
-    return (traders.where(_in("day", first, last)).groupBy("agent_id", "account_id")
-            .agg(F.max(F.col("day") == _d(last)).alias("today")).join(acc, "account_id"))
+    positive, live = F.col("has_positive_notional") == 1, F.coalesce("live", F.lit(False))
+    return (volume.where(_in("open_date", first, last)).groupBy("agent_id", "account_id")
+            .agg(F.sum("notional_usd").cast(USD).alias("notional_usd"), F.max(positive).alias("_traded"),
+                 F.max(positive & (F.col("open_date") == _d(last))).alias("_today"))
+            .join(acc, "account_id", "left")
+            .withColumn("traded", F.col("_traded") & live).withColumn("today", F.col("_today") & live)
+            .drop("_traded", "_today", "live"))
 
 
-def trader_measures(flags: DataFrame) -> DataFrame:
-    """Counts and average scores by agent; one row per (agent, account) makes distinct counts plain sums."""
+def activity_measures(activity: DataFrame) -> DataFrame:
+    """Volume, trader counts and average scores by agent; one row per (agent, account) makes counts plain sums."""
     high = F.coalesce(F.col("score_last").between(6, 10), F.lit(False))
-    return flags.groupBy("agent_id").agg(
-        F.count(F.lit(1)).alias("traders_count"), F.count_if("today").alias("daily_traders"),
-        F.count_if(F.col("today") & high).alias("daily_traders_hq"),
-        F.round(F.avg("score_now"), 1).alias("monthly_avg_score"),
+    return activity.groupBy("agent_id").agg(
+        F.sum("notional_usd").cast(USD).alias("open_volume_usd"), F.count_if("traded").alias("traders_count"),
+        F.count_if("today").alias("daily_traders"), F.count_if(F.col("today") & high).alias("daily_traders_hq"),
+        F.round(F.avg(F.when(F.col("traded"), F.col("score_now"))), 1).alias("monthly_avg_score"),
         F.round(F.avg(F.when(F.col("today"), F.col("score_now"))), 1).alias("daily_avg_score"))
 
 
@@ -189,16 +198,15 @@ RETENTION_MEASURES = {
 }
 
 
-def retention_scoreboard(kpis: DataFrame, targets: DataFrame, volume: DataFrame, std: DataFrame,
-                         traders: DataFrame, rdp: DataFrame, agents: DataFrame, dept_history: DataFrame,
-                         first: str, last: str, loads: DataFrame | None = None,
-                         access: Column | None = None) -> DataFrame:
+def retention_scoreboard(kpis: DataFrame, targets: DataFrame, activity: DataFrame, std: DataFrame, rdp: DataFrame,
+                         agents: DataFrame, dept_history: DataFrame, first: str, last: str,
+                         loads: DataFrame | None = None, access: Column | None = None) -> DataFrame:
     """R2 / R5 rows: retention agents, by department or by an effective-dated assignment in the range.
 
-    `traders` comes from trader_measures, `loads` from load_measures; without loads the shorter form results.
+    `activity` comes from activity_measures, `loads` from load_measures; without loads the shorter form results.
     """
-    frames = [kpi_measures(kpis, first, last), targets, volume_measures(volume, first, last),
-              std_measures(std, first, last), traders, rdp] + ([loads] if loads is not None else [])
+    frames = [kpi_measures(kpis, first, last), targets, activity, std_measures(std, first, last), rdp]
+    frames += [loads] if loads is not None else []
     measures = stack_measures(frames, ["agent_id"], RETENTION_MEASURES)
     moved = (keyed.overlapping(dept_history.where("report_dept = 'Retention'"), "agent_id", first, last)
              .withColumn("_moved", F.lit(True)))
@@ -218,21 +226,21 @@ def retention_scoreboard(kpis: DataFrame, targets: DataFrame, volume: DataFrame,
     ).orderBy(F.asc_nulls_last("office_name"), "dept_name", "agent_name")
 
 
-def retention_globals(flags: DataFrame, deposits: DataFrame, agents: DataFrame) -> DataFrame:
+def retention_globals(activity: DataFrame, deposits: DataFrame, agents: DataFrame) -> DataFrame:
     """R5 cards: distinct clients over all retention agents, one row.
 
     An account may sit with several agents, so flags are folded to one row per account before counting.
     """
     team = agents.where(m.not_test_agent() & (F.col("dept") == "Retention")).select("agent_id")
     high = F.coalesce(F.col("score_last").between(6, 10), F.lit(False))
-    t = (flags.join(team, "agent_id", "left_semi").groupBy("account_id")
+    t = (activity.where("traded").join(team, "agent_id", "left_semi").groupBy("account_id")
          .agg(F.max("today").alias("today"), F.max(F.col("today") & high).alias("hq"))
          .agg(F.count(F.lit(1)).alias("monthly_traders"), F.count_if("today").alias("daily_traders"),
               F.count_if("hq").alias("daily_traders_hq")))
     d = (deposits.join(team, F.col("owner") == F.col("agent_id"), "left_semi").groupBy("account_id")
          .agg(F.max("today").alias("today"))
          .agg(F.count(F.lit(1)).alias("monthly_depositors"), F.count_if("today").alias("daily_depositors")))
-    return one_row(flags.sparkSession, t, d)
+    return one_row(activity.sparkSession, t, d)
 
 
 def one_row(spark, *parts: DataFrame, **extra: Column) -> DataFrame:

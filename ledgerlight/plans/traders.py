@@ -42,12 +42,10 @@ def team_money(money: DataFrame, accounts: DataFrame, agents: DataFrame, first:
 def daily_series(traded: DataFrame, paid: DataFrame, first: str, last: str) -> DataFrame:
     """R11 series: traders, high-quality traders, average score, depositors and net for every weekday."""
     score = b.score_or_age(F.col("score"), F.col("birth_date"), F.col("day"))
-    high = F.coalesce(F.col("score").between(6, 10), F.lit(False))
-    # an account trades for one agent at a time, but may appear under two: fold before counting
-    per_day = traded.withColumn("s", score).groupBy("day", "account_id").agg(
-        F.max(high).alias("high"), F.sum("s").alias("s"), F.count("s").alias("n"))
-    t = per_day.groupBy("day").agg(F.count(F.lit(1)).alias("traders"), F.count_if("high").alias("high_traders"),
-                                   F.round(F.sum("s") / F.nullif(F.sum("n"), F.lit(0)), 2).alias("avg_score"))
+    # one row per account and day already, so distinct traders are plain counts
+    t = traded.groupBy("day").agg(F.count(F.lit(1)).alias("traders"), F.count_if(F.col("score").between(6, 10)).alias("high_traders"),
+                                  F.round(F.avg(score), 2).alias("avg_score"))
+    # a client may deposit with two agents on a day: fold before counting
     p = (paid.groupBy("day", "account_id").agg(F.max("deposited").alias("d"), F.sum("net").alias("net"))
          .groupBy("day").agg(F.sum("d").alias("depositors"), F.sum("net").cast(USD).alias("net")))
     spine = (traded.sparkSession.range(1)
@@ -76,21 +74,21 @@ def series_totals(traded: DataFrame, paid: DataFrame, ref_day: str) -> DataFrame
 def agent_matrix(traded: DataFrame, paid: DataFrame, agents: DataFrame, ref_day: str) -> DataFrame:
     """R11 matrix: agent x day figures and, with a NULL day, the agent's totals over the range.
 
-    Both come from one pass by grouping sets; totals count distinct clients, so they are not sums of days.
+    Inputs hold one row per (agent, account, day), so day figures are plain aggregates; totals count distinct
+    clients, so they fold to (agent, account) first and are not sums of days.
     """
-    def spread(df: DataFrame, agent: str, *aggs: Column) -> DataFrame:
-        # per client first, on both levels, so the outer counts are plain sums
-        return (df.withColumn("_levels", F.array(F.col("day"), F.lit(None).cast("date")))
-                .withColumn("level_day", F.explode("_levels"))
-                .groupBy(F.col(agent).alias("agent_id"), F.col("level_day").alias("day"), "account_id").agg(*aggs))
-
-    day_score = b.score_or_age(F.col("score"), F.col("birth_date"), F.coalesce(F.col("level_day"), F.lit(ref_day).cast("date")))
-    t = (spread(traded, "agent_id", F.sum(day_score).alias("s"), F.count(day_score).alias("n"))
-         .groupBy("agent_id", "day").agg(F.count(F.lit(1)).alias("traders"),
-                                         F.round(F.sum("s") / F.nullif(F.sum("n"), F.lit(0)), 2).alias("avg_score")))
-    p = (spread(paid, "owner", F.max("deposited").alias("d"), F.sum("net").alias("net"))
-         .groupBy("agent_id", "day").agg(F.sum("d").alias("depositors"), F.sum("net").cast(USD).alias("net")))
-    both = stack_measures([t, p], ["agent_id", "day"], {
+    no_day = F.lit(None).cast("date").alias("day")
+    on_day = b.score_or_age(F.col("score"), F.col("birth_date"), F.col("day"))
+    on_ref = b.score_or_age(F.col("score"), F.col("birth_date"), ref_day)
+    t_day = traded.groupBy("agent_id", "day").agg(F.count(F.lit(1)).alias("traders"), F.round(F.avg(on_day), 2).alias("avg_score"))
+    t_all = (traded.groupBy("agent_id", "account_id").agg(F.sum(on_ref).alias("s"), F.count(on_ref).alias("n"))
+             .groupBy("agent_id", no_day).agg(F.count(F.lit(1)).alias("traders"),
+                                              F.round(F.sum("s") / F.nullif(F.sum("n"), F.lit(0)), 2).alias("avg_score")))
+    p_day = paid.groupBy(F.col("owner").alias("agent_id"), "day").agg(
+        F.sum("deposited").alias("depositors"), F.sum("net").cast(USD).alias("net"))
+    p_all = (paid.groupBy("owner", "account_id").agg(F.max("deposited").alias("d"), F.sum("net").alias("net"))
+             .groupBy(F.col("owner").alias("agent_id"), no_day).agg(F.sum("d").alias("depositors"), F.sum("net").cast(USD).alias("net")))
+    both = stack_measures([t_day, t_all, p_day, p_all], ["agent_id", "day"], {
         "traders": "bigint", "avg_score": "max double", "depositors": "bigint", "net": USD})
     names = agents.select("agent_id", F.coalesce("office_name", F.lit("N/A")).alias("office_name"),
                           F.coalesce("department", F.lit("N/A")).alias("dept_name"),

@@ -7,7 +7,10 @@ reports handle over all rows; no view drops rows to make a query smaller.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -308,28 +311,34 @@ VIEWS: dict[str, str] = {
 }
 
 
+_schemas: dict[tuple[str, str], StructType] = {}   # (folder, table) -> schema, read from the files once
+
+
 class Tables:
     """Domain tables of one driver folder, built on demand as DataFrames."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._cache: dict[str, DataFrame] = {}
-        self._registered = False
+        self._registered: set[str] = set()
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path, key = f"{self.folder}/{name}.parquet", (self.folder, name)
+        if key not in _schemas:
+            _schemas[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[key]).parquet(path)
 
-    def _register(self) -> None:
-        for name in BASE:
+    def register(self, view: str) -> None:
+        """Make the base tables a view reads known to SQL."""
+        for name in set(BASE) & set(re.findall(r"\b(?:FROM|JOIN)\s+(\w+)", VIEWS[view])) - self._registered:
             self.base(name).createOrReplaceTempView(name)
-        self._registered = True
+            self._registered.add(name)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in VIEWS:
             raise AttributeError(name)
         if name not in self._cache:
-            if not self._registered:
-                self._register()
+            self.register(name)
             self._cache[name] = self.spark.sql(VIEWS[name].format(TS="TIMESTAMP_NTZ"))
         return self._cache[name]
 
