@@ -35,11 +35,11 @@ def _money_stream(d: Domain) -> DataFrame:
 def I1_stream_merge(d: Domain):
     """Payments merged by key from a stream into a stored table; each row is delivered twice."""
     root = _folder(d)
-    stream = _money_stream(d).select("money_id", "account_id", "type", "usd", "confirmed")
-    table = tables.VersionedTable(d.spark, f"{root}/money", ["money_id"],
-                                  _schema("money_id:long account_id:long type:str usd:usd confirmed:ts"))
+    stream = _money_stream(d).select("money_id", "account_id", "type", "usd", "confirmed", "created")
+    schema = _schema("money_id:long account_id:long type:str usd:usd confirmed:ts created:ts")
+    table = tables.PartitionedTable(d.spark, f"{root}/money", ["money_id"], schema, "created_year", F.year("created"))
     streams.merge_stream(stream.unionByName(stream), table, ["confirmed"], f"{root}/checkpoint").awaitTermination()
-    return table.read()
+    return table.read().drop("created", "created_year")
 
 
 @query

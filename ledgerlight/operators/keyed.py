@@ -94,6 +94,24 @@ def first_crossing(df: DataFrame, keys: list[str], time: str, tie: str, value: s
             .groupBy(*keys).agg(F.min(time).alias(out)))
 
 
+def beyond_mark(df: DataFrame, marks: DataFrame, keys: list[str], time: str, mark: str, partials: list[Column],
+                after: bool) -> DataFrame:
+    """Partial aggregates per key over the rows after (or up to) a per-key moment, to be combined once more.
+
+    Slices entirely on the wanted side come pre-aggregated; rows are only looked at in the one slice that
+    holds the key's mark. Joins run on (key, slice) or on slice sums, so a key with many rows stays spread.
+    """
+    rows = df.dropna(subset=[*keys, time]).withColumn("_slice", hour_slice(time))
+    at = marks.where(F.col(mark).isNotNull()).select(*keys, mark, hour_slice(mark).alias("_mark_slice"))
+    slices = rows.groupBy(*keys, "_slice").agg(*partials)
+    inside = F.col("_slice") > F.col("_mark_slice") if after else F.col("_slice") < F.col("_mark_slice")
+    whole = slices.join(at, keys).where(inside).drop("_slice", mark, "_mark_slice")
+    wanted = F.col(time) > F.col(mark) if after else F.col(time) <= F.col(mark)
+    edge = (rows.join(at.withColumnRenamed("_mark_slice", "_slice"), [*keys, "_slice"]).where(wanted)
+            .groupBy(*keys).agg(*partials))
+    return whole.select(*edge.columns).unionByName(edge)
+
+
 def value_at_cutoff(df: DataFrame, cutoffs: DataFrame, keys: list[str], time: str, cutoff: str,
                     value: str, order: list[str], keep: list[str]) -> DataFrame:
     """State of a running sum at a per-key cutoff time, without ordering the rows.
@@ -101,12 +119,18 @@ def value_at_cutoff(df: DataFrame, cutoffs: DataFrame, keys: list[str], time: st
     The sum over all rows up to the cutoff equals the running sum at the newest of them; that row's time
     and `keep` columns come from a max over (time, tie) structs, so both parts combine map-side.
     """
-    rows = df.join(cutoffs, keys).where(F.col(time) <= F.col(cutoff))
     best = F.max(F.struct(*order, *[c for c in keep if c not in order])).alias("_last")
-    return (rows.groupBy(*keys).agg(F.sum(value).alias("total"), best)
+    parts = beyond_mark(df, cutoffs, keys, time, cutoff, [F.sum(value).alias("total"), best], after=False)
+    return (parts.groupBy(*keys).agg(F.sum("total").alias("total"), F.max("_last").alias("_last"))
             .select(*keys, "total", *[F.col(f"_last.{c}").alias(c) for c in dict.fromkeys([time, *keep])]))
 
 
+def first_after(df: DataFrame, marks: DataFrame, keys: list[str], time: str, mark: str, out: str) -> DataFrame:
+    """Earliest time per key later than the key's mark."""
+    parts = beyond_mark(df, marks, keys, time, mark, [F.min(time).alias(out)], after=True)
+    return parts.groupBy(*keys).agg(F.min(out).alias(out))
+
+
 def overlapping(history: DataFrame, key: str, first: str, last: str, start: str = "valid_from",
                 stop: str = "valid_to") -> DataFrame:
     """Distinct keys with an effective-dated row that overlaps [first, last]; an open end never expires."""

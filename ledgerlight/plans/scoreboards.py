@@ -132,9 +132,10 @@ def rdp_by_agent(money: DataFrame, accounts: DataFrame, first: str, last: str,
     if account_filter is not None:
         acc = acc.where(account_filter)
     acc = acc.select("account_id", "assigned_to", (F.col("qualified") + F.expr(offset)).alias("_after"))
-    rows = money.where(m.valid_money() & m.not_bonus_comment() & m.between_days("confirmed", first, last))
-    return (rows.select("account_id", "confirmed", m.signed_usd().alias("usd")).join(acc, "account_id")
-            .where(F.col("confirmed") > F.col("_after"))
+    rows = (money.where(m.valid_money() & m.not_bonus_comment() & m.between_days("confirmed", first, last))
+            .select("account_id", "confirmed", m.signed_usd().alias("usd")))
+    later = keyed.beyond_mark(rows, acc, ["account_id"], "confirmed", "_after", [F.sum("usd").alias("usd")], after=True)
+    return (later.groupBy("account_id").agg(F.sum("usd").alias("usd")).join(acc, "account_id")
             .groupBy(F.col("assigned_to").alias("agent_id")).agg(F.sum("usd").cast(USD).alias("rdp_net")))
 
 

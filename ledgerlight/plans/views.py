@@ -151,9 +151,8 @@ def second_deposit_clients(money: DataFrame, accounts: DataFrame, threshold=STD_
     acc = accounts.where(m.real_account()).select("account_id", "assigned_to")
     crossed = keyed.first_crossing(deposits, ["account_id"], "confirmed", "money_id", "usd", threshold)
     reached = crossed.join(acc, "account_id")
-    later = (deposits.join(reached.select("account_id", "crossed_at"), "account_id")
-             .where(F.col("confirmed") > F.col("crossed_at"))
-             .groupBy("account_id").agg(F.min("confirmed").alias("second_deposit_at")))
+    later = keyed.first_after(deposits, reached.select("account_id", "crossed_at"), ["account_id"], "confirmed", "crossed_at",
+                              "second_deposit_at")
     return reached.join(later, "account_id", "left").select(
         "account_id", F.col("second_deposit_at").isNotNull().cast("int").alias("has_second_deposit"),
         "second_deposit_at", F.col("assigned_to").alias("agent_id"))

@@ -11,7 +11,7 @@ import re
 import tempfile
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ledgerlight.operators import merge
@@ -92,6 +92,37 @@ class VersionedTable:
         return self.write(merge.sync_snapshot(snapshot, self.keys, order, allow_empty))
 
 
+class PartitionedTable:
+    """A large keyed table stored by an attribute that never changes for a key, such as the month of creation.
+
+    A merge reads and rewrites only the partitions its delta touches; all other files stay. Partitions are
+    replaced through Spark's staging folder, and a merge that is run again gives the same rows.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: T.StructType, part: str, value: Column):
+        self.spark, self.path, self.keys, self.schema = spark, path.rstrip("/"), keys, schema
+        self.part, self.value = part, value
+
+    def read(self) -> DataFrame:
+        stored = T.StructType([*self.schema.fields, T.StructField(self.part, T.StringType())])
+        if not Files(self.spark, self.path).children(self.path):
+            return self.spark.createDataFrame([], stored)
+        return self.spark.read.schema(stored).parquet(self.path)
+
+    def merge(self, delta: DataFrame, order: list, rules: dict | None = None) -> list[str]:
+        """Merge the delta and return the partitions that were rewritten."""
+        new = (merge.last_per_key(delta, self.keys, order).select(*[f.name for f in self.schema.fields])
+               .withColumn(self.part, F.coalesce(self.value.cast("string"), F.lit("none"))))
+        # one short text per touched partition: their number is bounded by the partitions of the table
+        touched = sorted(r[0] for r in new.select(self.part).distinct().collect())
+        base = self.read().where(F.col(self.part).isin(*touched)) if touched else self.read().limit(0)
+        merged = merge.merge_by_key(base, new, [*self.keys, self.part], self.keys, rules)
+        if touched:
+            (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(self.part).parquet(self.path))
+        return touched
+
+
 def write_days(df: DataFrame, path: str, day: str = "day") -> None:
     """Replace exactly the days the frame holds; other days of the table stay untouched."""
     (df.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlight.functions import money as m
-from ledgerlight.sources.tables import VersionedTable, recompute_days, write_days
+from ledgerlight.sources.tables import PartitionedTable, VersionedTable, recompute_days, write_days
 
 
 def read_files(spark: SparkSession, folder: str, schema: T.StructType, per_batch: int = 1000, name_filter: str | None = None) -> DataFrame:
@@ -28,9 +28,13 @@ def deduplicated(stream: DataFrame, key: list[str], time: str, lateness: str = "
     return event.withWatermark(time, lateness).dropDuplicatesWithinWatermark(key)
 
 
-def merge_stream(stream: DataFrame, table: VersionedTable, order: list, checkpoint: str, rules: dict | None = None,
+def merge_stream(stream: DataFrame, table: VersionedTable | PartitionedTable, order: list, checkpoint: str, rules: dict | None = None,
                  after=None) -> StreamingQuery:
-    """Every micro-batch merged into the table by key; `after(batch)` may refresh what depends on it."""
+    """Every micro-batch merged into the table by key; `after(batch)` may refresh what depends on it.
+
+    Ledgers belong in a PartitionedTable, where a batch rewrites the partitions it touches; the versioned form
+    rewrites the table and suits dimensions and small results.
+    """
     def apply(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return

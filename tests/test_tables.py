@@ -107,3 +107,23 @@ def test_new_column_in_later_files(spark, tmp_path):
     t.write(df(spark, (1, "a", 1)))
     t.merge(df(spark, (2, "b", 1)).withColumn("extra", F.lit(3)), ["k"])
     assert rows(t.read(), "k", "extra") == [(1, None), (2, 3)]
+
+
+def test_partitioned_merge_touches_only_its_partitions(spark, tmp_path):
+    path = tmp_path / "p"
+    t = tables.PartitionedTable(spark, str(path), ["k"], _schema("k:long at:date v:str flag:int"), "month", F.date_format("at", "yyyy-MM"))
+
+    def delta(*data):
+        return spark.createDataFrame([(k, date.fromisoformat(d), v, f) for k, d, v, f in data], "k long, at date, v string, flag int")
+    assert t.merge(delta((1, "2024-01-05", "a", 1), (2, "2024-02-05", "b", 0)), ["v"]) == ["2024-01", "2024-02"]
+    before = {f.name: f.stat().st_mtime_ns for f in (path / "month=2024-01").iterdir()}
+    change = delta((2, "2024-02-05", "c", 0), (3, "2024-02-09", "d", 0), (3, "2024-02-09", "e", 0))
+    assert t.merge(change, ["v"]) == ["2024-02"]
+    assert {f.name: f.stat().st_mtime_ns for f in (path / "month=2024-01").iterdir()} == before
+    want = [(1, "a"), (2, "c"), (3, "e")]
+    assert rows(t.read(), "k", "v") == want
+    t.merge(change, ["v"])                                    # delivered again
+    assert rows(t.read(), "k", "v") == want
+    t.merge(delta((1, "2024-01-05", "z", 0)), ["v"], {"flag": merge.GREATEST})
+    assert rows(t.read().where("k = 1"), "v", "flag") == [("z", 1)]
+    assert t.merge(delta(), ["v"]) == [] and t.read().count() == 3
