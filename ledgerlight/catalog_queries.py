@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlight.catalog import FIRST, LAST, LIVE, Domain, query
-from ledgerlight.functions import buckets as b, calendar as cal, clean, money as m, tiers, typing
-from ledgerlight.operators import compare, deals as dl, filters, grouping, keyed, merge
+from ledgerlight.functions import buckets as b, calendar as cal, money as m
+from ledgerlight.operators import compare, filters
 from ledgerlight.plans import (aging, bonuses, campaigns, equity, jobs, quality, reconcile, regulatory, scoreboards as sb,
                                traders, views)
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.functions import money as m, tiers
 from ledgerlight.functions.numeric import round_even
-from ledgerlight.operators import keyed
 from ledgerlight.operators.grouping import stack_measures
 from ledgerlight.plans import scoreboards as sb, views
 

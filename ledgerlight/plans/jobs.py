@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlight.functions import buckets as b, clean, money as m, tiers, typing
-from ledgerlight.functions.calendar import as_date, month_start, next_month
+from ledgerlight.functions.calendar import as_date, month_start
 from ledgerlight.operators import keyed, merge
 from ledgerlight.plans.views import FTD100_THRESHOLD
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from oracle import sql_equity as eq, sql_reports as rp
-from oracle.base import FIRST, LAST, LIVE, NET, NOBONUS, OK, VALID, out, rng
+from oracle import sql_equity as eq
+from oracle.base import NET, NOBONUS, OK, VALID, out, rng
 
 SQL: dict[str, str] = {}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.base import (DEP, FIRST, IN, LAST, LIVE, LIVEACC, NET, OK, OUT, VALID, age, eez, out, rng)
+from oracle.base import (IN, LIVE, NET, OK, OUT, VALID, age, eez, out, rng)
 
 SQL: dict[str, str] = {}
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from ledgerlight.functions.typing import RULES
 from oracle import sql_equity as eq, sql_reports as rp
-from oracle.base import (ALL, COUNTABLE, DEP, FIRST, FULL, IN, LABEL, LAST, LIVE, LIVEACC, NET, NOBONUS, NODEPT, NOTEST, OK, OUT, VALID,
-                         WDR, age, out, rng, score)
+from oracle.base import (COUNTABLE, DEP, FULL, LABEL, LAST, LIVE, LIVEACC, NET, NOBONUS, NODEPT, NOTEST, OK, VALID, WDR, age, out,
+                         rng, score)
 
 SQL: dict[str, str] = {}
 

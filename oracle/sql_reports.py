@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from oracle.base import (COUNTABLE, DEP, FIRST, FULL, LABEL, LAST, LIVE, LIVEACC, NET, NOBONUS, NODEPT, NOTEST, OK, VALID,
-                         WDR, age, eez, out, rng, score)
+from oracle.base import (COUNTABLE, DEP, FIRST, LABEL, LAST, LIVE, LIVEACC, NET, NOBONUS, NODEPT, NOTEST, OK, VALID, WDR, age, out,
+                         rng, score)
 
 SQL: dict[str, str] = {}
 
