@@ -17,8 +17,20 @@ SETTINGS = {
 }
 
 
-def build(app: str = "ledgerlight", master: str | None = None, **extra: str) -> SparkSession:
+PARTITION_MB = 128
+
+
+def sized_for(shuffle_gb: int) -> dict[str, str]:
+    """Settings for the largest shuffle a job expects: about 128 MB per partition, joined up by AQE when smaller."""
+    return {"spark.sql.shuffle.partitions": str(max(200, shuffle_gb * 1024 // PARTITION_MB)),
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{PARTITION_MB}m",
+            "spark.sql.files.maxPartitionBytes": f"{2 * PARTITION_MB}m"}
+
+
+def build(app: str = "ledgerlight", master: str | None = None, shuffle_gb: int | None = None, **extra: str) -> SparkSession:
     """A session with the settings above; on a cluster the master comes from spark-submit."""
+    if shuffle_gb:
+        extra = {**sized_for(shuffle_gb), **extra}
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

@@ -134,6 +134,16 @@ def recompute_days(df: DataFrame, path: str, first: str, last: str, day: str = "
     write_days(df.where(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date"))), path, day)
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """Store a large table bucketed and sorted by its join keys, so that joins and groupings on them need no shuffle.
+
+    Deals are kept by (position, source): matching entries to exits then starts without moving a row.
+    """
+    (df.repartition(buckets, *keys).write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Result as CSV with a header, in as many part files as the result has partitions."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -55,3 +55,20 @@ def test_deal_matching_joins_aggregates(spark):
 
 def test_top_k_is_not_a_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(Domain(spark, FOLDER).money.orderBy(F.desc("usd"), "money_id").limit(5))
+
+
+def test_bucketed_deals_are_matched_without_a_shuffle(spark, tmp_path):
+    from ledgerlight.operators import deals as dl
+    from ledgerlight.sources import tables
+    d = Domain(spark, FOLDER)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = tables.save_bucketed(d.deals, "deals_by_position", str(tmp_path / "deals"), dl.MATCH, 4)
+        text = plan(views.resolved_deals(stored))
+        above_join, below = text.split("Join [position_id", 1)
+        assert "Exchange" in above_join and "Exchange" not in below       # only the final sums by login move
+        cols = ("login", "open_time", "notional", "pairs")
+        assert sorted(map(str, views.resolved_deals(stored).select(*cols).collect())) == sorted(map(str, d.resolved.select(*cols).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS deals_by_position")
