@@ -8,6 +8,8 @@ runs over slices (bounded by the calendar, not by the rows) and only rows of one
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -48,6 +50,18 @@ def hour_slice(time: str) -> Column:
     return F.datediff(F.to_date(time), F.lit("1970-01-01").cast("date")).cast("bigint") * 24 + F.hour(time)
 
 
+def order_key(time: str, tie: str) -> Column:
+    """(time, tie) as one number that sorts alike.
+
+    Aggregates over numbers stay in hash maps; a max over a struct would sort every row before combining.
+    """
+    seconds = F.col(time) - F.lit("1970-01-01").cast("timestamp_ntz")
+    micros = seconds.cast("interval second").cast("decimal(18,6)") * F.lit(1000000)
+    half = F.lit(Decimal(2 ** 63))
+    return (micros.cast("decimal(18,0)") * F.lit(Decimal(10 ** 20))
+            + (F.col(tie).cast("decimal(20,0)") + half)).cast("decimal(38,0)")
+
+
 def _prefix(slices: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Sum of `value` over the earlier slices of the key."""
     w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,13 +130,13 @@ def value_at_cutoff(df: DataFrame, cutoffs: DataFrame, keys: list[str], time: st
                     value: str, order: list[str], keep: list[str]) -> DataFrame:
     """State of a running sum at a per-key cutoff time, without ordering the rows.
 
-    The sum over all rows up to the cutoff equals the running sum at the newest of them; that row's time
-    and `keep` columns come from a max over (time, tie) structs, so both parts combine map-side.
+    The sum over all rows up to the cutoff equals the running sum at the newest of them; that row's `keep`
+    columns come from a max by (time, tie), so both parts combine map-side. `order` is that pair.
     """
-    best = F.max(F.struct(*order, *[c for c in keep if c not in order])).alias("_last")
-    parts = beyond_mark(df, cutoffs, keys, time, cutoff, [F.sum(value).alias("total"), best], after=False)
-    return (parts.groupBy(*keys).agg(F.sum("total").alias("total"), F.max("_last").alias("_last"))
-            .select(*keys, "total", *[F.col(f"_last.{c}").alias(c) for c in dict.fromkeys([time, *keep])]))
+    key = order_key(*order)
+    kept = [F.max_by(c, key).alias(f"_{c}") for c in keep]
+    parts = beyond_mark(df, cutoffs, keys, time, cutoff, [F.sum(value).alias("total"), F.max(key).alias("_key"), *kept], after=False)
+    return parts.groupBy(*keys).agg(F.sum("total").alias("total"), *[F.max_by(f"_{c}", "_key").alias(c) for c in keep])
 
 
 def first_after(df: DataFrame, marks: DataFrame, keys: list[str], time: str, mark: str, out: str) -> DataFrame:

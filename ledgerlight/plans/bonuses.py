@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.functions import money as m, tiers
 from ledgerlight.functions.numeric import round_even
+from ledgerlight.operators import keyed
 from ledgerlight.operators.grouping import stack_measures
 from ledgerlight.plans import scoreboards as sb, views
 
@@ -110,12 +111,12 @@ def sales_bonus(kpis: DataFrame, bonuses: DataFrame, net: DataFrame, targets: Da
 def first_ftd(money: DataFrame) -> DataFrame:
     """The first approved FTD row per account: owner and day.
 
-    A min over a struct in time order combines map-side, so an account with many rows costs one row per task.
+    A min by (time, id) combines map-side, so an account with many rows costs one row per task.
     """
     rows = money.where(m.approved() & (F.col("ftd") == 1))
-    pick = F.min(F.struct("confirmed", "money_id", "owner")).alias("f")
-    return rows.groupBy("account_id").agg(pick).select(
-        "account_id", F.col("f.owner").alias("ftd_owner"), F.to_date("f.confirmed").alias("ftd_day"))
+    return rows.groupBy("account_id").agg(
+        F.min_by("owner", keyed.order_key("confirmed", "money_id")).alias("ftd_owner"),
+        F.to_date(F.min("confirmed")).alias("ftd_day"))
 
 
 def qualified_accounts(accounts: DataFrame, first: str, last: str) -> DataFrame:

@@ -26,10 +26,9 @@ def threshold_clients(money: DataFrame, accounts: DataFrame, threshold=FTD100_TH
               .select("account_id", "confirmed", "money_id", "owner", m.signed_usd().alias("amount")))
     acc = accounts.where(m.real_account()).select(
         "account_id", "account_status", "qualified", "assigned_to")
-    newest = F.max(F.struct("confirmed", "money_id", "owner"))
-    latest = (ledger.groupBy("account_id").agg(F.sum("amount").alias("net_now"), newest.alias("_l"))
-              .select("account_id", "net_now", F.col("_l.confirmed").alias("latest_at"),
-                      F.col("_l.owner").alias("latest_owner")))
+    key = keyed.order_key("confirmed", "money_id")
+    latest = ledger.groupBy("account_id").agg(F.sum("amount").alias("net_now"), F.max("confirmed").alias("latest_at"),
+                                              F.max_by("owner", key).alias("latest_owner"))
     crossed = keyed.first_crossing(ledger, ["account_id"], "confirmed", "money_id", "amount", threshold)
     needs = acc.where((F.col("account_status") != "Sales") & F.col("qualified").isNotNull())
     cutoffs = (needs.select("account_id", "qualified").join(crossed, "account_id", "left")

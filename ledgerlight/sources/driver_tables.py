@@ -266,12 +266,12 @@ VIEWS: dict[str, str] = {
                o_orderdate + INTERVAL '23' HOUR AS decision_time, o_orderdate AS creation_time,
                o_orderdate + INTERVAL '1' DAY * CAST(o_orderkey % 3 AS INT) AS updated
         FROM orders""",
-    "raw_platform_accounts": """
-        SELECT c_custkey * 2 + k AS platform_account_id, c_custkey AS user_id, CAST(c_custkey * 2 + k AS STRING) AS external_id,
+    "raw_platform_accounts": " UNION ALL ".join(f"""
+        SELECT c_custkey * 2 + {k} AS platform_account_id, c_custkey AS user_id, CAST(c_custkey * 2 + {k} AS STRING) AS external_id,
                CASE WHEN c_custkey % 20 = 7 THEN 1 ELSE 0 END AS is_demo, CAST(ROUND(c_acctbal * 100) AS BIGINT) AS equity_cents,
                CAST(ROUND(c_acctbal * 50) AS BIGINT) AS balance_cents, CASE WHEN c_custkey % 61 = 9 THEN 1 ELSE 0 END AS is_deleted,
-               CAST(DATE '1995-01-01' + CAST(c_custkey * 5 % 2400 AS INT) AS {TS}) AS updated
-        FROM customer JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) two ON TRUE""",
+               CAST(DATE '1995-01-01' + CAST(c_custkey * 5 % 2400 AS INT) AS {{TS}}) AS updated
+        FROM customer""" for k in (0, 1)),
     "raw_lookups": """
         SELECT 'status' AS kind, 0 AS key, 'Success' AS value UNION ALL SELECT 'status', 1, 'Pending'
         UNION ALL SELECT 'status', 2, 'Declined' UNION ALL SELECT 'type', 0, 'Deposit' UNION ALL SELECT 'type', 1, 'Withdrawal'

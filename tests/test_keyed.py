@@ -87,3 +87,12 @@ def test_effective_dates(spark):
 def test_previous_day_needs_adjacent_days(spark):
     df = spark.createDataFrame([(1, "2024-01-01", 5), (1, "2024-01-02", 6), (1, "2024-01-04", 7)], "k int, d string, v int").withColumn("d", F.col("d").cast("date"))
     assert [r[0] for r in keyed.previous_day(df, ["k"], "d", {"v": "p"}).orderBy("d").select("p").collect()] == [None, 5, None]
+
+
+def test_order_key_sorts_like_time_and_id(spark):
+    times = ["1969-12-31 23:59:59.999999", "1970-01-01 00:00:00", "2024-01-01 10:00:00", "2024-01-01 10:00:00.000001", "9000-01-01 00:00:00"]
+    pairs = [(ts(t), i) for t in times for i in (-5, 0, 7, 2 ** 62)]
+    df = spark.createDataFrame(pairs, "at timestamp_ntz, id long").withColumn("k", keyed.order_key("at", "id"))
+    assert [(r.at, r.id) for r in df.orderBy("k").collect()] == sorted(pairs)
+    text = plan(df.groupBy(F.hour("at")).agg(F.max_by("id", "k")))
+    assert "SortAggregate" not in text
