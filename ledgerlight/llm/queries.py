@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlight.llm import line_chunks
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -29,3 +31,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlight.llm.quality import quality_scores
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlight.llm.line_chunks import drop_repeated_chunks
+    return drop_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL["op9_line_dedup"] = line_chunks.comparison_sql()
