@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerlight.llm import shingles
 
@@ -145,7 +145,7 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
             scores = [probability(pooled(table, data[offsets[r]:offsets[r + 1]])[0], out, bias) for r in range(len(batch))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(of, docs.schema.add("score", "double"))
+    return docs.mapInArrow(of, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
