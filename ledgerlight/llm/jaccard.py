@@ -6,9 +6,10 @@ bounds their overlap from above, and so does the sum against the upper corner of
 Which points meet in a tree: two sets that link share a shingle among the first n/4 + 1 of either under any common
 order, so each such shingle is a bucket. The order puts shingles of crowded hash groups last (document counts of
 32,768 groups over all texts: a table of fixed size), so that passages of many documents rarely make a bucket.
-Within a bucket the texts are chained by size, the chains verified and joined to components; only buckets that still
-hold several components are searched, with R-trees over tiles of bounded size, for links between components. So a
-group of m near copies costs m checks a bucket and not m * m, and no link that matters to the components is lost.
+Within a bucket each text meets the one that shares most buckets with others, in a group of copies mostly their
+original. These pairs are verified and joined to components; buckets that still hold several components are searched,
+with R-trees over tiles of bounded size, for links between components. So a group of m near copies costs m checks a
+bucket and not m * m, and no link that matters to the components is lost.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerlight.llm import shingles
 from ledgerlight.llm.components import components
-from ledgerlight.llm.storage import stored
+from ledgerlight.llm.storage import sieved, stored
 
-DIMENSIONS = 128         # coordinates of a point
+DIMENSIONS = 1024        # coordinates of a point
 ORDER_BITS = 15          # hash groups for the order of shingles
 TILE = 2048              # points in a tree at most, about
 LEAF, FANOUT = 32, 16
@@ -59,7 +60,7 @@ class RTree:
             top, low, high, width = self.levels[depth]
             fits = (4 * high[found] >= 3 * size) & (3 * low[found] <= 4 * size)
             found = found[fits]
-            bound = np.minimum(top[found], point).sum(axis=1)
+            bound = np.minimum(top[found], point).sum(axis=1, dtype=np.int64)
             found = found[enough(bound, size, low[found])]
             below = len(self.levels[depth - 1][0]) if depth else len(self.points)
             found = (found[:, None] * width + np.arange(width)).ravel()
@@ -67,7 +68,15 @@ class RTree:
         sizes = self.sizes[found]
         keep = (4 * sizes >= 3 * size) & (3 * sizes <= 4 * size)
         found = found[keep]
-        return self.order[found[enough(np.minimum(self.points[found], point).sum(axis=1), size, self.sizes[found])]]
+        return self.order[found[enough(np.minimum(self.points[found], point).sum(axis=1, dtype=np.int64), size, self.sizes[found])]]
+
+
+def decoded(points: list[bytes]) -> np.ndarray:
+    """Group counts by row. Empty bytes stand for counts beyond 255: such a point is the top corner, and the bound lets it through."""
+    out = np.full((len(points), DIMENSIONS), 65535, np.uint16)
+    given = [i for i, p in enumerate(points) if p]
+    out[given] = np.frombuffer(b"".join(points), np.uint8).reshape(len(given), DIMENSIONS)
+    return out
 
 
 def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +86,8 @@ def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes in shingles.shingle_sets(batch.column(1)):
             keys.append(shingles.set_key(codes))
             sizes.append(len(codes))
-            points.append(np.bincount((codes & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS).astype("<u4").tobytes())
+            point = np.bincount((codes & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS)
+            points.append(point.astype(np.uint8).tobytes() if point.max() < 256 else b"")
             counts += np.bincount((codes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
         yield features_batch(batch.column(0), keys, sizes, points, None)
     yield features_batch(pa.nulls(1, pa.int64()), [None], [None], [None], [counts])
@@ -130,28 +140,39 @@ def signature_batch(tokens, keys, sizes) -> pa.RecordBatch:
 
 
 def buckets(marks: DataFrame) -> DataFrame:
-    """(token, key, n, before, n_before) of tokens with at least two different sets, chained by size."""
+    """(token, key, n, members) of tokens with at least two different sets."""
     along = Window.partitionBy("token").orderBy("n", "key")
     once = marks.withColumn("before", F.lag("key").over(along)).where("before is null or before <> key")
-    chained = once.withColumn("n_before", F.lag("n").over(along)).withColumn("after", F.lead("key").over(along))
-    return chained.where("before is not null or after is not null").drop("after")
+    chained = once.withColumn("after", F.lead("key").over(along)).where("before is not null or after is not null")
+    return chained.withColumn("members", F.count("*").over(Window.partitionBy("token"))).select("token", "key", "n", "members")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of set keys those that link: bound by count vectors, then compared on their texts."""
+def centred(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of set keys: in each bucket every set with the one whose tokens meet most others."""
+    known = shared.groupBy("key").agg(F.sum("members").alias("known"))
+    inside = Window.partitionBy("token").orderBy(F.desc("known"), "key")
+    met = (shared.join(known, "key").withColumn("centre", F.first("key").over(inside)).withColumn("n_centre", F.first("n").over(inside))
+           .where("key <> centre and 4 * least(n, n_centre) >= 3 * greatest(n, n_centre)"))
+    return met.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+
+
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of set keys those whose count vectors allow a link."""
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(len(batch), -1) for c in ("pa", "pb"))
-                n = sum(batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-                kept = batch.filter(pa.array(7 * np.minimum(p, q).sum(axis=1, dtype=np.int64) >= 3 * n))
-                yield kept.select(["a", "b", "da", "db"])
-
-    side = lambda x: classes.select(F.col("key").alias(x), F.col("doc").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
-    kept = stored(pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-                  .mapInArrow(bound, "a long, b long, da long, db long"), "bounded")
-    needed = kept.select(F.col("a").alias("key"), F.col("da").alias("doc_id")).union(kept.select("b", "db")).distinct()
-    texts = needed.join(docs.select("doc_id", "text"), "doc_id").select("key", "text")
+            p, q = (decoded(batch.column(c).to_pylist()) for c in ("pa", "pb"))
+            a, b = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            yield batch.select(["a", "b"]).filter(pa.array(enough(np.minimum(p, q).sum(axis=1, dtype=np.int64), a, b)))
+
+    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of set keys those that link, compared on their texts."""
+    needed = stored(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+                    .join(classes.select("key", F.col("doc").alias("doc_id")), "key"), "needed")
+    texts = needed.join(sieved(docs, F.col("doc_id"), needed.select("doc_id")), "doc_id").select("key", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +183,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
                 good.append(shingles.set_key(x) == ka and shingles.set_key(y) == kb and enough(common, len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    with_a = kept.select("a", "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+    with_a = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
     return with_b.mapInArrow(compare, "a long, b long").distinct()
 
@@ -201,7 +222,7 @@ def tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def searched(rows: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
     lo, hi, tile, key, root, size = (rows.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "tile", "key", "root", "n"))
-    points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(len(rows), -1).astype(np.int64)
+    points = decoded(rows.column("point").to_pylist())
     left, right, start = [], [], 0
     for stop in cut:
         at = np.arange(start, stop)
@@ -234,11 +255,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = stored(described.where("doc_id is not null and n > 0").groupBy("key").agg(
         F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("point").alias("point")), "classes")
     shared = stored(buckets(signatures(docs, order)), "buckets")
-    chained = shared.where("before is not null and 3 * n <= 4 * n_before").select(
-        F.least("before", "key").alias("a"), F.greatest("before", "key").alias("b")).distinct()
-    near = stored(verified(chained, classes, docs), "links")
+    first = stored(centred(shared), "pairs")
+    near = stored(verified(stored(bounded(first, classes), "pairs"), classes, docs), "links")
     roots = stored(components(near).select(F.col("node").alias("key"), "root"), "roots")
-    rest = across(shared, roots, classes).join(chained, ["a", "b"], "left_anti")
+    rest = stored(across(shared, roots, classes).join(first, ["a", "b"], "left_anti"), "pairs")
     far = stored(verified(rest, classes, docs), "links")
     ids = classes.select("key", "doc")
     named = near.union(far).join(ids.select(F.col("key").alias("a"), F.col("doc").alias("da")), "a").join(
