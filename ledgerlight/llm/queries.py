@@ -40,3 +40,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op9_line_dedup"] = line_chunks.comparison_sql()
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlight.llm.decontaminate import leaks
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
