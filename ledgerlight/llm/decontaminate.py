@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerlight.llm.shingles import LOWER, SPACE, buffers, chunks, mixed, stream
 
@@ -164,55 +164,80 @@ def normal(text: str | None) -> bytes:
     return normalised(data, np.array([0, len(data)]))[0].tobytes()[:-1].strip()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits) for each text of `docs` (doc_id, text) that leaks an item of `benchmark` (item_id, text).
-
-    One row for each pair of ids, with the least edits seen; other columns are ignored. Null and empty texts leak
-    nothing; items without id or text, or with fewer than MIN_ITEM bytes, are left out; a null doc_id is reported as
-    null. Repeated rows of either table count once. Items are taken in blocks of BLOCK_BYTES, one pass over the texts
-    for each, so what goes to the executors is bounded. An empty table gives an empty result.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    block, size, found = [], 0, None
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+    """Normalised items in blocks of BLOCK_BYTES; at least one block, which may be empty."""
+    block, size = [], 0
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
-    for row in [*rows.toLocalIterator(), None]:
-        if row is None or size >= BLOCK_BYTES:
-            if block or found is None:
-                part = leaks_of(docs, block)
-                found = part if found is None else found.unionByName(part)
-            block, size = [], 0
-        if row is not None and len(item := normal(row["text"])) >= MIN_ITEM:
+    for row in rows.toLocalIterator():
+        item = normal(row["text"])
+        if len(item) >= MIN_ITEM:
+            if block and size + len(item) > BLOCK_BYTES:
+                yield block
+                block, size = [], 0
             block.append((int(row["item_id"]), item))
             size += len(item)
-    return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+    yield block
+
 
+LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.LongType())]))
+
+
+def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`docs` (a column text, any others) with a column leaks: (item_id, edits) of each item that the text leaks, by item.
+
+    `edits` is the least number seen. Null and empty texts leak nothing; items without id or text, or with fewer than
+    MIN_ITEM bytes, are left out; repeated items count once. Items are taken in blocks of BLOCK_BYTES, one pass over the
+    texts for each, so what goes to the executors is bounded. Rows are neither dropped nor added; an own column leaks is
+    replaced.
+    """
+    out = docs.drop("leaks").withColumn("leaks", F.lit(None).cast(LEAKS))
+    for block in blocks(benchmark):
+        out = marked_by(out, block)
+    return out
+
+
+def marked_by(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
+    place = docs.columns.index("text")
 
-def leaks_of(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows)
         for batch in batches:
-            ids, out = batch.column(0), []
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(place))
+            found: list[list[tuple[int, int]]] = [list(map(tuple, (x.values() for x in old or ()))) for old in batch.column(len(batch.columns) - 1).to_pylist()]
             for lo, hi in chunks(offsets):
                 text, begin = normalised(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 ends = np.append(begin[1:], len(text)) - 1
-                tried: dict[tuple[int, int], int] = {}
+                least: dict[tuple[int, int], int] = {}
                 seen: set[tuple[int, int, int]] = set()
                 for i, at, window in items.candidates(text).tolist():
                     item, r = rows[i][1], int(np.searchsorted(begin, window, side="right")) - 1
                     most = int(RATE * len(item))
                     low, high = max(int(begin[r]), at - 2 * most), min(int(ends[r]), at + len(item) + 2 * most)
-                    if high - low >= len(item) - most and tried.get((r, i)) != 0 and (r, i, low) not in seen:
+                    if high - low >= len(item) - most and least.get((r, i)) != 0 and (r, i, low) not in seen:
                         seen.add((r, i, low))
                         edits = best_edits(item, text[low:high].tobytes(), most)
                         if edits is not None:
-                            tried[r, i] = min(edits, tried.get((r, i), edits))
-                out += [(ids[lo + r].as_py(), rows[i][0], edits) for (r, i), edits in tried.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], ["doc_id", "item_id", "edits"])
+                            least[r, i] = min(edits, least.get((r, i), edits))
+                for (r, i), edits in sorted(least.items()):
+                    found[lo + r].append((rows[i][0], edits))
+            marks = [[{"item_id": i, "edits": e} for i, e in row] for row in found]
+            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, kind)], batch.schema.names)
+
+    return docs.mapInArrow(of, docs.schema)
+
 
-    return docs.mapInArrow(of, "doc_id long, item_id long, edits long")
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, edits) for each text of `docs` (doc_id, text) that leaks an item of `benchmark` (item_id, text).
+
+    One row for each pair of ids, with the least edits; see marked(). Other columns are ignored; repeated rows count
+    once; a null doc_id is reported as null. An empty table gives an empty result.
+    """
+    found = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark)
+    pairs = found.select("doc_id", F.explode_outer("leaks").alias("leak")).where("leak is not null")
+    return pairs.groupBy("doc_id", "leak.item_id").agg(F.min("leak.edits").alias("edits"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id leaks no item; a row without doc_id stays."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of `docs` whose text leaks no item."""
+    return marked(docs, benchmark).where(F.size("leaks") == 0).select([F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlight.llm import line_chunks
 
@@ -46,3 +46,13 @@ SQL["op9_line_dedup"] = line_chunks.comparison_sql()
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlight.llm.decontaminate import leaks
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op3_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlight.llm.pieces import model_bytes, tokenised
+    out = tokenised(table(spark, sf_dir, "documents"), model_bytes(spark, PIECE_MODEL))
+    return out.select("doc_id", "n_tokens", "n_bytes", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
