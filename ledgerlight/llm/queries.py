@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlight.llm import line_chunks
+from ledgerlight.llm.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,3 +57,18 @@ def op3_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlight.llm.pieces import model_bytes, tokenised
     out = tokenised(table(spark, sf_dir, "documents"), model_bytes(spark, PIECE_MODEL))
     return out.select("doc_id", "n_tokens", "n_bytes", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlight.llm.warc import deduplicated_archives
+    out = deduplicated_archives(table(spark, sf_dir, "pages"), shared_folder(spark, "archives"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op1_warc_revisits"] = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+q as (select page_id, strlen(payload)::bigint as payload_bytes, sha1(payload) as payload_digest, max(page_id) over (partition by payload) as last from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> last then last end as refers_to
+from q"""
