@@ -107,3 +107,13 @@ select conv_id, count(*)::bigint as n_turns,
        sha256(coalesce(string_agg(text, '' order by turn, role nulls first, text) filter (where role = 'assistant'), '')) as loss_sha256,
        (sum(n) + 3)::bigint as formatted_chars
 from f group by conv_id"""
+
+
+BYTE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlight.llm.pieces import model_bytes
+    from ledgerlight.llm.token_files import token_counts
+    return token_counts(table(spark, sf_dir, "documents"), model_bytes(spark, BYTE_RANKS))
