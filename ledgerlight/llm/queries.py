@@ -117,3 +117,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlight.llm.pieces import model_bytes
     from ledgerlight.llm.token_files import token_counts
     return token_counts(table(spark, sf_dir, "documents"), model_bytes(spark, BYTE_RANKS))
+
+
+@query
+def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlight.llm.reshard import resharded
+    return resharded(table(spark, sf_dir, "documents"))
