@@ -123,3 +123,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlight.llm.reshard import resharded
     return resharded(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlight.llm import onebit
+    index = stored(onebit.indexed(onebit.fit_to_search(table(spark, sf_dir, "embeddings"))), "index")
+    return onebit.searched(index.where("vec_id % 20 = 0").select("vec_id", "v", "dim"), index)
