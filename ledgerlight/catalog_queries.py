@@ -211,11 +211,11 @@ FLOOR = "1995-01-01"
 
 @query
 def R6_marketing_day(d: Domain):
-    return campaigns.marketing_day(d.money, d.accounts, d.campaigns, d.agents, LIVE, "campaign_channel", "country", FLOOR)
+    return campaigns.marketing_day(d.money, d.accounts, d.campaigns, d.agents, LIVE, "campaign_channel", "country", floor_day=FLOOR)
 
 
 def _cards(d: Domain, chosen=None):
-    return campaigns.campaign_cards(d.money, d.accounts, d.campaigns, d.agents, d.traders, FIRST, LAST, LIVE, chosen, FLOOR)
+    return campaigns.campaign_cards(d.money, d.accounts, d.campaigns, d.agents, d.traders, FIRST, LAST, LIVE, chosen, floor_day=FLOOR)
 
 
 @query
@@ -231,7 +231,7 @@ def R7_campaign_cards_filtered(d: Domain):
 
 def _table(d: Domain, groups, period=None, chosen=None):
     return campaigns.campaign_table(d.money, d.accounts, d.campaigns, d.agents, d.deals, d.positions, d.bridge, FIRST, LAST, LIVE,
-                                    groups, period, chosen, FLOOR)
+                                    groups, period, chosen, floor_day=FLOOR)
 
 
 @query
@@ -239,6 +239,14 @@ def R8_campaign_table(d: Domain):
     return campaigns.with_rates(_table(d, ("marketing_group", "segmentation")))
 
 
+@query
+def R8_campaign_table_qualified(d: Domain):
+    """With a qualification filter, which takes the place of the report's range for FTC."""
+    out = campaigns.campaign_table(d.money, d.accounts, d.campaigns, d.agents, d.deals, d.positions, d.bridge, "1998-01-01", "1998-06-30", LIVE,
+                                   ("marketing_group",), None, {"qualified": ("1995-06-01", "2001-05-31")}, floor_day=FLOOR)
+    return campaigns.with_rates(out)
+
+
 @query
 def R8_campaign_table_by_month(d: Domain):
     return campaigns.with_rates(_table(d, ("office_name",), "month"))
@@ -259,7 +267,7 @@ def R9_filter_lists(d: Domain):
 def _aging(d: Domain, groups, labels=None, chosen=None):
     traded = views.traded_notional(d.deals, d.positions, None)
     return aging.aging_report(d.money, d.accounts, d.agents, d.campaigns, d.std, aging.traded_accounts(traded, d.bridge),
-                              LAST, groups, labels, chosen, FLOOR)
+                              LAST, groups, labels, chosen, floor_day=FLOOR)
 
 
 @query
@@ -345,10 +353,8 @@ def R23_month_end_total(d: Domain):
 def _bridge(d: Domain):
     rows = equity.per_login_live(d.equity, d.bonuses, d.bridge, d.accounts, d.positions, d.deals, d.platform_users,
                                  d.snapshots, LIVE, with_equity=False)
-    net = (d.money.where(m.valid_money() & m.between_days("confirmed", LIVE, LIVE))
-           .groupBy(F.expr("try_cast(login AS bigint)").alias("login"))
-           .agg(F.sum(m.signed_usd()).cast("decimal(28,4)").alias("net_usd")))
-    return equity.pnl_bridge(rows, net)
+    return equity.pnl_bridge(equity.bridge_logins(d.bridge, d.accounts), rows,
+                             equity.net_by_login(d.money, d.bridge, d.accounts, LIVE))
 
 
 @query
@@ -368,7 +374,7 @@ def R31_top_gaps(d: Domain):
 
 @query
 def R32_cash_pnl_series(d: Domain):
-    return equity.cash_pnl_series(d.equity, d.snapshots, d.kpis, d.bonuses)
+    return equity.cash_pnl_series(d.equity, d.snapshots, d.kpis, d.bonuses, equity.bridge_logins(d.bridge, d.accounts, with_equity=True))
 
 
 @query

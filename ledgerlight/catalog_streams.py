@@ -9,9 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlight.catalog import Domain, query
+from ledgerlight.catalog import FIRST, Domain, query
 from ledgerlight.functions import money as m
-from ledgerlight.plans import jobs
+from ledgerlight.plans import jobs, scoreboards as sb, views
 from ledgerlight.schemas import _schema
 from ledgerlight.sources import feeds, tables
 from ledgerlight.sources.driver_tables import VIEWS
@@ -51,13 +51,13 @@ def I3_resume_after_max(d: Domain):
 
 @query
 def I4_stream_deduplicated(d: Domain):
+    """Payments delivered twice, kept once, however late the second delivery is."""
     root = _folder(d)
     stream = _money_stream(d).select("money_id", "type", "usd", "confirmed")
-    out = streams.deduplicated(stream.unionByName(stream), ["money_id"], "confirmed", "4000 days")
-    (out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint")
-     .trigger(availableNow=True).start().awaitTermination())
-    return d.spark.read.parquet(f"{root}/rows").groupBy("type").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("usd").cast("decimal(28,4)").alias("usd"))
+    table = tables.PartitionedTable(d.spark, f"{root}/rows", ["money_id"], _schema("money_id:long type:str usd:usd confirmed:ts"),
+                                    "confirmed_year", F.year("confirmed"))
+    streams.merge_stream(stream.unionByName(stream), table, ["confirmed"], f"{root}/checkpoint").awaitTermination()
+    return table.read().drop("confirmed_year")
 
 
 @query
@@ -71,10 +71,42 @@ def I5_M16_reprocessed_days(d: Domain):
 
 @query
 def I6_stream_daily_totals(d: Domain):
-    """Additive day totals by owner kept up to date by a windowed stream."""
+    """Additive day totals by owner, of the days that each batch of the stream touches."""
     root = _folder(d)
-    table = tables.VersionedTable(d.spark, f"{root}/totals", ["agent_id", "tx_date"], _schema(
-        "agent_id:long tx_date:date net_usd:usd deposit_usd:usd withdrawal_usd:usd ftd_count:long"))
     rows = _money_stream(d).where(F.col("owner").isNotNull() & m.valid_money())
-    streams.write_daily_totals(rows, table, f"{root}/checkpoint", "4000 days").awaitTermination()
-    return table.read()
+    ledger = tables.PartitionedTable(d.spark, f"{root}/ledger", ["money_id"], rows.schema, "confirmed_year", F.year("confirmed"))
+    streams.write_daily_totals(rows, ledger, f"{root}/totals", ["confirmed"], f"{root}/checkpoint").awaitTermination()
+    return d.spark.read.parquet(f"{root}/totals").select("agent_id", F.col("tx_date").cast("date").alias("tx_date"), *streams.MEASURES)
+
+
+def _refreshed(d: Domain) -> tuple[dict[str, tables.VersionedTable], tables.Audit]:
+    """Two views, one on top of the other, rebuilt into stored tables in dependency order."""
+    root = _folder(d)
+    targets = {n: tables.VersionedTable(d.spark, f"{root}/{n}", ["agent_id"]) for n in ("daily_kpis", "run_rate_base")}
+    build = {"daily_kpis": lambda: d.kpis, "run_rate_base": lambda: views.run_rate_base(targets["daily_kpis"].read(), d.agents)}
+    log = tables.Audit(d.spark, f"{root}/log")
+    tables.refresh(build, targets, [n for n in views.build_order() if n in targets], log)
+    return targets, log
+
+
+@query
+def V9_stored_views(d: Domain):
+    """The run rate, read from the table that a refresh stored."""
+    return _refreshed(d)[0]["run_rate_base"].read()
+
+
+@query
+def M15_audit_rows(d: Domain):
+    """What the refresh logged: a row for each view with its number of rows and how it ended."""
+    return _refreshed(d)[1].read().select("table_name", "rows", "status", "error")
+
+
+@query
+def R13_targets_by_source(d: Domain):
+    """Targets of one month from either side of the switch between the two target tables."""
+    history = d.targets.select(F.col("month").alias("report_month"), F.expr("try_cast(agent_id AS bigint)").alias("agent_id"),
+                               F.col("ftc").cast("int").alias("ftd100_target"), F.col("net").alias("net_target"))
+    sides = {"plan": "2099-01-01", "history": "1990-01-01"}
+    parts = [sb.targets_for(FIRST, d.targets, history, switch).select(F.lit(side).alias("side"), "agent_id", "target_ftc", "target_net")
+             for side, switch in sides.items()]
+    return parts[0].unionByName(parts[1])

@@ -99,8 +99,7 @@ def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
                             for c in columns]))
 
 
-def options(df: DataFrame, column: str, cap: int = 2000) -> DataFrame:
-    """Sorted distinct non-blank values of a filter list; the cap is the list's page size."""
+def options(df: DataFrame, column: str) -> DataFrame:
+    """All distinct non-blank values of a filter list; a caller that pages orders and limits them."""
     return (df.select(F.col(column).cast("string").alias("value"))
-            .where(F.col("value").isNotNull() & (F.trim("value") != ""))
-            .distinct().orderBy("value").limit(cap))
+            .where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct())

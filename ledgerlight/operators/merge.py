@@ -68,13 +68,11 @@ def insert_missing(base: DataFrame, delta: DataFrame, keys: list[str], order: li
     return base.unionByName(new.join(base.select(*keys), keys, "left_anti").select(*base.columns))
 
 
-def sync_snapshot(snapshot: DataFrame, keys: list[str], order: list, allow_empty: bool = False) -> DataFrame:
+def sync_snapshot(snapshot: DataFrame, keys: list[str], order: list) -> DataFrame:
     """State after 'insert or update what is there, delete what is not': the snapshot itself.
 
-    An empty snapshot would clear the table, so it needs an explicit opt-in.
+    An empty snapshot would clear the table; VersionedTable.sync_snapshot refuses that unless told otherwise.
     """
-    if not allow_empty and snapshot.isEmpty():
-        raise ValueError("empty snapshot: pass allow_empty=True to clear the table")
     return last_per_key(snapshot, keys, order)
 
 

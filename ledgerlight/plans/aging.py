@@ -48,7 +48,7 @@ LABELS = {"country": "country", "region": "country", "retention_status": "retent
 
 def aging_report(money: DataFrame, accounts: DataFrame, agents: DataFrame, campaigns: DataFrame, std: DataFrame,
                  volume: DataFrame, end: str, groups: tuple = ("days_from_ftc",), labels: dict[str, DataFrame] | None = None,
-                 chosen: Column | None = None, floor_day: str = views.FLOOR_DAY) -> DataFrame:
+                 chosen: Column | None = None, *, floor_day: str) -> DataFrame:
     """Qualified clients up to a day by one or two groups, with money, second deposits and traders.
 
     `labels` holds code -> label tables (code, label). They are joined before grouping, so codes that share a

@@ -87,7 +87,7 @@ LTV_WINDOWS = (30, 60, 90, 120)
 
 
 def marketing_day(money: DataFrame, accounts: DataFrame, campaigns: DataFrame, agents: DataFrame, day: str,
-                  group1: str = "marketing_group", group2: str = "country", floor_day: str = views.FLOOR_DAY) -> DataFrame:
+                  group1: str = "marketing_group", group2: str = "country", *, floor_day: str) -> DataFrame:
     """Leads, live, FTD and FTC of one day with conversion rates, and net per FTC over trailing windows.
 
     The windows are nested, so one pass over the longest one feeds all of them by conditional sums.
@@ -135,7 +135,7 @@ def marketing_day(money: DataFrame, accounts: DataFrame, campaigns: DataFrame, a
 
 
 def campaign_cards(money: DataFrame, accounts: DataFrame, campaigns: DataFrame, agents: DataFrame, traders: DataFrame,
-                   first: str, last: str, as_of: str, chosen: dict | None = None, floor_day: str = views.FLOOR_DAY) -> DataFrame:
+                   first: str, last: str, as_of: str, chosen: dict | None = None, *, floor_day: str) -> DataFrame:
     """Leads, live, FTD, FTC (range and last day), money, traders and average scores; one row.
 
     Filters narrow all figures but traders, which follow the trader report. With filters the money leaves out
@@ -186,7 +186,7 @@ TABLE_SPEC = {
 def campaign_table(money: DataFrame, accounts: DataFrame, campaigns: DataFrame, agents: DataFrame, deals: DataFrame,
                    positions: DataFrame, bridge: DataFrame, first: str, last: str, as_of: str,
                    groups: tuple = (), period: str | None = None, chosen: dict | None = None,
-                   floor_day: str = views.FLOOR_DAY) -> DataFrame:
+                   *, floor_day: str) -> DataFrame:
     """The funnel by up to two groups and a period: six aggregates on one key, stacked and summed once."""
     dims = Dims(accounts, campaigns, agents, as_of, groups, chosen)
     base = dims.prepared()
@@ -203,7 +203,8 @@ def campaign_table(money: DataFrame, accounts: DataFrame, campaigns: DataFrame,
     people = known.where(m.between_days("created", first, last)).groupBy(*at(F.col("created"))).agg(
         F.count(F.lit(1)).alias("leads"), F.count_if(live).alias("live_accounts"),
         _exact_avg(F.when(live, F.col("_score"))).alias("live_avg_score"))
-    ftc = known.where(m.between_days("qualified", first, last)).groupBy(*at(F.col("qualified"))).agg(
+    q_first, q_last = (chosen or {}).get("qualified") or (first, last)   # a qualification filter moves the FTC range
+    ftc = known.where(m.between_days("qualified", q_first, q_last)).groupBy(*at(F.col("qualified"))).agg(
         F.count(F.lit(1)).alias("ftc"))
     owners = agents.where(~m.countable_agent()).select(F.col("agent_id").alias("owner"))
     real = base.where(m.real_account()).select("account_id", "qualified", "_score", *dims.keys)
@@ -280,15 +281,17 @@ def table_totals(rows: DataFrame) -> DataFrame:
     return with_rates(rows.agg(*sums, weighted("live_avg_score", "live_accounts"), weighted("ftd_avg_score", "ftd")))
 
 
-def filter_lists(accounts: DataFrame, campaigns: DataFrame, agents: DataFrame, cap: int = 2000) -> DataFrame:
-    """The option lists of the report filters, one row per list and value."""
+def filter_lists(accounts: DataFrame, campaigns: DataFrame, agents: DataFrame) -> DataFrame:
+    """The option lists of the report filters, one row per list and value; one pass over each table."""
     used = agents.join(accounts.select(F.col("assigned_to").alias("agent_id")), "agent_id", "left_semi")
-    sources = {"marketing_group": (campaigns, "marketing_group"), "channel": (campaigns, "channel"),
-               "sub_channel": (campaigns, "sub_channel"), "legacy_id": (campaigns, "legacy_id"),
-               "campaign_name": (campaigns, "name"), "affiliate": (accounts, "affiliate"), "country": (accounts, "country"),
-               "office": (used, "office_name"), "agent": (used, "agent_name"), "team": (used, "desk_name")}
-    out = None
-    for name, (df, column) in sources.items():
-        part = filters.options(df, column, cap).select(F.lit(name).alias("list"), "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+    sources = [(campaigns, {"marketing_group": "marketing_group", "channel": "channel", "sub_channel": "sub_channel",
+                            "legacy_id": "legacy_id", "campaign_name": "name"}),
+               (accounts, {"affiliate": "affiliate", "country": "country"}),
+               (used, {"office": "office_name", "agent": "agent_name", "team": "desk_name"})]
+
+    def values(df: DataFrame, lists: dict[str, str]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(n).alias("list"), F.col(c).cast("string").alias("value")) for n, c in lists.items()])
+        return (df.select(F.inline(pairs)).where(F.col("value").isNotNull() & (F.trim("value") != "")).distinct())
+
+    parts = [values(df, lists) for df, lists in sources]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -65,7 +65,7 @@ def eez_month(equity: DataFrame, bonuses: DataFrame, bridge: DataFrame, accounts
     latest = keyed.newest(equity.where((F.col("at") >= _ts(start)) & (F.col("at") < _ts(after))), ["login"], ["at", "source"])
     earlier = equity.where(F.col("at") < _ts(start))
     opening_day = earlier.agg(F.to_date(F.max("at"))).scalar()
-    opening = keyed.newest(earlier.where(F.to_date("at") == opening_day), ["login"], ["at", "source"]).select(
+    opening = keyed.newest(earlier.where((F.col("at") >= _ts(opening_day)) & (F.col("at") < _ts(F.date_add(opening_day, 1)))), ["login"], ["at", "source"]).select(
         "login", _floor(F.coalesce(F.col("equity"), m.zero())).alias("e"), _floor(_net()).alias("n"))
     flags = jobs.test_logins(bridge, accounts, live_only=False)
     bonus = bonus_until(bonuses, _ts(F.date_add(_day(as_of), 1)))
@@ -188,11 +188,21 @@ def pick_fresher(remote: DataFrame | None, local: DataFrame, time: str, oldest:
 # ---- R31 ---------------------------------------------------------------------------------------------------
 
 
-def pnl_bridge(rows: DataFrame, net_by_login: DataFrame) -> DataFrame:
-    """Per login the opening equity, money, PnL, what they add up to, the live value and the gap."""
+def net_by_login(money: DataFrame, bridge: DataFrame, accounts: DataFrame, day: str) -> DataFrame:
+    """Money of a day without bonus comments, of non-test accounts, counted for every live login of the account."""
+    logins = (bridge.where(m.not_deleted() & F.col("account_id").isNotNull())
+              .select(F.expr("try_cast(login AS bigint)").alias("login"), "account_id").where("login IS NOT NULL"))
+    real = accounts.where(m.real_account()).select("account_id")
+    paid = (money.where(m.valid_money() & m.not_bonus_comment() & m.between_days("confirmed", day, day))
+            .groupBy("account_id").agg(F.sum(m.signed_usd()).cast(USD).alias("usd")).join(real, "account_id", "left_semi"))
+    return logins.join(paid, "account_id").groupBy("login").agg(F.sum("usd").cast(USD).alias("net_usd"))
+
+
+def pnl_bridge(logins: DataFrame, rows: DataFrame, net: DataFrame) -> DataFrame:
+    """For each of the logins, and only these, opening equity, money, PnL, what they add up to, the live value and the gap."""
     dpnl = F.col("floating_now") - F.col("eod_floating") + F.col("closed_pnl")
     live = _floor(F.col("balance_now") + F.col("floating_now") - F.col("credit_now") - _floor(F.col("bonus")))
-    both = rows.join(net_by_login, "login", "full").fillna(0)
+    both = logins.select("login").distinct().join(rows, "login", "left").join(net, "login", "left").fillna(0)
     out = both.select("login", "start_eez", F.col("net_usd").alias("net_dep"), dpnl.cast(USD).alias("daily_pnl"),
                       live.cast(USD).alias("live_eez"))
     out = out.withColumn("formula", (F.col("start_eez") + F.col("net_dep") + F.col("daily_pnl")).cast(USD))
@@ -216,13 +226,14 @@ def top_gaps(bridge: DataFrame, column: str = "gap", least: float = 100, k: int
 
 
 def cash_pnl_series(equity: DataFrame, snapshots: DataFrame, kpis: DataFrame, bonuses: DataFrame,
-                    reference: DataFrame | None = None) -> DataFrame:
+                    logins: DataFrame, reference: DataFrame | None = None) -> DataFrame:
     """Daily cash PnL by several formulas side by side, against reference values when given.
 
     All closing sums of a day come from one pass over the newest row per login and day; the day before is an
-    equi join on the shifted date over one row per day.
+    equi join on the shifted date over one row per day. Only equity of the given logins counts: live, not test,
+    with equity on the bridge.
     """
-    days = jobs.equity_by_day(equity)
+    days = jobs.equity_by_day(equity).join(logins.select("login").distinct(), "login", "left_semi")
     credit = _floor(F.col("equity") - F.col("balance") - F.col("floating"))
     floating = F.coalesce(F.col("floating"), m.zero())
     sums = days.groupBy("day").agg(
@@ -257,12 +268,12 @@ def cash_pnl_series(equity: DataFrame, snapshots: DataFrame, kpis: DataFrame, bo
 def signed_login_pnl(equity: DataFrame, net_by_login_day: DataFrame) -> DataFrame:
     """R32 per login: positive closing value less positive opening value less the day's money, summed by day.
 
-    A login without a row on a side counts as zero there; money of a login without any equity row still counts.
+    A login without a row on a side counts as zero there; only logins with a row on one of the sides count.
     """
-    eod = jobs.equity_by_day(equity).select("login", "day", F.coalesce("floating", m.zero()).cast(USD).alias("end_value"))
-    opening = eod.select("login", F.date_add("day", 1).alias("day"), F.col("end_value").alias("start_value"))
+    eod = jobs.equity_by_day(equity).select("login", "day", F.coalesce("floating", m.zero()).cast(USD).alias("end_value"), F.lit(1).alias("sides"))
+    opening = eod.select("login", F.date_add("day", 1).alias("day"), F.col("end_value").alias("start_value"), "sides")
     rows = stack_measures([eod, opening, net_by_login_day], ["login", "day"],
-                          {"end_value": USD, "start_value": USD, "net_dep": USD})
+                          {"end_value": USD, "start_value": USD, "net_dep": USD, "sides": "bigint"}).where("sides > 0")
     pnl = _floor(F.col("end_value")) - _floor(F.col("start_value")) - F.col("net_dep")
     return rows.groupBy("day").agg(F.count(F.lit(1)).alias("logins"), F.sum(pnl).cast(USD).alias("pnl")).orderBy("day")
 
@@ -270,7 +281,7 @@ def signed_login_pnl(equity: DataFrame, net_by_login_day: DataFrame) -> DataFram
 # ---- R35, R36 ----------------------------------------------------------------------------------------------
 
 
-def login_profile(snapshots: DataFrame, users: DataFrame, bonuses: DataFrame, money: DataFrame, deposits: int = 3,
+def login_profile(snapshots: DataFrame, users: DataFrame, bonuses: DataFrame, money: DataFrame, deposits: int = 30,
                   logins: list[int] | None = None) -> DataFrame:
     """Per login the latest snapshot, live balance, bonus sum and its largest deposits, one row per item."""
     last = keyed.newest(snapshots, ["login"], ["day"]).select(

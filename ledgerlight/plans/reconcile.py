@@ -59,17 +59,14 @@ def net_by_source(kpis: DataFrame, equity: DataFrame, balance_ops: DataFrame, ad
     return rows.withColumn("diff", diff).withColumn("flagged", F.abs(diff) > flag_above).orderBy("day")
 
 
-def extra_logins(equity_rows: DataFrame, known: DataFrame, k: int = 20) -> DataFrame:
-    """Logins the platform reports but the warehouse does not count, by source: number, equity, money.
-
-    Ranked by number, the first k groups.
-    """
+def extra_logins(equity_rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Logins the platform reports but the warehouse does not count, by source: number, equity, money, ranked by number."""
     extra = equity_rows.join(known.select("login").distinct(), "login", "left_anti")
     value = F.coalesce(F.col("balance"), m.zero()) + F.coalesce(F.col("floating"), m.zero())
     groups = extra.groupBy("source").agg(
         F.count_distinct("login").alias("logins"), F.count_if(value > 0).alias("with_equity"),
         m.usd_sum(F.greatest(value, m.zero())).alias("equity"), m.usd_sum(F.col("net_deposit")).alias("net_deposit"))
-    return groups.orderBy(F.desc("logins"), "source").limit(k)
+    return groups.orderBy(F.desc("logins"), "source")
 
 
 def daily_counts(rows: DataFrame, time: str, amount: Column | None = None) -> DataFrame:

@@ -28,10 +28,9 @@ def month_targets(targets: DataFrame, first: str) -> DataFrame:
                     F.col("ftc").cast("int").alias("target_ftc"), F.col("net").cast(USD).alias("target_net")))
 
 
-def targets_for(first: str, targets: DataFrame, history: DataFrame | None = None,
-                switch: str = "2026-05-01") -> DataFrame:
+def targets_for(first: str, targets: DataFrame, history: DataFrame, switch: str) -> DataFrame:
     """Targets from the plan table, or from the tenure history for months from `switch` on."""
-    if history is None or first < switch:
+    if first < switch:
         return month_targets(targets, first)
     return (history.where((F.col("report_month") == F.lit(cal.month_start(first))) & F.col("agent_id").isNotNull())
             .select("agent_id", F.col("ftd100_target").alias("target_ftc"),

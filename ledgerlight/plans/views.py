@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerlight.functions import money as m, tiers
 from ledgerlight.operators import deals as dl, keyed
 
-FLOOR_DAY = "2024-01-01"     # fixed value: reports look no further back by default
 FULL_AMOUNT = 240            # fixed value: FTD100 client counted in full from this amount
 STD_THRESHOLD = 240          # fixed value: a later deposit counts as second deposit from this total
 FTD100_THRESHOLD = 95        # fixed value: running total that makes an FTD100 client
@@ -58,7 +57,7 @@ def daily_kpis(money: DataFrame, accounts: DataFrame, agents: DataFrame | None,
             .select(*out.columns))
 
 
-def traded_notional(deals: DataFrame, positions: DataFrame, floor_day: str | None = FLOOR_DAY,
+def traded_notional(deals: DataFrame, positions: DataFrame, floor_day: str | None,
                     first_entry_only: bool = False) -> DataFrame:
     """(login, opening day) notional of open positions and of closed deals dated by their entry."""
     opened = F.to_date("open_time")
@@ -83,7 +82,7 @@ def login_accounts(bridge: DataFrame, accounts: DataFrame, live_only: bool = Fal
 
 
 def volume_stats(deals: DataFrame, positions: DataFrame, bridge: DataFrame, accounts: DataFrame,
-                 agents: DataFrame, floor_day: str | None = FLOOR_DAY, first_entry_only: bool = False) -> DataFrame:
+                 agents: DataFrame, floor_day: str | None, first_entry_only: bool = False) -> DataFrame:
     """V2: (agent, account, opening day) notional and whether any of it is positive."""
     owners = login_accounts(bridge, accounts.select("account_id", "assigned_to", "is_test"))
     names = agents.select(*PICK_AGENT)

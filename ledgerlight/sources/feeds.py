@@ -138,8 +138,11 @@ def accounts(users: DataFrame, info: DataFrame, totals: DataFrame, apps: DataFra
 
 
 def payments(rows: DataFrame, platform_accounts: DataFrame, lookups: DataFrame, cutoff: str | None = None,
-             confirmed_since: str | None = None, cap: int = AMOUNT_CAP) -> DataFrame:
-    """Money rows of live platform accounts with three decoded codes, cents as dollars, absurd amounts out."""
+             confirmed_since: str | None = None, cap: int = AMOUNT_CAP, rejected: bool = False) -> DataFrame:
+    """Money rows of live platform accounts with three decoded codes, cents as dollars, absurd amounts out.
+
+    With `rejected` the rows that the cap (or a missing amount) keeps out come instead, for the caller to store.
+    """
     if cutoff:
         rows = changed_since(rows, ["updated", "decision_time"], cutoff)
     if confirmed_since:
@@ -150,7 +153,8 @@ def payments(rows: DataFrame, platform_accounts: DataFrame, lookups: DataFrame,
         rows = decode(rows, lookups, kind, code, out)
     usd = clean.cents(F.col("amount_cents"))
     server = F.when(F.col("is_demo") == 1, DEMO_SERVER).otherwise(LIVE_SERVER)
-    return rows.where((usd < cap) & (server == LIVE_SERVER)).select(
+    kept = F.coalesce(usd < cap, F.lit(False))
+    return rows.where((~kept if rejected else kept) & (server == LIVE_SERVER)).select(
         F.col("payment_id").alias("money_id"), F.col("user_id").alias("account_id"), "login",
         F.when(F.col("_status") == "Success", "Approved").otherwise(F.col("_status")).alias("approval"), "raw_type", "method",
         m.deposit_owner("acquisition", "sales_rep", "retention_rep").alias("owner"), F.col("is_ftd").alias("ftd"), usd.alias("usd"),

@@ -11,7 +11,7 @@ import re
 import tempfile
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ledgerlight.operators import merge
@@ -21,8 +21,10 @@ _VERSION = re.compile(r"v=(\d+)$")
 
 
 def workspace(spark: SparkSession) -> str:
-    """Shared folder for working tables: the one the cluster names, a temporary one only where none is set."""
+    """Shared folder for working tables: the one the cluster names. A temporary one serves a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or tempfile.mkdtemp(prefix="ledgerlight-")
 
 
@@ -70,18 +72,23 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/v={version or have[-1]:08d}")
 
-    def write(self, df: DataFrame, keep: int = 3) -> int:
-        """Write the next version, then drop finished versions beyond the newest `keep`."""
+    def write(self, df: DataFrame) -> int:
+        """Write the next version; older ones stay until drop_old(), as readers may still use them."""
         taken = [int(h[1]) for c in self.files.children(self.path) if (h := _VERSION.search(c))]
         number = max(taken, default=0) + 1
         writer = df.write.mode("errorifexists")
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
         writer.parquet(f"{self.path}/v={number:08d}")
-        for old in self.versions()[:-keep]:
-            self.files.delete(f"{self.path}/v={old:08d}")
         return number
 
+    def drop_old(self, keep: int) -> list[int]:
+        """Remove finished versions beyond the newest `keep`, once nothing reads them; returns what went."""
+        gone = self.versions()[:-keep] if keep > 0 else []
+        for old in gone:
+            self.files.delete(f"{self.path}/v={old:08d}")
+        return gone
+
     def merge(self, delta: DataFrame, order: list, rules: dict | None = None) -> int:
         return self.write(merge.merge_by_key(self.read(), delta, self.keys, order, rules))
 
@@ -89,14 +96,21 @@ class VersionedTable:
         return self.write(merge.insert_missing(self.read(), delta, self.keys))
 
     def sync_snapshot(self, snapshot: DataFrame, order: list, allow_empty: bool = False) -> int:
-        return self.write(merge.sync_snapshot(snapshot, self.keys, order, allow_empty))
+        """The snapshot as the next version. An empty one is taken back unless allowed; it is counted while being written."""
+        seen = Observation()
+        number = self.write(merge.sync_snapshot(snapshot, self.keys, order).observe(seen, F.count(F.lit(1)).alias("rows")))
+        if not allow_empty and not seen.get["rows"]:
+            self.files.delete(f"{self.path}/v={number:08d}")
+            raise ValueError("empty snapshot: pass allow_empty=True to clear the table")
+        return number
 
 
 class PartitionedTable:
-    """A large keyed table stored by an attribute that never changes for a key, such as the month of creation.
+    """A large keyed table stored by an attribute that seldom changes for a key, such as the month of creation.
 
-    A merge reads and rewrites only the partitions its delta touches; all other files stay. Partitions are
-    replaced through Spark's staging folder, and a merge that is run again gives the same rows.
+    A merge rewrites only the partitions its delta belongs to and those that hold its keys now (found by a scan of the
+    key columns); all other files stay. Partitions are replaced through Spark's staging folder, and a merge that is
+    run again gives the same rows, also after one that ended between writing and removing what it emptied.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: T.StructType, part: str, value: Column):
@@ -111,22 +125,38 @@ class PartitionedTable:
 
     def merge(self, delta: DataFrame, order: list, rules: dict | None = None) -> list[str]:
         """Merge the delta and return the partitions that were rewritten."""
-        new = (merge.last_per_key(delta, self.keys, order).select(*[f.name for f in self.schema.fields])
-               .withColumn(self.part, F.coalesce(self.value.cast("string"), F.lit("none"))))
+        part = F.coalesce(self.value.cast("string"), F.lit("none"))
+        new = merge.last_per_key(delta, self.keys, order).select(*[f.name for f in self.schema.fields])
+        held = self.read().select(*self.keys, self.part).join(new.select(*self.keys), self.keys, "left_semi").select(self.part)
         # one short text per touched partition: their number is bounded by the partitions of the table
-        touched = sorted(r[0] for r in new.select(self.part).distinct().collect())
-        base = self.read().where(F.col(self.part).isin(*touched)) if touched else self.read().limit(0)
-        merged = merge.merge_by_key(base, new, [*self.keys, self.part], self.keys, rules)
-        if touched:
-            (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy(self.part).parquet(self.path))
+        touched = sorted(r[0] for r in new.select(part.alias(self.part)).union(held).distinct().collect())
+        if not touched:
+            return touched
+        base = self.read().where(F.col(self.part).isin(*touched)).drop(self.part)
+        merged = merge.merge_by_key(base, new, self.keys, self.keys, rules).withColumn(self.part, part).dropDuplicates(self.keys)
+        seen = Observation()
+        (merged.hint("rebalance", self.part).observe(seen, F.collect_set(self.part).alias("parts"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.part).parquet(self.path))
+        # a partition whose last key moved gets no rows, so it isn't overwritten
+        for name in set(touched) - set(seen.get["parts"]):
+            Files(self.spark, self.path).delete(f"{self.path}/{self.part}={name}")
         return touched
 
 
-def write_days(df: DataFrame, path: str, day: str = "day") -> None:
-    """Replace exactly the days the frame holds; other days of the table stay untouched."""
-    (df.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def write_days(df: DataFrame, path: str, day: str = "day", days: list | None = None) -> None:
+    """Replace exactly the days the frame holds; other days of the table stay untouched.
+
+    With a list of `days` those of them that the frame no longer holds are removed.
+
+    Rows gather by day, but a day too large for one task is split over several, each with a file of its own.
+    """
+    (df.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(day).parquet(path))
+    if days:
+        held = {r[0] for r in df.select(day).distinct().collect()}
+        files = Files(df.sparkSession, path)
+        for gone in set(days) - held:
+            files.delete(f"{path}/{day}={gone}")
 
 
 def recompute_days(df: DataFrame, path: str, first: str, last: str, day: str = "day") -> None:
@@ -169,7 +199,6 @@ class Audit:
 
     def run(self, table: str, cutoff, job) -> int:
         """Run `job(observe)`; the frame it wraps with observe() is counted while being written, not by a second pass."""
-        from pyspark.sql import Observation
         seen, start = Observation(), time.time()
         try:
             job(lambda df: df.observe(seen, F.count(F.lit(1)).alias("rows")))
@@ -177,7 +206,7 @@ class Audit:
             self.append(table, cutoff, rows, int((time.time() - start) * 1000), "success")
             return rows
         except Exception as e:
-            self.append(table, cutoff, 0, int((time.time() - start) * 1000), "error", str(e)[:500])
+            self.append(table, cutoff, 0, int((time.time() - start) * 1000), "error", str(e))
             raise
 
 

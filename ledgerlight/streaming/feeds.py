@@ -23,7 +23,10 @@ def read_files(spark: SparkSession, folder: str, schema: T.StructType, per_batch
 
 
 def deduplicated(stream: DataFrame, key: list[str], time: str, lateness: str = "48 hours") -> DataFrame:
-    """I4: re-delivered rows dropped by key while the watermark still remembers them."""
+    """I4: re-delivered rows dropped by key while the watermark still remembers them.
+
+    Rows later than the lateness are not passed on; where they must count, use merge_stream(), which needs no state.
+    """
     event = stream.withColumn(time, F.col(time).cast("timestamp"))
     return event.withWatermark(time, lateness).dropDuplicatesWithinWatermark(key)
 
@@ -36,8 +39,6 @@ def merge_stream(stream: DataFrame, table: VersionedTable | PartitionedTable, or
     rewrites the table and suits dimensions and small results.
     """
     def apply(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
         batch = batch.persist()
         try:
             table.merge(batch, order, rules)
@@ -50,24 +51,49 @@ def merge_stream(stream: DataFrame, table: VersionedTable | PartitionedTable, or
             .trigger(availableNow=True).start())
 
 
-def daily_totals(stream: DataFrame, lateness: str = "48 hours") -> DataFrame:
-    """Additive day measures by owner (net, deposits, withdrawals, FTD) as a windowed aggregate."""
+MEASURES = "net_usd", "deposit_usd", "withdrawal_usd", "ftd_count"
+
+
+def daily_totals(money: DataFrame) -> DataFrame:
+    """Additive day measures by owner (net, deposits, withdrawals, FTD)."""
+    return (money.where(m.valid_money()).groupBy(F.col("owner").alias("agent_id"), F.to_date("confirmed").alias("tx_date"))
+            .agg(m.usd_sum(m.signed_usd()).alias("net_usd"), m.usd_sum(m.money_in()).alias("deposit_usd"),
+                 m.usd_sum(m.money_out()).alias("withdrawal_usd"), F.count_if(m.is_ftd()).alias("ftd_count")))
+
+
+def windowed_totals(stream: DataFrame, lateness: str = "48 hours") -> DataFrame:
+    """The same as a windowed aggregate with a watermark, for feeds without a stored ledger; later rows don't count."""
     rows = stream.where(m.valid_money()).withColumn("_at", F.col("confirmed").cast("timestamp"))
     return (rows.withWatermark("_at", lateness)
             .groupBy(F.window("_at", "1 day").alias("w"), F.col("owner").alias("agent_id"))
             .agg(m.usd_sum(m.signed_usd()).alias("net_usd"), m.usd_sum(m.money_in()).alias("deposit_usd"),
                  m.usd_sum(m.money_out()).alias("withdrawal_usd"), F.count_if(m.is_ftd()).alias("ftd_count"))
-            .select("agent_id", F.to_date("w.start").alias("tx_date"), "net_usd", "deposit_usd", "withdrawal_usd", "ftd_count"))
+            .select("agent_id", F.to_date("w.start").alias("tx_date"), *MEASURES))
 
 
-def write_daily_totals(stream: DataFrame, table: VersionedTable, checkpoint: str, lateness: str = "48 hours") -> StreamingQuery:
-    """Changed (agent, day) totals of each batch merged into a table keyed by both."""
+def write_daily_totals(stream: DataFrame, ledger: PartitionedTable, path: str, order: list, checkpoint: str,
+                       rules: dict | None = None) -> StreamingQuery:
+    """Each batch is merged into the ledger, and the months it changes, old and new, are totalled again from there.
+
+    No state is kept and no row is too late; a batch that is delivered again changes nothing. Totals are stored in a
+    folder for each month.
+    """
+    month = F.trunc("confirmed", "month")
+
     def apply(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            table.merge(batch, ["tx_date"])
+        batch = batch.persist()
+        try:
+            before = ledger.read().join(batch.select(*ledger.keys).distinct(), ledger.keys, "left_semi")
+            months = batch.select(month.alias("m")).union(before.select(month)).where("m IS NOT NULL").distinct()
+            touched = [r[0] for r in months.collect()]   # one date for each month that a batch touches
+            ledger.merge(batch, order, rules)
+            if touched:
+                again = daily_totals(ledger.read().where(month.isin(touched)))
+                write_days(again.withColumn("month", F.trunc("tx_date", "month")), path, "month", touched)
+        finally:
+            batch.unpersist()
 
-    return (daily_totals(stream, lateness).writeStream.outputMode("update").foreachBatch(apply)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def touched_days(batch: DataFrame, time: str = "confirmed") -> DataFrame:

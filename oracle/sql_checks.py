@@ -35,7 +35,7 @@ SQL["R37_net_by_source"] = out("""
 SQL["R38_extra_logins"] = out(f"""
     SELECT source, COUNT(DISTINCT login) AS logins, COUNT(*) FILTER (WHERE {eq.NETEQ} > 0) AS with_equity,
            SUM(GREATEST({eq.NETEQ}, 0)) AS equity, COALESCE(SUM(net_deposit), 0) AS net_deposit
-    FROM equity_days WHERE login NOT IN (SELECT login FROM {eq.EQL} e) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""", "", "equity net_deposit")
+    FROM equity_days WHERE login NOT IN (SELECT login FROM {eq.EQL} e) GROUP BY 1""", "", "equity net_deposit")
 SQL["R39_daily_leads"] = out("SELECT CAST(created AS DATE) AS day, COUNT(*) AS rows FROM accounts WHERE created IS NOT NULL GROUP BY 1", "day")
 SQL["R39_daily_bonuses"] = out("SELECT CAST(confirmed AS DATE) AS day, COUNT(*) AS rows, SUM(amount) AS amount FROM bonuses GROUP BY 1", "day", "amount")
 SQL["A15_month_gaps"] = out("""

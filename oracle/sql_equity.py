@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.base import (IN, LIVE, NET, OK, OUT, VALID, age, eez, out, rng)
+from oracle.base import (IN, LIVE, NET, NOBONUS, OK, OUT, VALID, age, eez, out, rng)
 
 SQL: dict[str, str] = {}
 
@@ -93,12 +93,12 @@ BRIDGE = f"""
     FROM (SELECT login, COALESCE(s, 0) AS start_eez, COALESCE(n, 0) AS net_dep, COALESCE(f, 0) - COALESCE(y, 0) + COALESCE(c, 0) AS daily_pnl,
                  GREATEST(0, COALESCE(bal, 0) + COALESCE(f, 0) - COALESCE(cr, 0) - GREATEST(0, COALESCE(bn, 0))) AS live_eez
           FROM (SELECT l.login, s.end_eez AS s, x.f, y.floating AS y, c.c, b.bal, b.cr, o.bonus AS bn
-                FROM (SELECT login FROM snap WHERE day = DATE '{LIVE}' - 1 UNION SELECT login FROM {FLOAT} q UNION SELECT login FROM {YDAY} q
-                      UNION SELECT login FROM {CLOSED} q UNION SELECT login FROM platform_users UNION SELECT login FROM {bonus(f"confirmed < {AFTER}")} q) l
+                FROM (SELECT DISTINCT login FROM {GOOD} g) l
                 LEFT JOIN (SELECT * FROM snap WHERE day = DATE '{LIVE}' - 1) s ON s.login = l.login LEFT JOIN {FLOAT} x ON x.login = l.login
                 LEFT JOIN {YDAY} y ON y.login = l.login LEFT JOIN {CLOSED} c ON c.login = l.login LEFT JOIN {BAL} b ON b.login = l.login
-                LEFT JOIN {bonus(f"confirmed < {AFTER}")} o ON o.login = l.login WHERE l.login IN (SELECT login FROM {GOOD} g)) p
-          FULL JOIN (SELECT TRY_CAST(t.login AS BIGINT) AS login, SUM({NET}) AS n FROM money t WHERE {VALID} AND {rng('t.confirmed', LIVE, LIVE)} GROUP BY 1) m USING (login)) r"""
+                LEFT JOIN {bonus(f"confirmed < {AFTER}")} o ON o.login = l.login) p
+          LEFT JOIN (SELECT l.login, SUM({NET}) AS n FROM money t JOIN accounts a ON a.account_id = t.account_id JOIN logins l ON l.account_id = t.account_id
+                     WHERE {VALID} AND {NOBONUS} AND {rng('t.confirmed', LIVE, LIVE)} AND a.is_test = 0 AND (l.deleted = 0 OR l.deleted IS NULL) GROUP BY 1) m USING (login)) r"""
 B_NUM = "start_eez net_dep daily_pnl live_eez formula gap"
 SQL["R31_pnl_bridge"] = out(BRIDGE, "", B_NUM)
 SQL["R31_bridge_summary"] = out(f"""
@@ -113,10 +113,10 @@ SQL["R32_cash_pnl_series"] = out(f"""
     FROM (SELECT q.*, s.eez FROM (
             SELECT day, SUM(GREATEST(0, {NETEQ})) AS en, SUM(GREATEST(0, equity)) AS ee, SUM(GREATEST(0, COALESCE(floating, 0))) AS ef,
                    SUM(GREATEST(0, floating - GREATEST(0, equity - balance - floating))) AS fc, SUM(GREATEST(0, prev_equity)) AS sc, SUM(prev_equity) AS sp
-            FROM equity_days GROUP BY 1) q LEFT JOIN (SELECT day, SUM(end_eez) AS eez FROM snap GROUP BY 1) s USING (day)) n
+            FROM equity_days WHERE login IN (SELECT login FROM {EQL} g) GROUP BY 1) q LEFT JOIN (SELECT day, SUM(end_eez) AS eez FROM snap GROUP BY 1) s USING (day)) n
     LEFT JOIN (SELECT q.*, s.eez FROM (
             SELECT day, SUM(GREATEST(0, {NETEQ})) AS en, SUM(GREATEST(0, COALESCE(floating, 0))) AS ef,
-                   SUM(GREATEST(0, floating - GREATEST(0, equity - balance - floating))) AS fc FROM equity_days GROUP BY 1) q
+                   SUM(GREATEST(0, floating - GREATEST(0, equity - balance - floating))) AS fc FROM equity_days WHERE login IN (SELECT login FROM {EQL} g) GROUP BY 1) q
         LEFT JOIN (SELECT day, SUM(end_eez) AS eez FROM snap GROUP BY 1) s USING (day)) p ON p.day = n.day - 1
     LEFT JOIN (SELECT tx_date, SUM(net_usd) AS v FROM kpis GROUP BY 1) k ON k.tx_date = n.day
     LEFT JOIN (SELECT CAST(confirmed AS DATE) AS day, SUM(amount) AS v FROM bonuses GROUP BY 1) b ON b.day = n.day""", "day",
@@ -126,7 +126,7 @@ SQL["R32_signed_login_pnl"] = out(f"""
     FROM (SELECT login, day, COALESCE(floating, 0) AS e FROM equity_days) a
     FULL JOIN (SELECT login, day + 1 AS day, COALESCE(floating, 0) AS s FROM equity_days) b USING (login, day)
     FULL JOIN (SELECT login, CAST(close_time AS DATE) AS day, SUM(profit) AS n FROM balance_ops WHERE cmd = 6 GROUP BY 1, 2) c USING (login, day)
-    GROUP BY 1""", "day", "pnl")
+    WHERE e IS NOT NULL OR s IS NOT NULL GROUP BY 1""", "day", "pnl")
 SQL["R35_login_profile"] = out(f"""
     SELECT login, 'snapshot' AS item, CAST(day AS STRING) AS detail, end_eez AS value FROM (
         SELECT *, ROW_NUMBER() OVER (PARTITION BY login ORDER BY day DESC) AS rn FROM snap) s WHERE rn = 1
@@ -134,7 +134,7 @@ SQL["R35_login_profile"] = out(f"""
     UNION ALL SELECT login, 'bonus', CAST(COUNT(*) AS STRING), SUM(amount) FROM bonuses GROUP BY 1
     UNION ALL SELECT login, 'deposit', CAST(money_id AS STRING), usd FROM (
         SELECT TRY_CAST(t.login AS BIGINT) AS login, t.money_id, t.usd, ROW_NUMBER() OVER (PARTITION BY t.login ORDER BY t.usd DESC, t.money_id) AS rn
-        FROM money t WHERE {OK} AND t.type = 'Deposit') d WHERE rn <= 3 AND login IS NOT NULL""", "", "value")
+        FROM money t WHERE {OK} AND t.type = 'Deposit') d WHERE rn <= 30 AND login IS NOT NULL""", "", "value")
 SQL["R36_snapshot_replay"] = out(f"""
     SELECT day, SUM(s) AS stored, SUM(r) AS recomputed, COUNT(*) FILTER (WHERE s IS DISTINCT FROM r) AS logins_off, SUM(r) - SUM(s) AS diff
     FROM (SELECT d.day, {eez('d.balance', 'd.floating', 'b.bonus')} AS s,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ledgerlight.functions.typing import RULES
 from oracle import sql_equity as eq, sql_reports as rp
 from oracle.base import (COUNTABLE, DEP, FULL, LABEL, LAST, LIVE, LIVEACC, NET, NOBONUS, NODEPT, NOTEST, OK, VALID, WDR, age, out,
                          rng, score)
@@ -44,7 +43,7 @@ SQL["S3_accounts_qualified_since"] = source_accounts(f"i.qualification_time >= {
 SQL["S4_accounts_created_since"] = source_accounts(f"u.creation_time >= {BOUND}")
 
 
-def source_payments(where: str = "TRUE") -> str:
+def source_payments(where: str = "TRUE", kept: str = "usd < 10000000") -> str:
     return out(f"""
         SELECT * FROM (
             SELECT p.payment_id AS money_id, p.user_id AS account_id, b.external_id AS login, CASE WHEN s.value = 'Success' THEN 'Approved' ELSE s.value END AS approval,
@@ -53,11 +52,12 @@ def source_payments(where: str = "TRUE") -> str:
                    {athens('p.decision_time')} AS confirmed, {athens('p.creation_time')} AS created, p.updated AS modified
             FROM raw_payments p JOIN raw_platform_accounts b ON b.platform_account_id = p.platform_account_id AND b.is_demo = 0
             LEFT JOIN raw_lookups e ON e.kind = 'method' AND e.key = p.method_key LEFT JOIN raw_lookups s ON s.kind = 'status' AND s.key = p.status_key
-            LEFT JOIN raw_lookups y ON y.kind = 'type' AND y.key = p.type_key WHERE {where}) x WHERE usd < 10000000""", "confirmed created modified", "usd")
+            LEFT JOIN raw_lookups y ON y.kind = 'type' AND y.key = p.type_key WHERE {where}) x WHERE {kept}""", "confirmed created modified", "usd")
 
 
 SQL["S5_payments_incremental"] = source_payments(f"p.updated >= {TS} OR p.decision_time >= {TS}")
 SQL["S6_payments_full"] = source_payments()
+SQL["F14_rejected_payments"] = source_payments(kept="usd >= 1000 OR usd IS NULL")
 SQL["S7_payments_confirmed_since"] = source_payments(f"p.decision_time >= {BOUND}")
 OFFICES = (("IN", "India"), ("UY", "Uruguay"), ("SA", "South Africa"), ("LAG-NG", "LAG Nigeria"), ("IL", "Israel"), ("GMT", "GMT"), ("General", "General"),
            ("Global", "General"), ("DU", "Dubai"), ("CO", "Columbia"), ("CY", "Cyprus"), ("BG", "Bulgaria"), ("ABJ-NG", "ABJ Nigeria"), ("VN", "Vietnam"))
@@ -137,9 +137,9 @@ SQL["S25_newest_per_login"] = out("""
     SELECT login, ticket, open_time, notional FROM (SELECT *, RANK() OVER (PARTITION BY login ORDER BY open_time DESC) AS rk FROM deals) d WHERE rk = 1""", "open_time", "notional")
 
 # ---- merge rules ---------------------------------------------------------------------------------------------
-BASE = "(SELECT account_id, is_test, score, country, funded, pep = 1 AS locked FROM accounts WHERE created < DATE '1998-06-01')"
+BASE = "(SELECT account_id, is_test, score, country, funded, pep = 1 AS locked FROM accounts WHERE created < DATE '1998-06-01' OR (created IS NULL AND account_id % 3 < 2))"
 DELTA = """(SELECT account_id, 0 AS is_test, CASE WHEN score > 6 THEN score END AS score, country || '*' AS country, 1 - funded AS funded, FALSE AS locked
-            FROM accounts WHERE created >= DATE '1997-01-01')"""
+            FROM accounts WHERE created >= DATE '1997-01-01' OR (created IS NULL AND account_id % 3 > 0))"""
 SQL["M1_M3_M4_M5_merge"] = out(f"""
     SELECT COALESCE(d.account_id, b.account_id) AS account_id,
            CASE WHEN d.account_id IS NULL THEN b.is_test WHEN b.account_id IS NULL THEN d.is_test ELSE GREATEST(d.is_test, b.is_test) END AS is_test,
@@ -197,7 +197,7 @@ SQL["F13_floor_date"] = out("SELECT * FROM volume WHERE open_date >= DATE '1998-
 GROUPS = {"marketing_group": "c.marketing_group", "campaign_legacy_id": "c.legacy_id", "campaign_name": "c.name", "campaign_channel": "c.channel",
           "campaign_sub_channel": "c.sub_channel", "original_affiliate": "a.affiliate", "office_name": "cu.office_name", "agent_name": "cu.agent_name",
           "agent_team": "cu.team", "country": "a.country", "client_classification": "CAST(a.score AS STRING)",
-          "segmentation": rp.segment(f"DATE '{LIVE}'")}
+          "segmentation": rp.segment(f"DATE '{LIVE}'"), "account_id": "CAST(a.account_id AS STRING)"}
 SQL["F15_dynamic_groups"] = out(" UNION ALL ".join(
     f"SELECT '{n}' AS dimension, COALESCE({e}, '(Unassigned)') AS label, COUNT(*) AS clients FROM accounts a {rp.CAMP} "
     f"LEFT JOIN agents cu ON cu.agent_id = a.assigned_to GROUP BY 1, 2" for n, e in GROUPS.items()))
@@ -208,26 +208,67 @@ SQL["F16_active_clients"] = out("""
 SQL["P1_signed_amount"] = out(f"SELECT t.money_id, {NET} AS signed, {DEP} AS paid_in, {WDR} AS paid_out FROM money t", "", "signed paid_in paid_out")
 
 
-def lit(values) -> str:
-    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
-
-
-def rule_sql(r) -> str:
-    tests = [f"t.raw_type LIKE '{r.kind[:-1]}%'" if r.kind.endswith("*") else f"t.raw_type = '{r.kind}'"]
-    if r.methods:
-        tests.append(f"t.method IN {lit(r.methods)}")
-    if r.subtypes:
-        tests.append(f"t.subtype IN {lit(r.subtypes)}")
-    for bound, op in ((r.until, "<="), (r.before, "<"), (r.since, ">=")):
-        if bound:
-            tests.append(f"t.created {op} DATE '{bound}'")
-    notes = ([f"o.comment IN {lit(r.comments)}"] if r.comments else []) + [f"o.comment ILIKE '%{w}%'" for w in r.contains] + [f"o.comment LIKE '{p}'" for p in r.like]
-    if notes:
-        tests.append("(" + " OR ".join(notes) + ")")
-    return f"WHEN {' AND '.join(tests)} THEN '{r.label}'"
-
-
-TYPED = f"""(SELECT t.money_id, t.created, CASE {' '.join(rule_sql(r) for r in RULES)} ELSE 'Not Set' END AS type
+# The typing rules, written out here once more, so that a change of the rule table shows.
+TYPING = """CASE
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Adjustment') AND t.subtype IN ('IB Commission') AND t.created <= DATE '2023-01-01' THEN 'IB Commission'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Commission') AND t.subtype IN ('IB Commission') AND t.created <= DATE '2023-01-01' THEN 'IB Commission'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Commission') AND t.created <= DATE '2023-01-01' AND (o.comment IN ('Affiliate Payment To Trading Pl')) THEN 'IB Commission'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Adjustment') AND t.subtype IN ('IB Commission') AND t.created <= DATE '2023-01-01' THEN 'IB Commission Cancelled'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Commission') AND t.subtype IN ('IB Commission') AND t.created <= DATE '2023-01-01' THEN 'IB Commission Cancelled'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('IB commission') AND (o.comment IN ('IB Commission PayOut Cancelled', 'IB Commission PayOut Void')) THEN 'IB Commission PayOut Cancelled'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('IB commission') AND (o.comment IN ('IB Commission')) THEN 'IB Commission'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('IB commission') AND t.created <= DATE '2023-01-01' THEN 'IB Commission PayOut'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('IB commission') AND (o.comment IN ('IB Commission Void')) THEN 'IB Commission Cancelled'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('IB commission') AND (o.comment IN ('IB Commission PayOut')) THEN 'IB Commission PayOut'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Commission') AND t.subtype IN ('FRF Commission') AND t.created <= DATE '2022-12-05' THEN 'FRF Commission'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Adjustment') AND t.subtype IN ('FRF Commission') AND t.created <= DATE '2022-12-05' THEN 'FRF Commission'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Commission') AND t.subtype IN ('FRF Commission') AND t.created <= DATE '2022-12-05' THEN 'FRF Commission Cancelled'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Adjustment') AND t.subtype IN ('FRF Commission') AND t.created <= DATE '2022-12-05' THEN 'FRF Commission Cancelled'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('FRF commission') AND t.created >= DATE '2022-12-05' AND (o.comment IN ('FRF PayOut Cancelled', 'FRF PayOut Void')) THEN 'FRF Commission PayOutCancelled'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('FRF commission') AND t.created >= DATE '2022-12-05' AND (o.comment IN ('FRF - Transfer to Balance')) THEN 'FRF Commission Transfer to Balance'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('FRF commission') AND t.created >= DATE '2022-12-05' AND (o.comment IN ('FRF - Transfer to Balance Void')) THEN 'FRF Commission Transfer to Balance Cancelled'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('FRF commission') AND t.created >= DATE '2022-12-05' AND (o.comment IN ('FRF PayOut')) THEN 'FRF Commission PayOut'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('FRF commission') AND t.created < DATE '2022-12-05' THEN 'FRF Commission Cancelled'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('FRF commission') AND t.created < DATE '2022-12-05' THEN 'FRF Commission'
+    WHEN t.raw_type = 'Credit In' AND (o.comment IN ('FRF') OR o.comment ILIKE '%FRF Commission%' OR o.comment ILIKE '%Refer a friend%' OR o.comment ILIKE '%FRF Bonus%') THEN 'FRF Commission'
+    WHEN t.raw_type = 'Credit Out' AND (o.comment IN ('FRF Void') OR o.comment ILIKE '%FRF Commission%' OR o.comment ILIKE '%Refer a friend%' OR o.comment ILIKE '%FRF Bonus%') THEN 'FRF Commission Cancelled'
+    WHEN t.raw_type = 'Credit In' AND (o.comment ILIKE '%advance%') THEN 'Credit In Advance'
+    WHEN t.raw_type = 'Credit Out' AND (o.comment ILIKE '%advance%') THEN 'Credit In Advance Cancelled'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Bonus') AND t.created <= DATE '2022-11-01' THEN 'Bonus'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Bonus') AND (o.comment IN ('Deposit,Bonus', 'Bonus', 'CashBack Bonus')) THEN 'Bonus'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Bonus') AND (o.comment LIKE '%Transfer to Balance%') THEN 'Bonus Transfer to Balance'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Bonus') AND (o.comment LIKE 'Bonus Transfer to Balance Cancel%') THEN 'Bonus Transfer to Balance Cancelled'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Bonus') AND (o.comment IN ('Bonus PayOut Cancelled', 'Bonus PayOut Void')) THEN 'Bonus PayOut Cancelled'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Bonus') AND t.created <= DATE '2022-11-01' THEN 'BonusCancelled'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Bonus') AND (o.comment IN ('Bonus PayOut')) THEN 'Bonus PayOut'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Bonus') THEN 'BonusCancelled'
+    WHEN t.raw_type = 'Credit In' THEN 'Bonus'
+    WHEN t.raw_type = 'Credit Out' THEN 'BonusCancelled'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Adjustment') AND t.subtype IN ('Deposit Void') AND t.created <= DATE '2023-01-01' THEN 'Deposit Cancelled'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Adjustment') AND t.subtype IN ('Withdrawal Void') AND t.created <= DATE '2023-01-01' THEN 'Withdrawal Cancelled'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Credit card', 'Electronic payment', 'Wire transfer', 'CryptoWallet', 'Cash') AND (o.comment IN ('Deposit Cancelled', 'Deposit Void')) THEN 'Deposit Cancelled'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Credit card', 'Electronic payment', 'Wire transfer', 'CryptoWallet', 'Cash') AND (o.comment IN ('Withdrawal Cancelled', 'Withdrawal Void')) THEN 'Withdrawal Cancelled'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('None', 'Wire', 'Credit card', 'ElectronicPayment', 'Electronic payment', 'Wire transfer', 'Crypto', 'CryptoWallet', 'Cash', 'External', 'CreditCard') THEN 'Deposit'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('None', 'Wire', 'Credit card', 'ElectronicPayment', 'Electronic payment', 'Wire transfer', 'Crypto', 'CryptoWallet', 'Cash', 'External', 'CreditCard') THEN 'Withdrawal'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Chargeback') THEN 'Charge Back Cancelled'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Chargeback') THEN 'Charge Back'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Processing fees') THEN 'Fee Cancelled'
+    WHEN t.raw_type = 'Fee' THEN 'Fee'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Processing fees', 'Fee', 'ProcessingFee') THEN 'Fee'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Transfer') THEN 'Transfer To Account'
+    WHEN t.raw_type = 'TransferIn' THEN 'Transfer To Account'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Transfer') THEN 'Transfer From Account'
+    WHEN t.raw_type = 'TransferOut' THEN 'Transfer From Account'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Adjustment') AND t.subtype IN ('Gift') AND t.created < DATE '2023-01-01' THEN 'Gift'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Commission') AND t.subtype IN ('Gift') AND t.created < DATE '2023-01-01' THEN 'Gift'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Adjustment') AND t.subtype IN ('Gift') AND t.created < DATE '2023-01-01' THEN 'Gift Cancelled'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Commission') AND t.subtype IN ('Gift') AND t.created < DATE '2023-01-01' THEN 'Gift Cancelled'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Adjustment') AND (o.comment ILIKE '%transfer%') THEN 'Transfer To Account'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Adjustment') AND (o.comment ILIKE '%transfer%') THEN 'Transfer From Account'
+    WHEN t.raw_type = 'Deposit' AND t.method IN ('Adjustment') THEN 'Positive Trading Adjustment'
+    WHEN t.raw_type LIKE 'Withdraw%' AND t.method IN ('Adjustment') THEN 'Negative Trading Adjustment'
+    ELSE 'Not Set' END"""
+TYPED = f"""(SELECT t.money_id, t.created, {TYPING} AS type
     FROM raw_money t LEFT JOIN balance_ops o ON o.cmd = 6 AND REGEXP_MATCHES(t.order_ref, '^[0-9]+(\\.[0-9]*)?$')
      AND o.ticket = CAST(ROUND(TRY_CAST(RTRIM(t.order_ref, '.') AS DECIMAL(38, 6))) AS BIGINT))"""
 SQL["P2_transaction_types"] = out(f"SELECT money_id, type FROM {TYPED} x")
@@ -373,7 +414,7 @@ SQL["R11_two_filters"] = out(f"""
 SQL["I1_stream_merge"] = out("SELECT money_id, account_id, type, usd, confirmed FROM money", "confirmed", "usd")
 SQL["I3_resume_after_max"] = out("""
     SELECT payment_id, user_id FROM raw_payments WHERE payment_id > (SELECT MAX(platform_account_id) FROM raw_platform_accounts)""")
-SQL["I4_stream_deduplicated"] = out("SELECT type, COUNT(*) AS rows, SUM(usd) AS usd FROM money GROUP BY 1", "", "usd")
+SQL["I4_stream_deduplicated"] = out("SELECT money_id, type, usd, confirmed FROM money", "confirmed", "usd")
 SQL["I5_M16_reprocessed_days"] = out(f"""
     WITH c AS (SELECT e.login, e.day, CASE WHEN e.net <= 0 THEN 0 ELSE ROUND(GREATEST(e.net - GREATEST(COALESCE(b.bonus, 0), 0), 0), 2) END AS eez
                FROM (SELECT d.login, d.day, {eq.NETEQ} AS net FROM equity_days d JOIN test_logins tl ON tl.login = d.login AND tl.is_test = 0) e
@@ -386,3 +427,13 @@ SQL["I6_stream_daily_totals"] = out(f"""
     SELECT t.owner AS agent_id, CAST(t.confirmed AS DATE) AS tx_date, SUM({NET}) AS net_usd, SUM({DEP}) AS deposit_usd, SUM({WDR}) AS withdrawal_usd,
            COUNT(*) FILTER (WHERE t.type = 'Deposit' AND t.ftd = 1) AS ftd_count FROM money t WHERE {VALID} AND t.owner IS NOT NULL GROUP BY 1, 2""", "tx_date",
     "net_usd deposit_usd withdrawal_usd")
+
+
+# ---- stored views --------------------------------------------------------------------------------------------
+SQL["M15_audit_rows"] = out("""
+    SELECT 'daily_kpis' AS table_name, COUNT(*) AS rows, 'success' AS status, CAST(NULL AS STRING) AS error FROM kpis
+    UNION ALL SELECT 'run_rate_base', COUNT(*), 'success', NULL FROM run_rate""")
+SQL["R13_targets_by_source"] = out("""
+    SELECT s.side, TRY_CAST(t.agent_id AS BIGINT) AS agent_id, CAST(t.ftc AS INTEGER) AS target_ftc, t.net AS target_net
+    FROM targets t, (VALUES ('plan'), ('history')) s(side) WHERE t.month = DATE '1995-01-01' AND (s.side = 'plan' OR TRY_CAST(t.agent_id AS BIGINT) IS NOT NULL)""",
+    "", "target_net", "target_ftc")

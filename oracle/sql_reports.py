@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.base import (COUNTABLE, DEP, FIRST, LABEL, LAST, LIVE, LIVEACC, NET, NOBONUS, NODEPT, NOTEST, OK, VALID, WDR, age, out,
-                         rng, score)
+                         rng, rng as in_days, score)
 
 SQL: dict[str, str] = {}
 
@@ -212,7 +212,11 @@ def segment(on: str) -> str:
             f"WHEN a.segment = '17' THEN 'Unverified' ELSE '(Unassigned)' END")
 
 
-def table(g1: str, g2: str | None, period: str | None, flt: str = "") -> str:
+def table(g1: str, g2: str | None, period: str | None, flt: str = "", first: str = FIRST, last: str = LAST,
+          qualified: tuple | None = None) -> str:
+    def rng(col: str, first: str = first, last: str = last) -> str:
+        return in_days(col, first, last)
+
     joins = f"{CAMP} LEFT JOIN agents cu ON cu.agent_id = a.assigned_to"
     groups = [(g1, "g1")] + ([(g2, "g2")] if g2 else [])
     keys = (["period"] if period else []) + [n for _, n in groups]
@@ -230,7 +234,7 @@ def table(g1: str, g2: str | None, period: str | None, flt: str = "") -> str:
     parts = {
         "p": f"SELECT {sel('a.created')}, COUNT(*) AS leads, COUNT(*) FILTER (WHERE a.birth_date IS NOT NULL) AS live_accounts, "
              f"ROUND(AVG({s}) FILTER (WHERE a.birth_date IS NOT NULL), 1) AS live_avg_score FROM {acc} WHERE {known} AND {rng('a.created')} {by}",
-        "q": f"SELECT {sel('a.qualified')}, COUNT(*) AS ftc FROM {acc} WHERE {known} AND {rng('a.qualified')} {by}",
+        "q": f"SELECT {sel('a.qualified')}, COUNT(*) AS ftc FROM {acc} WHERE {known} AND {rng('a.qualified', *(qualified or (first, last)))} {by}",
         "t": f"SELECT {sel('t.confirmed')}, SUM(CASE WHEN t.ftd = 1 AND t.type = 'Deposit' THEN 1 ELSE 0 END) AS ftd, SUM({DEP}) AS deposits, "
              f"SUM({WDR}) AS withdrawals, ROUND(AVG({s}) FILTER (WHERE t.ftd = 1 AND t.type = 'Deposit'), 1) AS ftd_avg_score "
              f"FROM {txn} WHERE {VALID} AND {NOBONUS} AND a.is_test = 0 AND {COUNTABLE} AND {rng('t.confirmed')} {flt} {by}",
@@ -262,6 +266,9 @@ def rates(body: str) -> str:
 T_NUM = "deposits withdrawals rdp_net volume_usd net_deposits"
 SEG = f"COALESCE({segment(f'DATE {chr(39)}{LIVE}{chr(39)}')}, '(Unassigned)')"
 SQL["R8_campaign_table"] = out(rates(table("COALESCE(c.marketing_group, '(Unassigned)')", SEG, None)), "", T_NUM)
+QUALIFIED = ("1995-06-01", "2001-05-31")
+SQL["R8_campaign_table_qualified"] = out(rates(table(
+    "COALESCE(c.marketing_group, '(Unassigned)')", None, None, f"AND {in_days('a.qualified', *QUALIFIED)}", "1998-01-01", "1998-06-30", QUALIFIED)), "", T_NUM)
 SQL["R8_campaign_table_by_month"] = out(rates(table("COALESCE(cu.office_name, '(Unassigned)')", None, "month")), "period", T_NUM)
 DQ = f"(DATE '{LIVE}' - CAST(a.qualified AS DATE))"
 FILTER8 = f"""AND cu.desk_name IN ('Desk 1', 'Desk 2', 'Desk 3') AND a.qualified IS NOT NULL
@@ -279,7 +286,7 @@ SQL["R8_campaign_totals"] = out(rates(f"""
 
 def options(name: str, src: str, col: str) -> str:
     return (f"SELECT * FROM (SELECT DISTINCT '{name}' AS list, CAST({col} AS STRING) AS value FROM {src} WHERE {col} IS NOT NULL "
-            f"AND TRIM(CAST({col} AS STRING)) <> '' ORDER BY value LIMIT 2000) {name}_q")
+            f"AND TRIM(CAST({col} AS STRING)) <> '') {name}_q")
 
 
 USED = "(SELECT * FROM agents WHERE agent_id IN (SELECT assigned_to FROM accounts WHERE assigned_to IS NOT NULL)) used"

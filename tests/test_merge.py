@@ -52,10 +52,6 @@ def test_insert_missing_keeps_known_rows(spark, base):
     assert rows(merge.insert_missing(base, delta, ["k"]), "k", "v") == [(1, "a"), (2, "b"), (3, "c"), (5, "y")]
 
 
-def test_empty_snapshot_needs_opt_in(base):
-    with pytest.raises(ValueError):
-        merge.sync_snapshot(base.limit(0), ["k"], ["k"])
-    assert merge.sync_snapshot(base.limit(0), ["k"], ["k"], allow_empty=True).count() == 0
 
 
 def test_overrides(spark, base):

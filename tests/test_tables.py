@@ -30,7 +30,12 @@ def test_versions_and_merge(spark, tmp_path):
     assert rows(t.read(), "k", "v") == [(1, "b"), (2, "c"), (3, "d")]
     t.sync_snapshot(df(spark, (7, "s", 0)), ["k"])
     assert rows(t.read(), "k") == [(7,)]
-    assert t.versions() == [2, 3, 4]     # the oldest finished version was dropped
+    assert t.versions() == [1, 2, 3, 4] and t.drop_old(3) == [1] and t.versions() == [2, 3, 4]
+    with pytest.raises(ValueError):
+        t.sync_snapshot(df(spark), ["k"])
+    assert rows(t.read(), "k") == [(7,)]
+    t.sync_snapshot(df(spark), ["k"], allow_empty=True)
+    assert t.read().count() == 0
 
 
 def test_unfinished_version_is_invisible(spark, tmp_path):
@@ -127,3 +132,8 @@ def test_partitioned_merge_touches_only_its_partitions(spark, tmp_path):
     t.merge(delta((1, "2024-01-05", "z", 0)), ["v"], {"flag": merge.GREATEST})
     assert rows(t.read().where("k = 1"), "v", "flag") == [("z", 1)]
     assert t.merge(delta(), ["v"]) == [] and t.read().count() == 3
+    # a key whose month changes moves, also into and out of a partition of its own
+    assert t.merge(delta((1, "2024-02-07", "m", 0)), ["v"]) == ["2024-01", "2024-02"]
+    assert rows(t.read(), "k", "v") == [(1, "m"), (2, "c"), (3, "e")] and not (path / "month=2024-01").exists()
+    assert t.merge(delta((3, "2024-03-07", "n", 0)), ["v"]) == ["2024-02", "2024-03"]
+    assert rows(t.read(), "k", "v", "month") == [(1, "m", "2024-02"), (2, "c", "2024-02"), (3, "n", "2024-03")]
