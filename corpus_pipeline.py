@@ -11,13 +11,13 @@ from ledgerlight.llm.storage import stored
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score quality.KEEP or more; the network learns from labels that aren't held out."""
     net = quality.trained(docs, queries.table(spark, sf_dir, "labels"))
-    return quality.scored(docs, net).where(F.col("score") >= quality.KEEP).select(docs.columns)
+    return quality.scored(docs, net, "_quality").where(F.col("_quality") >= quality.KEEP).drop("_quality")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages of lines that an earlier place has; n_chars follows the text."""
-    cut = line_chunks.drop_repeated_chunks(docs)
-    return cut.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    cut = line_chunks.drop_repeated_chunks(docs, "_removed")
+    return cut.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_removed")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,15 +182,15 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.LongType())]))
 
 
-def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` (a column text, any others) with a column leaks: (item_id, edits) of each item that the text leaks, by item.
+def marked(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> DataFrame:
+    """`docs` (a column text, any others) with a column `name`: (item_id, edits) of each item that the text leaks, by item.
 
     `edits` is the least number seen. Null and empty texts leak nothing; items without id or text, or with fewer than
     MIN_ITEM bytes, are left out; repeated items count once. Items are taken in blocks of BLOCK_BYTES, one pass over the
-    texts for each, so what goes to the executors is bounded. Rows are neither dropped nor added; an own column leaks is
-    replaced.
+    texts for each, so what goes to the executors is bounded. Rows are neither dropped nor added; an own column of that
+    name is replaced.
     """
-    out = docs.drop("leaks").withColumn("leaks", F.lit(None).cast(LEAKS))
+    out = docs.drop(name).withColumn(name, F.lit(None).cast(LEAKS))
     for block in blocks(benchmark):
         out = marked_by(out, block)
     return out
@@ -240,4 +240,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` whose text leaks no item."""
-    return marked(docs, benchmark).where(F.size("leaks") == 0).select([F.col(f"`{c}`") for c in docs.columns])
+    return marked(docs, benchmark, "_benchmark_leaks").where(F.size("_benchmark_leaks") == 0).drop("_benchmark_leaks")

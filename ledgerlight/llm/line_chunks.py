@@ -65,14 +65,14 @@ def passages(docs: DataFrame) -> DataFrame:
     return text.select(F.xxhash64("passage").alias("h1"), F.xxhash64("passage", F.lit(1)).alias("h2"), "doc_id", "row", "k", "passage")
 
 
-def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text, any other columns) with repeated passages cut from text, and removed_chunks as a last column.
+def drop_repeated_chunks(docs: DataFrame, count: str = "removed_chunks") -> DataFrame:
+    """`docs` (doc_id, text, any other columns) with repeated passages cut from text, and their number as last column `count`.
 
     Every row stays. Null and empty texts stay as they are; a text whose chunks all go becomes empty. Rows that repeat
     doc_id and text count as one document and are cut alike; rows that share only the doc_id are told apart by the text.
-    A null doc_id comes first in the order. An own column removed_chunks is replaced.
+    A null doc_id comes first in the order. An own column `count` is replaced.
     """
-    keyed = docs.drop("removed_chunks").withColumn(ROW, F.xxhash64("text"))
+    keyed = docs.drop(count).withColumn(ROW, F.xxhash64("text"))
     found = passages(keyed.where("text is not null").select("doc_id", F.col(ROW).alias("row"), "text"))
     place = F.struct("doc_id", "row", "k")
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
@@ -82,13 +82,13 @@ def drop_repeated_chunks(docs: DataFrame) -> DataFrame:
     marks = gone.groupBy("doc_id", "row").agg(F.collect_set("k").alias(MARKS)).select(
         F.col("doc_id").alias("_line_chunk_doc"), F.col("row").alias("_line_chunk_of"), MARKS)
     cut = keyed.join(marks, (F.col("doc_id").eqNullSafe(F.col("_line_chunk_doc"))) & (F.col(ROW) == F.col("_line_chunk_of")), "left")
-    rest = chunked(cut.select("text", MARKS, *[F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.drop("removed_chunks").columns)])
+    rest = chunked(cut.select("text", MARKS, *[F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.drop(count).columns)])
                    .withColumn("text", F.when(F.col(MARKS).isNotNull(), F.col("text"))))
     left = F.filter(F.col("spans"), lambda s, k: ~F.array_contains(F.col(MARKS), k))
     text = F.array_join(F.transform(left, piece), "\n")
-    names = docs.drop("removed_chunks").columns
+    names = docs.drop(count).columns
     return rest.select(*[F.when(F.col(MARKS).isNotNull(), text).otherwise(F.col(f"_own_{i}")).alias(c) if c == "text" else F.col(f"_own_{i}").alias(c)
-                         for i, c in enumerate(names)], F.coalesce(F.size(MARKS), F.lit(0)).alias("removed_chunks"))
+                         for i, c in enumerate(names)], F.coalesce(F.size(MARKS), F.lit(0)).alias(count))
 
 
 def comparison_sql(source: str = "documents") -> str:

@@ -134,8 +134,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     return fit([r["text"].encode() for r in rows], [int(r["quality"]) for r in rows])
 
 
-def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """`docs` (with a column text) and a column score; null counts as empty, and an empty text has a score as well."""
+def scored(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
+    """`docs` (with a column text) and a column `name`, which replaces an own one; null and empty texts have a score as well."""
+    docs = docs.drop(name)
     table, out, bias = net.table(), net.out.copy(), float(net.bias[0])
     place = docs.columns.index("text")
 
@@ -143,9 +144,9 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
         for batch in batches:
             data, offsets = shingles.buffers(batch.column(place))
             scores = [probability(pooled(table, data[offsets[r]:offsets[r + 1]])[0], out, bias) for r in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(of, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(of, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/ledgerlight-checkpoint"
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a temporary one serves a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.gettempdir()}/ledgerlight-checkpoint"
     return f"{base.rstrip('/')}/ledgerlight/{name}-{uuid.uuid4().hex}"
 
 
