@@ -108,7 +108,9 @@ def equity_on(equity: DataFrame, logins: DataFrame, until: Column, name: str, by
     """
     if by_day:
         day = _last_snapshot_day(equity, F.to_date("at"), until)
-        rows = eq.keyed.newest(equity.where(F.to_date("at") == day), ["login"], ["at", "source"])
+        # bounds on the column itself, which reach the scan
+        inside = (F.col("at") >= day.cast("timestamp_ntz")) & (F.col("at") < F.date_add(day, 1).cast("timestamp_ntz"))
+        rows = eq.keyed.newest(equity.where(inside), ["login"], ["at", "source"])
     else:
         moment = _last_snapshot_day(equity, F.col("at"), until.cast("timestamp_ntz"))
         rows = equity.where(F.col("at") == moment)

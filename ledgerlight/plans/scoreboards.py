@@ -309,7 +309,7 @@ def dashboard(run_rate: DataFrame, volume: DataFrame, accounts: DataFrame, equit
                               & (F.col("at") < F.lit(cal.next_month(today)).cast("timestamp_ntz")))
     pnl_day = F.coalesce(month_rows.agg(F.to_date(F.max("at"))).scalar(), F.date_sub(day, 1))
     logins = views.login_accounts(bridge, accounts).groupBy("login").agg(F.count(F.lit(1)).alias("n"))
-    pnl = (equity.where(F.to_date("at") == pnl_day).groupBy("login")
+    pnl = (equity.where((F.col("at") >= pnl_day.cast("timestamp_ntz")) & (F.col("at") < F.date_add(pnl_day, 1).cast("timestamp_ntz"))).groupBy("login")
            .agg(F.sum(F.coalesce("closed_pnl", m.zero()) + F.coalesce("delta_floating", m.zero())).alias("v"))
            .join(logins, "login").agg(m.usd_sum(F.col("v") * F.col("n")).alias("pnl_daily")))
     row = one_row(spark, kpi, vol, pnl, views.account_stats(accounts, today), pnl_day=pnl_day,
