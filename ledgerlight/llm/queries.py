@@ -116,7 +116,7 @@ BYTE_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlight.llm.pieces import model_bytes
     from ledgerlight.llm.token_files import token_counts
-    return token_counts(table(spark, sf_dir, "documents"), model_bytes(spark, BYTE_RANKS))
+    return token_counts(table(spark, sf_dir, "documents"), model_bytes(spark, BYTE_RANKS)).select("doc_id", "n_tokens")
 
 
 @query

@@ -8,17 +8,19 @@ blocks of a file (running count of marks, ids carried since the last mark) stitc
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ledgerlight.llm.storage import shared_folder, worker_cache
+from ledgerlight.llm.storage import shared_folder, stored, worker_cache
 
 END = 50256                  # free in the vocabulary of ranks
 BLOCK_IDS = 1 << 18
-FILE_BYTES = 32 << 20        # of text for one file, about
+FILE_BYTES = 16 << 20        # in one file, about
 #: words, numbers, signs and blanks as the public byte-level vocabularies cut them; fixed value
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -36,33 +38,35 @@ def encoder(ranks: bytes):
 
 
 def write_token_files(docs: DataFrame, ranks: bytes, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Texts of `docs` (doc_id, text) as flat files, one for each shard; returns which document is where: (doc_id, shard, ordinal).
+    """Texts of `docs` (doc_id, text) as flat files in `folder`; returns which document is where: (doc_id, file, ordinal).
 
-    Shards go by a hash of id and text, and documents by (doc_id, hash) within; equal rows are alike, so their order
-    doesn't matter. The text source writes the ids' bytes and, as what it puts between rows, the mark.
+    Each task writes its texts in the order it reads them, so nothing is shuffled, and starts a new file after
+    `file_bytes`. A file has a name of its own for each attempt of a task; only names that a finished attempt returns
+    count, so what a lost executor left behind is ignored. `folder` must be a path or URI that pyarrow opens on every
+    executor, as a shared mount or HDFS is.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // file_bytes))
-    placed = own.withColumn("mark", F.xxhash64("doc_id", "text")).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.xxhash64("mark")), F.lit(shards)).cast("int"))
-
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks).encode_ordinary
+        encode, end = encoder(ranks).encode_ordinary, np.array([END], "<u2").tobytes()
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        out, name, ordinal = None, "", 0
         for batch in batches:
-            start, waiting, out = 0, 0, []
-            for row, text in enumerate(batch.column(3)):
-                out.append(np.array(encode(text.as_py()), "<u2").tobytes())
-                waiting += len(out[-1])
-                if waiting > 4 << 20 or row == len(batch) - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, len(out)) for c in range(3)] + [pa.array(out, pa.binary())], ["shard", "doc_id", "mark", "ids"])
-                    start, waiting, out = row + 1, 0, []
-
-    ids = placed.select("shard", "doc_id", "mark", "text").mapInArrow(of, "shard int, doc_id long, mark long, ids binary")
-    mark = int(END).to_bytes(2, "little").decode("latin-1")
-    (ids.repartition("shard").sortWithinPartitions("shard", "doc_id", "mark").select("shard", F.col("ids").cast("string").alias("value"))
-     .write.partitionBy("shard").option("encoding", "ISO-8859-1").option("lineSep", mark).text(folder))
-    order = Window.partitionBy("shard").orderBy("doc_id", "mark")
-    return placed.select("doc_id", "shard", "mark").withColumn("ordinal", F.row_number().over(order).cast("long") - 1).select("doc_id", "shard", "ordinal")
+            names, ordinals = [], []
+            for text in batch.column(1):
+                if out is None or out.tell() >= file_bytes:
+                    if out is not None:
+                        out.close()
+                    name, ordinal = f"part-{uuid.uuid4().hex}.bin", 0
+                    out = store.open_output_stream(f"{root}/{name}")
+                out.write(np.array(encode(text.as_py() or ""), "<u2").tobytes() + end)
+                names.append(name)
+                ordinals.append(ordinal)
+                ordinal += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(ordinals, pa.int64())], ["doc_id", "file", "ordinal"])
+        if out is not None:
+            out.close()
+
+    return stored(docs.select("doc_id", "text").mapInArrow(of, "doc_id long, file string, ordinal long"), "documents")
 
 
 def scan_block(ids: np.ndarray, end: int = END) -> tuple[np.ndarray, int, int]:
@@ -110,7 +114,7 @@ def counted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, ranks: bytes) -> DataFrame:
-    """(doc_id, n_tokens, shard, ordinal) for each row of `docs` (doc_id, text; other columns are ignored), counted in the files.
+    """(doc_id, n_tokens, file, ordinal) for each row of `docs` (doc_id, text; other columns are ignored), counted in the files.
 
     Null and empty texts have 0 tokens; repeated rows and null ids have rows of their own; an empty table gives an empty
     result.
@@ -118,5 +122,7 @@ def token_counts(docs: DataFrame, ranks: bytes) -> DataFrame:
     spark = docs.sparkSession
     folder = shared_folder(spark, "tokens")
     placed = write_token_files(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ranks, folder)
-    counts = counted(spark, folder).withColumn("shard", F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("int")).drop("path")
-    return placed.join(counts, ["shard", "ordinal"]).select("doc_id", "n_tokens", "shard", "ordinal")
+    if placed.isEmpty():
+        return placed.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "file", "ordinal")
+    counts = counted(spark, folder).withColumn("file", F.substring_index("path", "/", -1)).drop("path")
+    return placed.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
