@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerlight.llm.storage import worker_cache
 
 BLANK = "▁"
+STOPS = ".,;:!?"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)   # piece types of the model file
 REMEMBERED = 500_000     # segments whose paths a worker keeps
-BATCH_TOKENS = 1 << 20
+BATCH_TOKENS = 1 << 18
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -85,16 +86,20 @@ class Model:
         self.longest = max(map(len, self.ids), default=1)
         self.known = {c for p in self.ids for c in p}
         self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.lengths: dict[str, list[int]] = {}   # of the pieces that begin with three characters, longest first
+        self.lengths: dict[str, list[int] | tuple[int, ...]] = {}   # of the pieces that begin with four characters, longest first
         for p in self.ids:
-            if len(p) > 2:
-                self.lengths.setdefault(p[:3], []).append(len(p))
-        self.lengths = {k: sorted(set(v), reverse=True) for k, v in self.lengths.items()}
+            if len(p) > 3:
+                self.lengths.setdefault(p[:4], []).append(len(p))
+        self.lengths = {k: (*sorted(set(v), reverse=True), 3, 2, 1) for k, v in self.lengths.items()}
+        self.singles = all(c in self.ids for c in self.known)
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
-        # a text may be cut where no piece reaches across: before a blank that follows something else, around other characters
+        # a text may be cut where no piece reaches across: before a blank that follows something else, around characters that
+        # no piece has, and between a letter and a stop, but for letters that some piece joins with a stop
         inner = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in self.known)
-        self.cut = re.compile(r"(?s).+" if inner else f"[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        joined = "".join(re.escape(c) for c in sorted({p[0] for p in self.inside if p[1] in STOPS and p[0].isalnum()}))
+        word = f"{BLANK}*[^\\W_{joined}]+(?=[{re.escape(STOPS)}])|"
+        self.cut = re.compile(r"(?s).+" if inner else f"{word}[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{word}{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.decoded = [self.written(i) for i in range(len(self.pieces))]
         self.fits: dict[tuple[int, int], bool] = {}
         self.grown: dict[int, tuple[list[tuple[float, str, str]], bool]] = {}
@@ -174,42 +179,39 @@ class Model:
 
         All such paths weigh 0, so the first complete one is shortest; a position from which none is complete is dead.
         """
-        if any(c not in self.ids for c in run) or BLANK + BLANK in run:
+        if BLANK + BLANK in run or not (self.singles or all(c in self.ids for c in run)):
             return self.merged(run)
-        dead: set[int] = set()
-        path, ends, arcs = [], [0], [self.arcs(run, 0)]
-        while ends[-1] < len(run):
-            for end, i in arcs[-1]:
-                if end not in dead and self.fit(path[-1] if path else -1, i):
-                    path.append(i)
-                    ends.append(end)
-                    arcs.append(self.arcs(run, end))
-                    break
+        ids, lengths, fits, n = self.ids, self.lengths, self.fits, len(run)
+        path: list[int] = []
+        ends, dead, at, last, below = [0], set(), 0, -1, self.longest + 1
+        while at < n:
+            for size in lengths.get(run[at:at + 4], (3, 2, 1)):
+                end = at + size
+                if size < below and end <= n and end not in dead:
+                    i = ids.get(run[at:end])
+                    if i is not None:
+                        fit = fits.get((last, i))
+                        if fit is None:
+                            fit = fits[last, i] = self.stays(last, i)
+                        if fit:
+                            path.append(i)
+                            ends.append(end)
+                            at, last, below = end, i, self.longest + 1
+                            break
             else:
                 if not path:
                     return self.merged(run)
                 dead.add(ends.pop())
+                below, at = at - ends[-1], ends[-1]
                 path.pop()
-                arcs.pop()
+                last = path[-1] if path else -1
         return path
 
-    def arcs(self, run: str, start: int) -> Iterator[tuple[int, int]]:
-        """(end, id) of the pieces that the trie reads from a position, longest first."""
-        ids = self.ids
-        for size in (*self.lengths.get(run[start:start + 3], ()), 2, 1):
-            i = ids.get(run[start:start + size])
-            if i is not None and start + size <= len(run):
-                yield start + size, i
-
-    def fit(self, last: int, i: int) -> bool:
-        """Whether piece i after the last one weighs 0: merging both texts by rank leaves the two."""
-        known = self.fits.get((last, i))
-        if known is None:
-            known = self.fits[last, i] = self.stays(last, i)
-        return known
-
     def stays(self, a: int, b: int) -> bool:
-        """Both texts grow merge by merge, always the better rank first (the left one of equals), until done or merged across."""
+        """Whether piece b after piece a (-1: none) weighs 0, as merging both texts by rank leaves the two.
+
+        Both grow merge by merge, always the better rank first (the left one of equals), until done or merged across.
+        """
         right, whole = self.growth(b)
         if a < 0 or not whole:
             return whole
