@@ -1,15 +1,17 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over windows, exact edit distance.
+"""Benchmark decontamination: CGK embedding of parts, LSH over windows at every byte, exact edit distance.
 
 A text leaks an item if a stretch of it is within RATE * (length of the item) edits of the item, both with A-Z
 lower-cased, white space runs as one blank, in UTF-8 bytes. A CGK walk reads a string from its start and at each step
-either stays or goes on, as a random function of step and byte says; strings with few edits fall into step again, so
-their outputs differ in few steps (edit distance becomes Hamming distance). A window starts at each word of a text and
-at each word of an item and is as long as the rest of the item. Each of WALKS walks samples SAMPLED of the first HORIZON
-outputs: equal samples make a candidate, whose whole item is then placed around the window and compared by edit distance.
-
-Any window of the item that has no edit in the bytes its walk reads (HORIZON / 2 of them on average) is a candidate for
-sure, so an unedited leak is always found, and a leak is missed only if every window of the item fails in every walk:
-at e edits a byte a window of w steps is clean with about (1 - e) ** (w / 2), see expected_recall().
+either stays or goes on, as a random function of step and byte says. Over a whole item with a tenth of its bytes edited the
+outputs of two walks differ at so many steps that no sample of them is both equal and telling, so parts are embedded:
+with k = RATE * length edits allowed an item is cut into k + 1 parts that cover it, and its walks end where a part ends.
+k edits leave one part of k + 1 untouched, wherever they are; its walk has the same outputs in the text, and as windows of
+a text start at every byte, it is met. So one walk and all of its outputs give recall 1 at any length and up to the full
+RATE: number of parts and steps follow from length and RATE, and fewer sampled outputs would only add candidates.
+
+Candidates are narrowed by the same count without losing any: parts form pairs (at most one edit) and pairs form groups of
+up to 64 bytes (an edit less than parts); if every group had more edits than that, the item would have more than k. What
+is left is compared by the whole item's edit distance.
 """
 
 from __future__ import annotations
@@ -20,18 +22,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerlight.llm.shingles import LOWER, SPACE, buffers, chunks, mixed, stream
+from ledgerlight.llm.shingles import LOWER, SPACE, buffers, chunks, stream
 
 RATE = 0.1
-WALKS, HORIZON, EARLY, SAMPLED = 2, 40, 16, 20
-MIN_ITEM = EARLY         # bytes; shorter items say nothing about a text and are left out
-SIEVE_BITS = 22
+LEVELS = (6, 8, 10, 12)  # steps of a walk; a part takes the most that stay inside it, and no part is shorter than the least
+ALONE = 1.3              # length of a part without a partner, in other parts
+MIN_ITEM = 16            # bytes; shorter items say nothing about a text and are left out
 BLOCK_BYTES = 8 << 20    # of items in one pass over the texts
+TEXT_BYTES = 1 << 17     # of text whose walks are computed at a time
+NODES = 4096             # groups whose bit tables are held at a time
+
+CODE = stream(256, 100)  # of a byte that a walk puts out
+STEP = stream(1, 101)[0] | np.uint64(1)
+GOES_ON = (stream(256 * LEVELS[-1], 102).reshape(LEVELS[-1], 256) >> np.uint64(62)) > 0   # three times in four
+GOES_ON[:, 0] = False    # the end of a text stays
 
 
 def expected_recall(words: int, rate: float = RATE) -> float:
-    """Lower estimate for an item of so many words with random edits at this rate, by its clean windows alone."""
-    return 1 - (1 - (1 - rate) ** (HORIZON / 2)) ** words
+    """Least recall for items of so many words: 1 up to RATE, as one part is free of edits; what has more is no leak."""
+    return float(rate <= RATE)
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,81 +67,170 @@ def starts_of(text: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def walk_tables(walk: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether to go on, by step and byte (a zero byte stays), and which steps are sampled."""
-    bits = stream(HORIZON * 256, 100 + walk).reshape(HORIZON, 256)
-    on = (bits >> np.uint64(63)).astype(np.int64)
-    on[:, 0] = 0
-    draw = np.random.default_rng(walk)
-    early = draw.choice(EARLY, SAMPLED * EARLY // HORIZON, replace=False)
-    late = EARLY + draw.choice(HORIZON - EARLY, SAMPLED - len(early), replace=False)
-    sampled = np.zeros(HORIZON, bool)
-    sampled[early] = sampled[late] = True
-    return on, sampled
-
+def walks(text: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(steps, key of the walk from each byte of `text`) for each of LEVELS; the first step of a longer walk is the newest.
 
-def walked(text: np.ndarray, place: np.ndarray, key: np.ndarray, tables, steps: range) -> tuple[np.ndarray, np.ndarray]:
-    on, sampled = tables
-    for j in steps:
-        byte = text[place]
-        if sampled[j]:
-            key = key * np.uint64(0x9E3779B97F4A7C15) + byte
-        place = place + on[j][byte]
-    return place, mixed(key)
+    A walk of s steps is one step, then a walk of s - 1 steps from where that leads: one pass over the text a step.
+    """
+    code, key = CODE[text], np.zeros(len(text) + 1, np.uint64)
+    for s in range(1, LEVELS[-1] + 1):
+        new = np.where(GOES_ON[s - 1][text], key[1:], key[:-1])
+        new *= STEP
+        new += code
+        key[:-1] = new
+        if s in LEVELS:
+            yield s, new
+
+
+def steps_inside(part: bytes) -> int:
+    """The most steps of LEVELS whose walk reads no byte beyond `part`."""
+    for steps in reversed(LEVELS):
+        place = 0
+        for s in range(steps, 0, -1):
+            if place >= len(part):
+                break
+            place += int(GOES_ON[s - 1][part[place]])
+        else:
+            return steps
+    raise ValueError(f"a part of {len(part)} bytes is shorter than the shortest walk")
+
+
+def parts_of(n: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """(begin, end, begin and end of the partner, begin and end of the group, edits of the group) of each part of an item.
+
+    Without partner: an empty one.
+    """
+    k = int(RATE * n)
+    weights = np.array([1.0] * (k + 1 - (k + 1) % 2) + [ALONE] * ((k + 1) % 2))
+    cuts = [0, *np.floor(np.cumsum(weights) / weights.sum() * n + 1e-9).astype(int).tolist()]
+    units = [(i, i + 2) for i in range(0, k, 2)] + ([(k, k + 1)] if k % 2 == 0 else [])
+    out = []
+    for group in np.array_split(np.array(units), max(1, len(units) // 2)):
+        first, last = int(group[0][0]), int(group[-1][1])
+        for lo, hi in group.tolist():
+            for i in range(lo, hi):
+                other = lo + hi - 1 - i if hi - lo == 2 else None
+                partner = (cuts[other], cuts[other + 1]) if other is not None else (cuts[i], cuts[i])
+                out.append((cuts[i], cuts[i + 1], *partner, cuts[first], cuts[last], last - first - 1))
+    return out
 
 
 class Items:
-    """Sampled keys of the windows of a block of items, for each walk."""
+    """Keys of the parts of a block of items."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
         self.rows = rows
-        self.tables = [walk_tables(w) for w in range(WALKS)]
-        self.early, self.late = [], []
-        with np.errstate(over="ignore"):
-            for tables in self.tables:
-                short, long, sieve = [], [], np.zeros(1 << SIEVE_BITS, bool)
-                for i, (_, item) in enumerate(rows):
-                    text = np.frombuffer(item + b"\0", np.uint8)
-                    starts = starts_of(text)
-                    whole = len(item) >= HORIZON
-                    starts = starts[starts + HORIZON <= len(item)] if whole else starts[:1]
-                    place, first = walked(text, starts, np.zeros(len(starts), np.uint64), tables, range(EARLY))
-                    sieve[first >> np.uint64(64 - SIEVE_BITS)] = True
-                    keys = walked(text, place, first, tables, range(EARLY, HORIZON))[1] if whole else first
-                    (long if whole else short).append((keys, np.full(len(starts), i), starts))
-                self.early.append((sieve, *self.ordered(short)))
-                self.late.append(self.ordered(long))
-
-    @staticmethod
-    def ordered(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, items, offsets = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(keys, kind="stable")
-        return keys[order], items[order], offsets[order]
+        self.bytes = np.frombuffer(b"".join(item for _, item in rows) + b"\0" * 64, np.uint8)
+        base, parts, levels, shapes = 0, [], [], {}
+        for i, (_, item) in enumerate(rows):
+            shape = shapes.setdefault(len(item), None) or parts_of(len(item))
+            shapes[len(item)] = shape
+            for part in shape:
+                parts.append((i, base, *part))
+                levels.append(steps_inside(item[part[0]:part[1]]))
+            base += len(item)
+        table = np.array(parts, np.int64).reshape(-1, 9)
+        level = np.array(levels, np.int64)
+        self.known = {}
+        for steps, keys in walks(self.bytes):
+            own = table[level == steps]
+            if len(own):
+                found = keys[own[:, 1] + own[:, 2]]
+                order = np.argsort(found, kind="stable")
+                bits = min(24, max(12, int(len(own) * 32).bit_length()))
+                sieve = np.zeros(1 << bits, bool)
+                sieve[found >> np.uint64(64 - bits)] = True
+                self.known[steps] = sieve, np.uint64(64 - bits), found[order], own[order]
 
     def candidates(self, text: np.ndarray) -> np.ndarray:
-        """Rows (item, where the item would begin in `text`, where the window begins) for all windows with an item's key."""
-        starts, found = starts_of(text), []
-        with np.errstate(over="ignore"):
-            for walk, tables in enumerate(self.tables):
-                sieve, *short = self.early[walk]
-                place, first = walked(text, starts, np.zeros(len(starts), np.uint64), tables, range(EARLY))
-                some = np.flatnonzero(sieve[first >> np.uint64(64 - SIEVE_BITS)])
-                found += met(first[some], starts[some], *short)
-                keys = walked(text, place[some], first[some], tables, range(EARLY, HORIZON))[1]
-                found += met(keys, starts[some], *self.late[walk])
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-
-
-def met(keys, starts, known, items, offsets) -> list[np.ndarray]:
+        """Rows (item, where it would begin in `text`, a place inside): every leak has one within its edits of its begin."""
+        ends = np.concatenate([np.zeros(64, np.uint8), text, np.zeros(192, np.uint8)])
+        found = [np.zeros((0, 3), np.int64)]
+        for lo in range(0, len(text), TEXT_BYTES):
+            n = min(TEXT_BYTES, len(text) - lo)
+            for steps, keys in walks(text[lo:lo + n + LEVELS[-1]]):
+                if steps in self.known:
+                    sieve, shift, known, table = self.known[steps]
+                    some = np.flatnonzero(sieve[keys[:n] >> shift])
+                    which, at = met(keys[some], some + lo, known)
+                    which, at = close_pairs(self.bytes, ends, table, which, at)
+                    which, at = close_groups(self.bytes, ends, table, which, at)
+                    part = table[which]
+                    found.append(np.stack([part[:, 0], at - part[:, 2], at], 1))
+        return np.unique(np.concatenate(found), axis=0)
+
+
+def met(keys: np.ndarray, starts: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `known`, start) of all equal keys."""
     lo, hi = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
     n = hi - lo
-    if not n.any():
-        return []
     at = np.repeat(np.arange(len(keys)), n)
-    which = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + lo[at]
-    return [np.stack([items[which], starts[at] - offsets[which], starts[at]], 1)]
+    return np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + lo[at], starts[at]
+
+
+def close_pairs(items: np.ndarray, ends: np.ndarray, table: np.ndarray, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those whose partner is within one edit next to the part; parts without partner stay. `ends` is the text after 64 bytes."""
+    if not len(which):
+        return which, at
+    _, base, begin, end, other, stop = table[which, :6].T
+    length = stop - other
+    right = other >= end
+    way = np.where(right, 1, -1)
+    own = base + np.where(right, other, stop - 1)
+    there = at + 64 + np.where(right, end - begin, -1)
+    straight = np.ones(len(which), bool)              # no edit so far
+    inserted = substituted = deleted = np.zeros(len(which), bool)
+    before, here = np.zeros(len(which), np.uint8), ends[there]
+    for j in range(int(length.max(initial=0))):
+        inside = j < length
+        byte, after = items[np.where(inside, own + way * j, 0)], ends[there + way * (j + 1)]
+        # the edit is at this byte, or was before it and the rest goes on in step
+        next_inserted = (inserted | straight) & (byte == after)
+        next_substituted = substituted & (byte == here) | straight
+        next_deleted = deleted & (byte == before) | straight
+        next_straight = straight & (byte == here)
+        inserted, substituted = np.where(inside, next_inserted, inserted), np.where(inside, next_substituted, substituted)
+        deleted, straight = np.where(inside, next_deleted, deleted), np.where(inside, next_straight, straight)
+        before, here = here, after
+    keep = straight | inserted | substituted | deleted
+    return which[keep], at[keep]
+
+
+def close_groups(items: np.ndarray, ends: np.ndarray, table: np.ndarray, which: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those whose group is within its edits around the part, by bit-parallel columns over all at once."""
+    keep = np.zeros(len(which), bool)
+    if not len(which):
+        return which, at
+    _, base, begin, _, _, _, first, last, most = table[which].T
+    groups, own = np.unique(np.stack([base + first, last - first], 1), axis=0, return_inverse=True)
+    own = own.reshape(-1)
+    order = np.argsort(own, kind="stable")
+    one = np.uint64(1)
+    for low in range(0, len(groups), NODES):
+        some = groups[low:low + NODES]
+        rows = order[np.searchsorted(own[order], low):np.searchsorted(own[order], low + NODES)]
+        where = np.zeros((len(some), 256), np.uint64)
+        for j in range(int(some[:, 1].max())):
+            inside = np.flatnonzero(j < some[:, 1])
+            where[inside, items[some[inside, 0] + j]] |= one << np.uint64(j)
+        where, node = where.reshape(-1), (own[rows] - low) * 256
+        n, q = (last - first)[rows], most[rows]
+        place = np.maximum(at[rows] - (begin - first)[rows] - q + 64, 0)
+        columns = n + 2 * q
+        top = (n - 1).astype(np.uint64)
+        plus, minus = np.full(len(rows), ~np.uint64(0)), np.zeros(len(rows), np.uint64)
+        score, best = n.copy(), n.copy()
+        for j in range(int(columns.max())):
+            same = where[node + ends[np.minimum(place + j, len(ends) - 1)]]
+            vertical = same | minus
+            diagonal = (((same & plus) + plus) ^ plus) | same
+            up, down = minus | ~(diagonal | plus), plus & diagonal
+            score += (up >> top & one).astype(np.int64) - (down >> top & one).astype(np.int64)
+            up, down = up << one, down << one
+            plus, minus = down | ~(vertical | up), up & vertical
+            np.minimum(best, score, out=best)
+        keep[rows] = best <= q
+    return which[keep], at[keep]
 
 
 def best_edits(item: bytes, text: bytes, most: int) -> int | None:
@@ -159,6 +257,25 @@ def best_edits(item: bytes, text: bytes, most: int) -> int | None:
     return best if best <= most else None
 
 
+def stretches(found: np.ndarray, rows: list[tuple[int, bytes]], begin: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, from, to) of the stretches of text that can hold an item; those of an item that overlap are one."""
+    row = np.searchsorted(begin, found[:, 2], side="right") - 1
+    last = None
+    for j in np.lexsort((found[:, 1], found[:, 0], row)).tolist():
+        (i, at, _), r = found[j].tolist(), int(row[j])
+        n = len(rows[i][1])
+        most = int(RATE * n)
+        low, high = max(int(begin[r]), at - most), min(int(ends[r]), at + n + most)
+        if last and last[:2] == (r, i) and low <= last[3]:
+            last = r, i, last[2], max(high, last[3])
+        else:
+            if last:
+                yield last
+            last = r, i, low, high
+    if last:
+        yield last
+
+
 def normal(text: str | None) -> bytes:
     data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     return normalised(data, np.array([0, len(data)]))[0].tobytes()[:-1].strip()
@@ -208,16 +325,11 @@ def marked_by(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
                 text, begin = normalised(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 ends = np.append(begin[1:], len(text)) - 1
                 least: dict[tuple[int, int], int] = {}
-                seen: set[tuple[int, int, int]] = set()
-                for i, at, window in items.candidates(text).tolist():
-                    item, r = rows[i][1], int(np.searchsorted(begin, window, side="right")) - 1
-                    most = int(RATE * len(item))
-                    low, high = max(int(begin[r]), at - 2 * most), min(int(ends[r]), at + len(item) + 2 * most)
-                    if high - low >= len(item) - most and least.get((r, i)) != 0 and (r, i, low) not in seen:
-                        seen.add((r, i, low))
-                        edits = best_edits(item, text[low:high].tobytes(), most)
-                        if edits is not None:
-                            least[r, i] = min(edits, least.get((r, i), edits))
+                for r, i, low, high in stretches(items.candidates(text), rows, begin, ends):
+                    item = rows[i][1]
+                    edits = best_edits(item, text[low:high].tobytes(), int(RATE * len(item)))
+                    if edits is not None:
+                        least[r, i] = min(edits, least.get((r, i), edits))
                 for (r, i), edits in sorted(least.items()):
                     found[lo + r].append((rows[i][0], edits))
             marks = [[{"item_id": i, "edits": e} for i, e in row] for row in found]

@@ -96,3 +96,31 @@ def test_windows_see_no_neighbour_text():
 @pytest.mark.parametrize("rate", [0.02, 0.05])
 def test_expected_recall_is_a_lower_estimate(rate):
     assert dc.expected_recall(15, rate) >= 0.95
+
+
+def test_every_leak_is_found_at_any_length(spark):
+    """Recall 1 at the full tenth of edits, by item length, with the least edits of the whole text."""
+    rng = random.Random(11)
+    items, docs = [], []
+    for n in (16, 19, 20, 21, 29, 30, 44, 50, 60, 80, 120, 233, 600):
+        for _ in range(12):
+            item = " ".join(word(rng) for _ in range(n))[:n].encode()[:n].decode("utf-8", "ignore").strip().ljust(n, "q")
+            item = item if len(item.encode()) == n else "w" * (n - 5) + " aeio"
+            leak = edited(rng, item, int(dc.RATE * n))
+            docs.append((len(items), " ".join(word(rng) for _ in range(25)) + " " + leak + " " + " ".join(word(rng) for _ in range(9))))
+            items.append((len(items), item))
+    got = {(r.doc_id, r.item_id): r.edits for r in dc.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for (i, text), (_, item) in zip(docs, items):
+        a = dc.normal(item)
+        want = dc.best_edits(a, dc.normal(text), int(dc.RATE * len(a)))
+        assert want is None or got.get((i, i)) == want
+    assert sum((i, i) in got for i, _ in items) > 0.9 * len(items)
+
+
+def test_parts_cover_an_item_and_outnumber_its_edits():
+    for n in range(dc.MIN_ITEM, 1500):
+        parts = dc.parts_of(n)
+        assert len(parts) == int(dc.RATE * n) + 1 and [p[0] for p in parts] == [0, *(p[1] for p in parts[:-1])] and parts[-1][1] == n
+        assert min(p[1] - p[0] for p in parts) >= dc.LEVELS[0] and max(p[5] - p[4] for p in parts) <= 64
+        assert sum(most + 1 for *_, most in {p[4:] for p in parts}) == len(parts)
