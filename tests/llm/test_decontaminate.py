@@ -124,3 +124,15 @@ def test_parts_cover_an_item_and_outnumber_its_edits():
         assert len(parts) == int(dc.RATE * n) + 1 and [p[0] for p in parts] == [0, *(p[1] for p in parts[:-1])] and parts[-1][1] == n
         assert min(p[1] - p[0] for p in parts) >= dc.LEVELS[0] and max(p[5] - p[4] for p in parts) <= 64
         assert sum(most + 1 for *_, most in {p[4:] for p in parts}) == len(parts)
+
+
+@pytest.mark.parametrize("before, after", [('say "', '" now'), ("see (", ") then"), ("x=[", "]"), ("glued", "on"), ("「", "」と"), ("", "")])
+def test_unedited_leaks_are_found_whatever_stands_around(spark, before, after):
+    rng = random.Random(17)
+    items = [(n, " ".join(word(rng) for _ in range(n))[:n].strip().ljust(n, "q")) for n in (16, 17, 25, 39, 40, 46, 90)]
+    chinese = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    items += [(101, chinese(6)), (102, chinese(30)), (103, "https://example.org/a/b?c=" + chinese(3)), (104, "for(i=0;i<n;i++){s+=a[i];}")]
+    docs = [(i, f"{word(rng)} {chinese(9)}{before}{item}{after}{chinese(9)} {word(rng)}") for i, item in items]
+    got = {tuple(r) for r in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                      spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i, 0) for i, _ in items} <= got
