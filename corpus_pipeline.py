@@ -22,10 +22,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest doc_id, once; documents without words or id all stay."""
-    groups = jaccard.jaccard_components(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    groups = jaccard.jaccard_components(docs).where("doc_id = component_id and (n_shingles = 0 or key = component_key)")
+    kept = groups.groupBy("doc_id", "key", F.when(F.col("n_shingles") == 0, F.col("row")).alias("blank")).agg(F.min("row").alias("_row"))
+    named = docs.withColumn("_row", jaccard.row_of("text")).join(kept.select("doc_id", "_row"), ["doc_id", "_row"], "left_semi")
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"), allowMissingColumns=True).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlight.llm import shingles
 from ledgerlight.llm.components import components
@@ -89,19 +89,24 @@ def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             point = np.bincount((codes & np.uint64(DIMENSIONS - 1)).astype(np.int64), minlength=DIMENSIONS)
             points.append(point.astype(np.uint8).tobytes() if point.max() < 256 else b"")
             counts += np.bincount((codes >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=1 << ORDER_BITS)
-        yield features_batch(batch.column(0), keys, sizes, points, None)
-    yield features_batch(pa.nulls(1, pa.int64()), [None], [None], [None], [counts])
+        yield features_batch(batch.column(0), batch.column(2), keys, sizes, points, None)
+    yield features_batch(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [None], [None], [None], [counts])
 
 
-def features_batch(ids, keys, sizes, points, counts) -> pa.RecordBatch:
+def features_batch(ids, rows, keys, sizes, points, counts) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
     rest = [pa.array(x if x is not None else [None] * len(keys), k) for x, k in zip((keys, sizes, points, counts), kinds)]
-    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *rest], ["doc_id", "key", "n", "point", "counts"])
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), rows, *rest], ["doc_id", "row", "key", "n", "point", "counts"])
+
+
+def row_of(text: str) -> Column:
+    """What tells apart rows that share a doc_id."""
+    return F.xxhash64(text)
 
 
 def features(docs: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(doc_id, key, n, point) for each row of (doc_id, text), and how many shingles of all texts fall into each order group."""
-    both = stored(docs.mapInArrow(features_of, "doc_id long, key long, n long, point binary, counts array<long>"), "features")
+    """(doc_id, row, key, n, point) for each row of (doc_id, text), row being row_of(text), and how many shingles of all texts fall into each order group."""
+    both = stored(docs.withColumn("row", row_of("text")).mapInArrow(features_of, "doc_id long, row long, key long, n long, point binary, counts array<long>"), "features")
     crowd = both.where("counts is not null").select(F.posexplode("counts").alias("g", "c")).groupBy("g").agg(F.sum("c").alias("c"))
     order = [0] * (1 << ORDER_BITS)
     for g, c in crowd.collect():   # one row for each of a fixed number of groups
@@ -241,13 +246,15 @@ def searched(rows: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id) for each row of `docs` (doc_id long, text string; other columns are ignored).
+    """(doc_id, row, key, n_shingles, component_id, component_key) for each row of `docs` (doc_id long, text string; other columns are ignored).
 
     Words are runs without ASCII white space, A-Z lower-cased; shingles have five words, a shorter text is one shingle.
     Two rows link when 100 * overlap >= 75 * union; component_id is the smallest doc_id reachable by links.
     Rows without words (null, empty or blank text) have 0 shingles and their own doc_id. Rows with a null doc_id link
     with nothing and have a null component_id. Repeated rows stay repeated; rows that share a doc_id but not the text
-    are separate members that carry the same id. An empty table gives an empty result.
+    are separate members that carry the same id. component_key is the key of the component's set with the smallest doc_id (of
+    several the smallest key; null where component_id isn't that of a set) and tells components with the same id apart;
+    row is row_of(text). An empty table gives an empty result.
     Sets are told apart by 64-bit hashes of shingles and sets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -260,11 +267,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = stored(components(near).select(F.col("node").alias("key"), "root"), "roots")
     rest = stored(across(shared, roots, classes).join(first, ["a", "b"], "left_anti"), "pairs")
     far = stored(verified(rest, classes, docs), "links")
-    ids = classes.select("key", "doc")
-    named = near.union(far).join(ids.select(F.col("key").alias("a"), F.col("doc").alias("da")), "a").join(
-        ids.select(F.col("key").alias("b"), F.col("doc").alias("db")), "b").select(F.col("da").alias("a"), F.col("db").alias("b"))
-    last = components(named).select(F.col("node").alias("doc"), "root")
-    known = ids.join(last, "doc", "left").select("key", F.coalesce("root", "doc").alias("component"))
+    # a member is a set; its doc_id comes first, so that the smallest member has the component's smallest doc_id
+    ids = classes.select("key", F.struct("doc", "key").alias("member"))
+    named = near.union(far).join(ids.select(F.col("key").alias("a"), F.col("member").alias("ma")), "a").join(
+        ids.select(F.col("key").alias("b"), F.col("member").alias("mb")), "b").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+    last = components(named).select(F.col("node.key").alias("key"), "root")
+    known = ids.join(last, "key", "left").select("key", F.coalesce("root", "member").alias("component"))
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return described.join(known, "key", "left").select(
-        "doc_id", "key", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+        "doc_id", "row", "key", F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component.doc")).alias("component_id"),
+        F.when(~alone, F.col("component.key")).alias("component_key"))

@@ -105,3 +105,16 @@ def test_long_text_is_one_chunk():
     text = " ".join(f"w{i}" for i in range(100_000))
     sets = list(shingles.shingle_sets(pa.array(["a b c d e", text, None, "x"])))
     assert [len(s) for s in sets] == [1, 99_996, 0, 1]
+
+
+def repeated_ids():
+    """Rows that share doc_id 5 but not the text: one is like document 1, one like 9, one like none, and two of 3 are alike."""
+    rng = random.Random(12)
+    a, b, c, d = (" ".join("".join(rng.choice(["on", "th", "er", "in"]) for _ in range(4)) for _ in range(40)) for _ in range(4))
+    return [(1, a), (5, a + " more"), (5, b), (9, b + " more"), (5, c), (3, d), (3, d + " more"), (3, d.upper()), (3, ""), (3, " ")]
+
+
+def test_rows_that_share_an_id_are_separate_members(spark):
+    rows = repeated_ids()
+    got = [tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=repr) == brute(rows)

@@ -76,6 +76,15 @@ def test_stages(spark, tables):
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, last))
 
 
+def test_jaccard_stage_chooses_rows_and_not_ids(spark, tmp_path):
+    rows = test_jaccard.repeated_ids()
+    docs = spark.createDataFrame([(i, t, "en", "s0", len(t), "own", 7) for i, t in rows], COLUMNS)
+    got = sorted((r.doc_id, r.text) for r in stage(spark, "ngram_jaccard", docs, str(tmp_path)).collect())
+    three = [r for r in got if r[0] == 3 and r[1].strip()]
+    assert len(three) == 1 and three[0] in rows
+    assert [r for r in got if r not in three] == sorted([rows[0], rows[2], rows[4], (3, ""), (3, " ")])
+
+
 def test_empty_documents(spark, tables, tmp_path):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for name, run in cp.STAGES:
