@@ -1,10 +1,11 @@
-"""Resharding by minimum-cost flow: from OLD shards to NEW ones with row counts at most one apart, moving the fewest bytes.
+"""Resharding by minimum-cost flow: from OLD shards to NEW ones with row counts at most one apart, moving few bytes.
 
 A shard is a folder of blocks, each a file of bounded size. The driver sees one line for each block (rows, bytes). Its
 flow network sends the rows of each block either to the shard they are in, at no cost, or through a hub to any shard, at
 the block's mean bytes a row; shards take the even share, and the rest takes one row more in as many shards as needed.
 The optimal flow says how many rows of which block move. Only files of such blocks are rewritten: rows that move are the
-smallest of their block. All other files stay untouched.
+smallest of their block, so the optimum is over mean sizes (and groups of blocks beyond SUPPLIES a shard), not over the
+bytes that move. All other files stay untouched.
 """
 
 from __future__ import annotations
