@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerlight.llm.shingles import LOWER, SPACE, buffers, chunks, stream
+from ledgerlight.llm.storage import stored
 
 RATE = 0.1
 LEVELS = (6, 8, 10, 12)  # steps of a walk; a part takes the most that stay inside it, and no part is shorter than the least
@@ -304,12 +305,12 @@ def marked(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> DataFr
 
     `edits` is the least number seen. Null and empty texts leak nothing; items without id or text, or with fewer than
     MIN_ITEM bytes, are left out; repeated items count once. Items are taken in blocks of BLOCK_BYTES, one pass over the
-    texts for each, so what goes to the executors is bounded. Rows are neither dropped nor added; an own column of that
+    texts for each, with the result stored in between, so that a task holds the index of one block at a time. Rows are neither dropped nor added; an own column of that
     name is replaced.
     """
     out = docs.drop(name).withColumn(name, F.lit(None).cast(LEAKS))
-    for block in blocks(benchmark):
-        out = marked_by(out, block)
+    for n, block in enumerate(blocks(benchmark)):
+        out = marked_by(stored(out, "leaks") if n else out, block)
     return out
 
 

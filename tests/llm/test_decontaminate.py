@@ -136,3 +136,11 @@ def test_unedited_leaks_are_found_whatever_stands_around(spark, before, after):
     got = {tuple(r) for r in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
                                       spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {(i, i, 0) for i, _ in items} <= got
+
+
+def test_a_plan_holds_one_block(spark, monkeypatch):
+    items = [(i, f"item number {i} of a benchmark of several blocks") for i in range(4)]
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 50)
+    out = dc.marked(spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert all(r.doc_id in [x.item_id for x in r.leaks if x.edits == 0] for r in out.collect())
