@@ -130,3 +130,16 @@ def op5_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlight.llm import onebit
     index = stored(onebit.indexed(onebit.fit_to_search(table(spark, sf_dir, "embeddings"))), "index")
     return onebit.searched(index.where("vec_id % 20 = 0").select("vec_id", "v", "dim"), index)
+
+
+WORD_MERGES = "/opt/tokenizers/word_bpe_49k.json"
+
+
+@query
+def op13_bpe_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlight.llm import merges
+    from ledgerlight.llm.pieces import model_bytes
+    out = merges.encoded(table(spark, sf_dir, "documents"), model_bytes(spark, WORD_MERGES), decode=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
