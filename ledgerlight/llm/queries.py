@@ -143,3 +143,36 @@ def op13_bpe_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlight.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op12_phrase_collocations"] = r"""
+with pieces as (select coalesce(lang, 'und') as lang,
+                       unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+                from documents),
+cut as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from cut),
+f as (select lang, w[i] as phrase, 1 as k, count(*) as f from starts group by all
+      union all select lang, w[i] || ' ' || w[i + 1], 2, count(*) from starts where i + 1 <= len(w) group by all
+      union all select lang, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], 3, count(*) from starts where i + 2 <= len(w) group by all),
+n as (select lang, sum(f)::bigint as n from f where k = 1 group by lang),
+cand as (select lang, phrase, k, f as a, split_part(phrase, ' ', 1) as w1, split_part(phrase, ' ', 2) as w2, split_part(phrase, ' ', 3) as w3
+         from f where k > 1 and f >= 10),
+cuts as (select c.lang, c.phrase, c.k, c.a, 1 as cut, x.f as l, y.f as r
+         from cand c join f x on x.lang = c.lang and x.phrase = c.w1
+         join f y on y.lang = c.lang and y.phrase = case when c.k = 2 then c.w2 else c.w2 || ' ' || c.w3 end
+         union all
+         select c.lang, c.phrase, c.k, c.a, 2, x.f, y.f
+         from cand c join f x on x.lang = c.lang and x.phrase = c.w1 || ' ' || c.w2 join f y on y.lang = c.lang and y.phrase = c.w3 where c.k = 3),
+scored as (select *, ((1000000::hugeint * a * a) // (l::hugeint * r))::bigint as score from cuts),
+low as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inside as (select lang, w1 || ' ' || w2 as phrase, a from cand where k = 3 union all select lang, w2 || ' ' || w3, a from cand where k = 3),
+around as (select lang, phrase, max(a) as longer from inside group by all),
+kept as (select low.* from low left join around using (lang, phrase) where longer is null or 100 * longer < 50 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score from ranked join n using (lang) where rank <= 2000"""
