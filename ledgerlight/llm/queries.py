@@ -176,3 +176,9 @@ around as (select lang, phrase, max(a) as longer from inside group by all),
 kept as (select low.* from low left join around using (lang, phrase) where longer is null or 100 * longer < 50 * a),
 ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
 select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score from ranked join n using (lang) where rank <= 2000"""
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlight.llm.repair import damage_report
+    return damage_report(table(spark, sf_dir, "conversations"))

@@ -23,7 +23,8 @@ def test_against_sql(spark, name):
 @pytest.mark.parametrize("name, columns", [
     ("op2_quality_classifier", ["doc_id", "held_out", "score", "predicted"]), ("op4_ngram_jaccard_join", ["doc_id", "n_shingles", "component_id"]),
     ("op5_onebit_neighbours", ["query_id", "rank", "vec_id", "score"]), ("op8_token_counts", ["doc_id", "n_tokens"]),
-    ("op3_sentencepiece_wfst", ["doc_id", "n_tokens", "n_bytes", "ids", "decoded_sha256"])])
+    ("op3_sentencepiece_wfst", ["doc_id", "n_tokens", "n_bytes", "ids", "decoded_sha256"]),
+    ("op13_bpe_merge_rounds", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])])
 def test_columns_and_rows(spark, name, columns):
     out = entry.queries()[name](spark, FOLDER)
     docs = queries.table(spark, FOLDER, "documents").count()
@@ -47,3 +48,11 @@ def test_quality_on_held_out_rows(spark):
     got = {r.doc_id: r for r in entry.queries()["op2_quality_classifier"](spark, folder).collect()}
     held = [r for r in queries.table(spark, folder, "labels").collect() if got[r.doc_id].held_out]
     assert sum(got[r.doc_id].predicted == r.quality for r in held) >= 0.93 * len(held)
+
+
+def test_conversation_repair_of_the_table(spark):
+    """The whole table against the plain Python version of the operator's own tests."""
+    from test_repair import expected
+    rows = [tuple(r) for r in queries.table(spark, FOLDER, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    got = {r.conv_id: tuple(r)[1:] for r in entry.queries()["op11_conversation_repair"](spark, FOLDER).collect()}
+    assert got == expected(rows)
