@@ -29,7 +29,9 @@ BLANK = "▁"
 STOPS = ".,;:!?"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)   # piece types of the model file
-REMEMBERED = 500_000     # segments whose paths a worker keeps
+REMEMBERED = 250_000     # segments whose paths a worker keeps,
+REMEMBERED_CHARS = 4_000_000   # of so many characters together
+REMEMBERED_PAIRS = 250_000     # pairs of pieces whose weight it keeps
 BATCH_TOKENS = 1 << 18
 
 
@@ -59,8 +61,8 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
-class Model:
-    """Transducers of a model file's bytes."""
+class Pieces:
+    """The pieces and rules of a model file's bytes: enough to read ids back."""
 
     def __init__(self, data: bytes):
         self.pieces, self.scores, self.types = [], [], []
@@ -80,6 +82,26 @@ class Model:
                     raise ValueError("models with a character map in the normaliser are not supported")
         if self.kind not in (UNIGRAM, BPE) or not escape:
             raise ValueError("only unigram and merge models that escape blanks are supported")
+        self.decoded = [self.written(i) for i in range(len(self.pieces))]
+
+    def written(self, i: int) -> bytes:
+        kind = self.types[i]
+        if kind == BYTE:
+            return bytes([int(self.pieces[i][1:-1], 16)])
+        if kind == CONTROL:
+            return b""
+        return " ⁇ ".encode() if kind == UNKNOWN else self.pieces[i].replace(BLANK, " ").encode()
+
+    def decode(self, ids) -> str:
+        text = b"".join([self.decoded[i] for i in ids]).decode("utf-8", "replace")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+
+class Model(Pieces):
+    """Transducers of a model file's bytes."""
+
+    def __init__(self, data: bytes):
+        super().__init__(data)
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t in (NORMAL, USER)}
         self.bytes = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
         self.unknown = next((i for i, t in enumerate(self.types) if t == UNKNOWN), 0)
@@ -100,18 +122,18 @@ class Model:
         joined = "".join(re.escape(c) for c in sorted({p[0] for p in self.inside if p[1] in STOPS and p[0].isalnum()}))
         word = f"{BLANK}*[^\\W_{joined}]+(?=[{re.escape(STOPS)}])|"
         self.cut = re.compile(r"(?s).+" if inner else f"{word}[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{word}{BLANK}*[^{BLANK}]+|{BLANK}+")
-        self.decoded = [self.written(i) for i in range(len(self.pieces))]
         self.fits: dict[tuple[int, int], bool] = {}
         self.grown: dict[int, tuple[list[tuple[float, str, str]], bool]] = {}
         self.paths: dict[str, list[int]] = {}
+        self.held = 0
 
-    def written(self, i: int) -> bytes:
-        kind = self.types[i]
-        if kind == BYTE:
-            return bytes([int(self.pieces[i][1:-1], 16)])
-        if kind == CONTROL:
-            return b""
-        return " ⁇ ".encode() if kind == UNKNOWN else self.pieces[i].replace(BLANK, " ").encode()
+    def remember(self, segment: str, path: list[int]) -> None:
+        if len(segment) <= 64:
+            if len(self.paths) >= REMEMBERED or self.held >= REMEMBERED_CHARS:
+                self.paths.clear()
+                self.held = 0
+            self.paths[segment] = path
+            self.held += len(segment)
 
     def normalised(self, text: str) -> str:
         if self.squeeze:
@@ -124,11 +146,8 @@ class Model:
         for segment in self.cut.findall(self.normalised(text)):
             path = paths.get(segment)
             if path is None:
-                if len(paths) >= REMEMBERED:
-                    paths.clear()
                 path = self.path(segment)
-                if len(segment) <= 64:
-                    paths[segment] = path
+                self.remember(segment, path)
             out += path
         return out
 
@@ -144,8 +163,7 @@ class Model:
                         path = self.fallback(run)
                     else:
                         path = self.least(run) if self.kind == UNIGRAM else self.only(run)
-                    if len(run) <= 64:
-                        self.paths[run] = path
+                    self.remember(run, path)
                 out += path
                 at = end
         return out
@@ -192,6 +210,8 @@ class Model:
                     if i is not None:
                         fit = fits.get((last, i))
                         if fit is None:
+                            if len(fits) >= REMEMBERED_PAIRS:
+                                fits.clear()
                             fit = fits[last, i] = self.stays(last, i)
                         if fit:
                             path.append(i)
@@ -272,22 +292,18 @@ class Model:
                 steps.append((-self.scores[self.ids[both]], symbols[0], symbols[last]))
         return [i for s in symbols if s is not None for i in ([self.ids[s]] if s in self.ids else self.fallback(s))]
 
-    def decode(self, ids) -> str:
-        text = b"".join([self.decoded[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
-
 
 def model_bytes(spark: SparkSession, path: str) -> bytes:
     """A model file, read by Spark so that any store will do."""
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
 
 
-def compiled(data: bytes) -> Model:
-    """The worker's transducers for a model file; compiled once, with the paths found so far."""
-    known = worker_cache("pieces")
+def compiled(data: bytes, kind: type[Pieces] = Model) -> Pieces:
+    """The worker's tables for a model file; compiled once, a Model with the paths found so far."""
+    known = worker_cache(kind.__name__)
     if data not in known:
         known.clear()
-        known[data] = Model(data)
+        known[data] = kind(data)
     return known[data]
 
 
@@ -297,8 +313,11 @@ def id_lists(parts: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encoded(docs: DataFrame, model: bytes) -> DataFrame:
-    """(doc_id, ids) for each row of `docs` (doc_id, text; other columns are ignored); null and empty texts have no ids."""
+def encoded(docs: DataFrame, model: bytes, decode: bool = False) -> DataFrame:
+    """(doc_id, ids) for each row of `docs` (doc_id, text; other columns are ignored); null and empty texts have no ids.
+
+    With `decode` also the ids read back, in column decoded, by the same task.
+    """
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer = compiled(model)
         for batch in batches:
@@ -307,21 +326,24 @@ def encoded(docs: DataFrame, model: bytes) -> DataFrame:
                 parts.append(transducer.encode(text.as_py() or ""))
                 waiting += len(parts[-1])
                 if waiting >= BATCH_TOKENS or row == len(batch) - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(parts)), id_lists(parts)], ["doc_id", "ids"])
+                    out = [batch.column(0).slice(start, len(parts)), id_lists(parts)]
+                    if decode:
+                        out.append(pa.array(map(transducer.decode, parts), pa.string()))
+                    yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][:len(out)])
                     parts, start, waiting = [], row + 1, 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        of, "doc_id long, ids array<int>")
+        of, "doc_id long, ids array<int>" + ", decoded string" * decode)
 
 
 def decoded(rows: DataFrame, model: bytes) -> DataFrame:
     """`rows` (doc_id, ids) with the text that the ids stand for, in column decoded; null ids count as none."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = compiled(model)
+        pieces = compiled(model, Pieces)
         for batch in batches:
             column = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
             flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *column.value_lengths().to_pylist()])
-            texts = [transducer.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
+            texts = [pieces.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return rows.select("doc_id", "ids").mapInArrow(of, "doc_id long, ids array<int>, decoded string")
@@ -334,8 +356,8 @@ def tokenised(docs: DataFrame, model: bytes) -> DataFrame:
     empty result. `decoded` equals the text (null: empty) unless it holds U+2581, which like in the
     model's own library comes back as a blank.
     """
-    fallback = [i for i, t in enumerate(compiled(model).types) if t == BYTE]
+    fallback = [i for i, t in enumerate(compiled(model, Pieces).types) if t == BYTE]
     low, high = (min(fallback), max(fallback)) if fallback else (0, -1)
-    return decoded(encoded(docs, model), model).select(
+    return encoded(docs, model, decode=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.size(F.filter("ids", lambda i: i.between(low, high))).cast("long").alias("n_bytes"), "ids", "decoded")
