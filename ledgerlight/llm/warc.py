@@ -23,6 +23,7 @@ REVISIT_BYTES = 1000                 # smaller payloads are always written whole
 DATE = "2024-01-01T00:00:00Z"        # of the fresh headers; a parameter, so that equal input makes equal archives
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 64 << 20                # of payload in a file, about
+FIRST_PIECE, LARGEST_PIECE = 1 << 10, 1 << 20   # bytes fed to a decompressor at once
 #: an empty gzip member stands between records, as the text source wants something between rows
 BETWEEN = gzip.compress(b"", mtime=0).decode("latin-1")
 
@@ -73,11 +74,12 @@ def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A gzip member for each record; a revisit keeps the HTTP header and drops the payload."""
     for batch in batches:
         out, size = [], 0
-        for i in range(len(batch)):
-            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+        names = [c for c in batch.schema.names if c != "payload"]
+        for *values, payload in zip(*(batch.column(c).to_pylist() for c in names), batch.column("payload")):
+            row = dict(zip(names, values))
             http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['bytes']}\r\n\r\n".encode()
             kind = "response" if row["refers_to"] is None else "revisit"
-            block = http + (row["payload"] if kind == "response" else b"")
+            block = http + (payload.as_py() if kind == "response" else b"")
             out.append(gzip.compress(header(kind, row, len(block)) + block + b"\r\n\r\n", 6, mtime=0))
             size += len(out[-1])
             if size > 8 << 20:
@@ -101,14 +103,22 @@ def write_archives(records: DataFrame, folder: str, date: str = DATE, file_bytes
 
 
 def inflated(content: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, one by one; empty ones are skipped."""
+    """The gzip members of a file, one by one; empty ones are skipped.
+
+    A member is fed in pieces that grow with it, so what a decompressor leaves unused is less than about a member's length.
+    """
     view, at = memoryview(content), 0
     while at < len(view):
-        z = zlib.decompressobj(31)
-        member = z.decompress(view[at:])
-        if not z.eof:
-            raise ValueError("an archive ends inside a gzip member")
-        at = len(view) - len(z.unused_data)
+        z, out, size = zlib.decompressobj(31), [], FIRST_PIECE
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("an archive ends inside a gzip member")
+            piece = view[at:at + size]
+            out.append(z.decompress(piece))
+            at += len(piece)
+            size = min(2 * size, LARGEST_PIECE)
+        at -= len(z.unused_data)
+        member = b"".join(out)
         if member:
             yield member
 

@@ -39,3 +39,35 @@ def test_empty_table_and_all_null_ids(spark, tmp_path):
     text = "n" * 1500
     got = run(spark, tmp_path / "more", [(None, "u", text, None, None), (None, "u", text, None, None)])
     assert [r[3] for r in got] == ["response", "response"]
+
+
+def test_many_members_in_one_file():
+    """Time in proportion to the file: 20,000 members of about 1.5 KB, with the empty ones between."""
+    import os
+    import time
+    bodies = [os.urandom(1500) for _ in range(50)]
+    short = b"".join(gzip.compress(b, mtime=0) + warc.BETWEEN.encode("latin-1") for b in bodies * 40)
+    start = time.process_time()
+    assert sum(1 for _ in warc.inflated(short)) == 2_000
+    few = time.process_time() - start
+    start = time.process_time()
+    assert [m for i, m in enumerate(warc.inflated(short * 10)) if i < 50] == bodies
+    assert time.process_time() - start < 25 * few + 1
+
+
+def test_long_members_and_broken_files():
+    import pytest
+    text = b"long " * 2_000_000
+    assert list(warc.inflated(gzip.compress(text) + gzip.compress(b"") + gzip.compress(b"x"))) == [text, b"x"]
+    with pytest.raises(ValueError):
+        list(warc.inflated(gzip.compress(text)[:-9]))
+
+
+def test_long_payload_and_one_id_with_two_payloads(spark, tmp_path):
+    """Equal payloads meet by content, whatever their ids; of one id's two payloads each stands for itself."""
+    long, other = "long ä" * 500_000, "o" * 1200
+    rows = [(1, "u", long, None, None), (2, "u", long, None, None), (2, "u", other, None, None), (3, "u", other, None, None)]
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = [(1, len(long.encode()), sha(long), "revisit", 2, True), (2, len(long.encode()), sha(long), "response", None, True),
+            (2, 1200, sha(other), "revisit", 3, True), (3, 1200, sha(other), "response", None, True)]
+    assert run(spark, tmp_path, rows) == sorted(want, key=repr)
