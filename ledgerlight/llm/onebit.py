@@ -30,18 +30,25 @@ def rotation(dimension: int) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:dimension]
 
 
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest component's size of each vector, and the vectors divided by it, whose squares neither vanish nor overflow."""
+    size = np.abs(vectors).max(axis=1)
+    return size, vectors / size[:, None]
+
+
 def coded(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs (rows of 64-bit words), norms, and the inner product of each unit vector with its code."""
-    turned = vectors @ rotation(vectors.shape[1])
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    signs = turned > 0
-    own = np.abs(turned).sum(axis=1) / norms / np.sqrt(turned.shape[1])
-    return np.packbits(signs, axis=1, bitorder="little").view(np.uint64), norms, own
+    size, units = scaled(vectors)
+    turned = units @ rotation(vectors.shape[1])
+    length = np.sqrt((units * units).sum(axis=1))
+    own = np.abs(turned).sum(axis=1) / length / np.sqrt(turned.shape[1])
+    with np.errstate(over="ignore"):
+        return np.packbits(turned > 0, axis=1, bitorder="little").view(np.uint64), size * length, own
 
 
 def planes(queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bit planes of the rotated unit queries (query, plane, word), their lowest value, step and sum."""
-    turned = queries @ rotation(queries.shape[1])
+    turned = scaled(queries)[1] @ rotation(queries.shape[1])
     turned /= np.sqrt((turned * turned).sum(axis=1, keepdims=True))
     low = turned.min(axis=1, keepdims=True)
     step = (turned.max(axis=1, keepdims=True) - low) / (2 ** QUERY_BITS - 1)
@@ -67,16 +74,24 @@ def exact(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, v: np.ndarray
     out = np.empty(len(q))
     for lo in range(0, len(q), 1 << 14):
         out[lo:lo + (1 << 14)] = np.einsum("ij,ij->i", queries[q[lo:lo + (1 << 14)]], vectors[v[lo:lo + (1 << 14)]])
-    return out
+    return np.where(np.isnan(out), -np.inf, out)
 
 
 def nearest(query_ids, queries, ids, vectors, codes, norms, own, k: int = NEAREST):
-    """(query_id, vec_id, score) arrays: the k best of these vectors for each query, the query's own id left out."""
+    """(query_id, vec_id, score) arrays: the k best of these vectors for each query, the query's own id left out.
+
+    A sum that is no number, as products beyond the range of doubles can give, counts as minus infinity.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        return _nearest(query_ids, queries, ids, vectors, codes, norms, own, k)
+
+
+def _nearest(query_ids, queries, ids, vectors, codes, norms, own, k):
     spread = BOUND * np.sqrt(np.maximum(0, 1 - own * own) / (own * own) / max(1, codes.shape[1] * 64 - 1))
     best: list[tuple[np.ndarray, np.ndarray]] = []
     for q0 in range(0, len(queries), QUERIES):
         some, names = queries[q0:q0 + QUERIES], query_ids[q0:q0 + QUERIES]
-        cut, length = planes(some), np.sqrt((some * some).sum(axis=1))
+        cut, length = planes(some), coded(some)[1]
         worst = np.full(len(some), -np.inf)
         top = [(np.zeros(0, np.int64), np.zeros(0)) for _ in names]
         for v0 in range(0, len(vectors), VECTORS):
@@ -86,14 +101,13 @@ def nearest(query_ids, queries, ids, vectors, codes, norms, own, k: int = NEARES
             other = ids[part] != names[:, None]
             guess[~other] = -np.inf
             high = guess + spread[part] * scale
-            sure = np.zeros(guess.shape, bool)
             if v0 == 0 and guess.shape[1] > k:      # the k best guesses set the first bar
                 first = np.argpartition(-guess, k, axis=1)[:, :k]
                 at = np.repeat(np.arange(len(some)), k), first.ravel()
                 scores = exact(some, vectors[part], *at).reshape(len(some), k)
                 valid = np.take_along_axis(other, first, axis=1)
                 worst = np.where(valid, scores, -np.inf).min(axis=1)
-            sure = (high >= worst[:, None]) & other
+            sure = ~(high < worst[:, None]) & other     # a bound beyond the numbers' range says nothing
             q, v = np.nonzero(sure)
             scores = exact(some, vectors[part], q, v)
             ends = np.searchsorted(q, np.arange(len(some) + 1))
@@ -138,7 +152,9 @@ def indexed(vectors: DataFrame) -> DataFrame:
 def searched(queries: DataFrame, index: DataFrame, k: int = NEAREST) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of `queries` (vec_id, v, dim) its k best in `index` of the same dimension.
 
-    Nearest first, ties to the smaller vec_id, ranks from 1. Each cell holds a share of the queries and a share of the
+    Nearest first, ties to the smaller vec_id, ranks from 1. Ids of `queries` should differ, as those of fit_to_search() do:
+    of rows with one id the k best of all together come back, a vector once for each row that has it among its best.
+    Every query meets every code once, so work grows with queries times vectors. Each cell holds a share of the queries and a share of the
     vectors; shares go by a hash of the id, so many copies of one vector are spread like others.
     """
     numbers = index.agg(F.count("*").alias("n"), F.max("dim").alias("d")).first()

@@ -16,8 +16,8 @@ def brute(rows, k=onebit.NEAREST):
     return out
 
 
-def search(spark, rows):
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS v", "2 AS rank")
+def search(spark, rows, kind="float"):
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").selectExpr("*", "1 AS v", "2 AS rank", "'x' AS dim", "'y' AS code", "0 AS norm")
     index = onebit.indexed(onebit.fit_to_search(table)).cache()
     found = onebit.searched(index.where("vec_id % 20 = 0").select("vec_id", "v", "dim"), index).collect()
     out = {}
@@ -64,3 +64,17 @@ def test_estimates_are_close_and_bounded():
     spread = onebit.BOUND * np.sqrt((1 - own * own) / (own * own) / 63)
     error = np.abs(onebit.estimates(codes, own, onebit.planes(q)) - true)
     assert (error <= spread).mean() > 0.98 and abs((onebit.estimates(codes, own, onebit.planes(q)) - true).mean()) < 0.01
+
+
+def test_very_small_and_very_large_numbers(spark):
+    """Squares and norms beyond the range of doubles lose no neighbour."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 16))
+    size = 10.0 ** rng.choice([-200.0, -170.0, 0.0, 120.0], 400)
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, size))]
+    rows += [(400, [1e170] * 16), (401, [1e-200] + [0.0] * 15), (420, [1e-160] * 16), (440, [5e-324] * 16), (441, [1e200] * 16)]
+    got, want = search(spark, rows, "double"), brute(rows)
+    assert set(got) == set(want) and all(len(got[q]) == 20 for q in want)
+    for q in want:
+        mine, best = [s for _, s in got[q]], [s for _, s in want[q]]
+        assert all(a == b or abs(a - b) <= 1e-9 * abs(b) for a, b in zip(mine, best))
