@@ -5,17 +5,17 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from helpers import plan
+from ledgerlight import catalog
 from ledgerlight.catalog import Domain
 from ledgerlight.plans import views
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith(("I1_", "I4_", "I5_", "I6_"))))
+@pytest.mark.parametrize("name", sorted(n for n in catalog.queries() if not n.startswith(("I1_", "I4_", "I5_", "I6_"))))
 def test_no_python_and_no_products(spark, name):
-    text = plan(entry.queries()[name](spark, FOLDER))
+    text = plan(catalog.queries()[name](spark, FOLDER))
     assert "Python" not in text and "ArrowEval" not in text
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
