@@ -14,7 +14,7 @@ import time
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from ledgerlight.operators import merge
+from ledgerlight.operators import changes as ch, merge
 from ledgerlight.schemas import SCHEMAS
 
 _VERSION = re.compile(r"v=(\d+)$")
@@ -104,6 +104,21 @@ class VersionedTable:
             raise ValueError("empty snapshot: pass allow_empty=True to clear the table")
         return number
 
+    def changes(self, old: int, new: int) -> DataFrame:
+        """The change set between two stored versions (see operators.changes); version 0 is the empty table."""
+        after = self.read(new)
+        before = self.read(old) if old else self.spark.createDataFrame([], after.schema)
+        return ch.change_set(before.select(*after.columns), after, self.keys)
+
+    def sync_changes(self, snapshot: DataFrame, order: list, allow_empty: bool = False) -> DataFrame:
+        """sync_snapshot(), and what it changed against the version that was current before, deletes included.
+
+        A source that fails and gives nothing is refused there, and does not look like a deletion of every row.
+        """
+        have = self.versions()
+        number = self.sync_snapshot(snapshot, order, allow_empty)
+        return self.changes(have[-1] if have else 0, number)
+
 
 class PartitionedTable:
     """A large keyed table stored by an attribute that seldom changes for a key, such as the month of creation.
