@@ -26,6 +26,7 @@ CHUNK_BYTES = 1 << 23    # of text that is counted together
 FIRST_BAND = 512         # numbers in the first band
 TILE_PAIRS = 1 << 22     # pairs of words a tile gets on average, at most
 DENSE_CELLS = 1 << 22
+SHARES = 32              # of a language's phrases, ranked on their own before they are ranked together
 TILE_BYTES = 1 << 26     # of packed cells that one task sums
 #: Characters that end a piece become a line feed, a tab (between words, like a space) a space
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
@@ -41,6 +42,17 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
 
 
+def pack_rising(numbers: np.ndarray) -> bytes:
+    """Rising numbers as the first one and the steps between them."""
+    return int(numbers[0]).to_bytes(8, "little") + pack(np.diff(numbers)) if len(numbers) else b""
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int64)
+    return np.cumsum(np.append(int.from_bytes(data[:8], "little"), unpack(data[8:])))
+
+
 class Numbering(dict):
     """Numbers words in the order in which they are met."""
 
@@ -165,7 +177,7 @@ def counted(texts: DataFrame, size: int, tiles: Tiles) -> DataFrame:
                 if spans:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(tile[starts]), pa.array(np.zeros(len(spans), np.int64)), pa.array([chunk.as_py()] * len(spans), pa.int64()),
-                         pa.array([pack(cell[a:b]) for a, b in spans], pa.binary()), pa.array([pack(count[a:b]) for a, b in spans], pa.binary())],
+                         pa.array([pack_rising(cell[a:b]) for a, b in spans], pa.binary()), pa.array([pack(count[a:b]) for a, b in spans], pa.binary())],
                         ["tile", "part", "chunk", "cells", "counts"])
 
     return texts.select("chunk", "words", "phrases" if size > 1 else F.lit(None).cast("binary")).mapInArrow(
@@ -183,11 +195,11 @@ def divided(rows: DataFrame, tiles: Tiles) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for tile, _, chunk, cells, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                cell, count = unpack(cells), unpack(counts)
+                cell, count = unpack_rising(cells), unpack(counts)
                 part = cell // -(-tiles.cells(tile) // parts[tile]) if tile in parts else np.zeros(len(cell), np.int64)
                 starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 for a, b in zip(starts, np.append(starts[1:], len(part))):
-                    out.append((tile, int(part[a]), chunk, pack(cell[a:b]), pack(count[a:b])))
+                    out.append((tile, int(part[a]), chunk, pack_rising(cell[a:b]), pack(count[a:b])))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), batch.schema.types)], names=batch.schema.names)
 
     return rows.mapInArrow(of, rows.schema)
@@ -197,7 +209,7 @@ def summed(rows: DataFrame, tiles: Tiles, least: int) -> DataFrame:
     """(tile, part, cell, left, right, f) of all cells of f >= `least`: a bincount where a tile is dense, sorted cells elsewhere."""
     def of(table: pa.Table) -> pa.Table:
         tile, part = table["tile"][0].as_py(), table["part"][0].as_py()
-        cell = np.concatenate([unpack(c.as_py()) for c in table["cells"]])
+        cell = np.concatenate([unpack_rising(c.as_py()) for c in table["cells"]])
         count = np.concatenate([unpack(c.as_py()) for c in table["counts"]])
         if tiles.cells(tile) <= DENSE_CELLS and tiles.cells(tile) <= 16 * len(cell):
             total = np.bincount(cell, count).astype(np.int64)    # sums stay far below 2^53
@@ -223,18 +235,18 @@ def told(rows: DataFrame, frequent: DataFrame, tiles: Tiles, rights: int) -> Dat
         cell, ids = cell[order], ids[order]
         chunks, keys, found = [], [], []
         for chunk, cells in zip(rows["chunk"].to_pylist() if len(cell) else [], rows["cells"]):
-            mine = unpack(cells.as_py())
+            mine = unpack_rising(cells.as_py())
             at = np.minimum(np.searchsorted(cell, mine), len(cell) - 1)
             met = cell[at] == mine
             if met.any():
                 left, right = tiles.numbers(rows["tile"][0].as_py(), mine[met])
                 chunks.append(chunk)
-                keys.append(pack(left * rights + right))
+                keys.append(pack_rising(left * rights + right))
                 found.append(pack(ids[at[met]]))
         return pa.table([pa.array(chunks, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["chunk", "keys", "ids"])
 
     by = ["tile", "part"]
-    return rows.groupBy(*by).cogroup(frequent.select(*by, "cell", "id").groupBy(*by)).applyInArrow(of, "chunk long, keys binary, ids binary")
+    return rows.drop("counts").groupBy(*by).cogroup(frequent.select(*by, "cell", "id").groupBy(*by)).applyInArrow(of, "chunk long, keys binary, ids binary")
 
 
 def extended(texts: DataFrame, size: int, known: DataFrame, rights: int) -> DataFrame:
@@ -245,7 +257,7 @@ def extended(texts: DataFrame, size: int, known: DataFrame, rights: int) -> Data
             for words, phrases, keys, ids in zip(*(batch.column(c) for c in range(1, 5))):
                 word = unpack(words.as_py()) - 1
                 at, left, right = joined(word, unpack(phrases.as_py()) - 1 if size > 1 else word, size)
-                key, own = (np.concatenate([np.zeros(0, np.int64), *map(unpack, x.as_py() or [])]) for x in (keys, ids))
+                key, own = (np.concatenate([np.zeros(0, np.int64), *map(read, x.as_py() or [])]) for x, read in ((keys, unpack_rising), (ids, unpack)))
                 order = np.argsort(key)
                 key, own = key[order], own[order]
                 longer = np.full(len(word), -1)
@@ -339,6 +351,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, within: int
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the best of each share first, as one language may have most phrases
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+    some = every.withColumn("rank", F.row_number().over(Window.partitionBy("lang", share).orderBy(*best))).where(F.col("rank") <= top)
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
     return best.join(F.broadcast(totals), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
