@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.catalog import Domain, query
 from ledgerlight.catalog_streams import _folder
-from ledgerlight.operators import changes as ch
+from ledgerlight.functions import money as m
+from ledgerlight.operators import changes as ch, distinct
+from ledgerlight.plans import views
 from ledgerlight.plans.incremental import KeptViews
 from ledgerlight.schemas import _schema
 from ledgerlight.sources import tables
@@ -96,3 +98,29 @@ def J20_changed_balances(d: Domain):
     side = lambda s: d.platform_users.where(F.col("source") == s).groupBy("login").agg(F.max("balance").alias("balance"), F.max("credit").alias("credit"))
     changes = ch.change_set(side("S0"), side("S1"), ["login"])
     return changes.select("login", ch.operation().alias("operation"), F.col("before.balance").alias("old_balance"), F.col("after.balance").alias("new_balance"))
+
+
+def _client_sets(d: Domain) -> DataFrame:
+    """Stored sets of first-time clients by agent and day."""
+    real = d.accounts.where(m.real_account()).select("account_id")
+    firsts = views.money_by_account_day(d.money).where("ftd_count > 0").join(real, "account_id", "left_semi")
+    path = f"{_folder(d)}/client_sets"
+    distinct.id_sets(firsts.withColumnRenamed("owner", "agent_id"), ["agent_id", "tx_date"], "account_id").write.parquet(path)
+    return d.spark.read.parquet(path)
+
+
+@query
+def A2_A3_distinct_by_range(d: Domain):
+    """Distinct first-time clients of each agent in each month, over each agent's whole time, of all agents in each month
+    and of all together, from one stored table of sets."""
+    sets = _client_sets(d)
+    month = sets.withColumn("month", F.trunc("tx_date", "month"))
+    none = {"agent_id": F.lit(None).cast("long"), "month": F.lit(None).cast("date")}
+    parts = []
+    for level, keys in (("agent month", ["agent_id", "month"]), ("agent", ["agent_id"]), ("month", ["month"]), ("all", [])):
+        counts = distinct.counted(month, keys)
+        parts.append(counts.select(F.lit(level).alias("level"), *[F.col(k) if k in keys else none[k].alias(k) for k in none], "clients"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.base import out
+from oracle.base import VALID, out
 
 SQL: dict[str, str] = {}
 #: query of a kept view -> query whose SQL gives the same rows
@@ -31,3 +31,10 @@ SQL["J20_changed_balances"] = out(f"""
     FROM {_SIDE.format('S0')} a FULL JOIN {_SIDE.format('S1')} b ON b.login = a.login
     WHERE a.login IS NULL OR b.login IS NULL OR a.balance IS DISTINCT FROM b.balance OR a.credit IS DISTINCT FROM b.credit""",
     "", "old_balance new_balance")
+_FIRSTS = f"""(SELECT t.owner AS agent_id, CAST(DATE_TRUNC('month', t.confirmed) AS DATE) AS month, t.account_id
+    FROM money t JOIN accounts a ON a.account_id = t.account_id WHERE {VALID} AND t.type = 'Deposit' AND t.ftd = 1 AND a.is_test = 0)"""
+SQL["A2_A3_distinct_by_range"] = out(f"""
+    SELECT 'agent month' AS level, agent_id, month, COUNT(DISTINCT account_id) AS clients FROM {_FIRSTS} x GROUP BY 2, 3
+    UNION ALL SELECT 'agent', agent_id, NULL, COUNT(DISTINCT account_id) FROM {_FIRSTS} x GROUP BY 2
+    UNION ALL SELECT 'month', NULL, month, COUNT(DISTINCT account_id) FROM {_FIRSTS} x GROUP BY 3
+    UNION ALL SELECT 'all', NULL, NULL, COUNT(DISTINCT account_id) FROM {_FIRSTS} x""", "month")
