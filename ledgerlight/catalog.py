@@ -80,7 +80,7 @@ def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _load() -> None:
-    from ledgerlight import catalog_incremental, catalog_operators, catalog_queries, catalog_streams  # noqa: F401  register on import
+    from ledgerlight import catalog_incremental, catalog_operators, catalog_queries, catalog_ranges, catalog_streams  # noqa: F401  register on import
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

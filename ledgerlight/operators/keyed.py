@@ -4,6 +4,8 @@ A key may own a large share of the rows, so nothing here orders all rows of a ke
 first rows rely on Spark's partial window limit, which leaves one row per key and task before the shuffle.
 Running totals work on (key, hour) slices: slice sums are pre-aggregated before the shuffle, their prefix
 runs over slices (bounded by the calendar, not by the rows) and only rows of one slice are ordered together.
+With `piece_rows` a slice is further cut at sampled rows into pieces of about that size (see _units), so that an
+hour of one key may hold any share of the table.
 """
 
 from __future__ import annotations
@@ -62,48 +64,95 @@ def order_key(time: str, tie: str) -> Column:
             + (F.col(tie).cast("decimal(20,0)") + half)).cast("decimal(38,0)")
 
 
-def _prefix(slices: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Sum of `value` over the earlier slices of the key."""
-    w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+CHUNK = 32      # bounds compared at a time when a row looks for its piece
+SALTS = 32      # shares in which rows of one slice look for their piece
+
+
+def _piece_number(bounds: Column, at: Column) -> Column:
+    """How many of the sorted `bounds` are at or before `at`: first among every CHUNK-th of them, then inside one chunk."""
+    chunks = F.transform(F.sequence(F.lit(1), F.size(bounds), F.lit(CHUNK)), lambda i: F.slice(bounds, i, CHUNK))
+    full = F.size(F.filter(chunks, lambda c: c[0] <= at))
+    last = F.element_at(chunks, full)
+    inside = F.size(F.filter(last, lambda b: b <= at))
+    return F.when(full > 0, (full - 1) * CHUNK + inside).otherwise(F.lit(0)).cast("int")
+
+
+def _units(df: DataFrame, keys: list[str], time: str, tie: str, piece_rows: int | None) -> tuple[DataFrame, list[str]]:
+    """`df` with the columns, returned too, that name the unit of ordering a row belongs to: its hour, and a piece of it.
+
+    A row bounds a piece if a hash of (key, time, tie) says so, on average one row in `piece_rows`. Bounds are thus a
+    function of the rows: a stage that is run again after a lost executor cuts alike. They are one for each `piece_rows`
+    rows of the table; rows meet them in SALTS shares of their hour, so a hot hour is spread there too, and are dealt by
+    piece from then on. Rows that share time and tie are never parted.
+    """
+    rows = df.withColumn("_slice", F.coalesce(hour_slice(time), F.lit(1 << 40)))
+    if not piece_rows:
+        return rows, ["_slice"]
+    at = F.struct(F.col(time).alias("t"), F.col(tie).alias("i"))
+    cut = F.pmod(F.xxhash64(*keys, time, tie), F.lit(piece_rows)) == 0
+    bounds = (rows.where(cut).groupBy(*keys, "_slice").agg(F.sort_array(F.collect_set(at)).alias("_bounds"))
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(tie, time), F.lit(SALTS)).cast("int"))
+    piece = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(_piece_number(F.col("_bounds"), at))
+    return (salted.join(bounds, [*keys, "_slice", "_salt"], "left").withColumn("_piece", piece).drop("_salt", "_bounds"),
+            ["_slice", "_piece"])
+
+
+def _prefix(slices: DataFrame, keys: list[str], unit: list[str], value: str) -> DataFrame:
+    """Sum of `value` over the earlier slices (or pieces of them) of the key."""
+    w = Window.partitionBy(*keys).orderBy(*unit).rowsBetween(Window.unboundedPreceding, -1)
     return slices.withColumn("_before", F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
+def _inside(keys: list[str], unit: list[str], time: str, tie: str) -> Window:
+    return Window.partitionBy(*keys, *unit).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def running_total(df: DataFrame, keys: list[str], time: str, tie: str, value: str,
-                  out: str = "running") -> DataFrame:
+                  out: str = "running", piece_rows: int | None = None) -> DataFrame:
     """Inclusive running sum per key in (time, tie) order. Rows with a missing key or time are not part of it."""
-    rows = df.dropna(subset=[*keys, time]).withColumn("_slice", hour_slice(time))
-    slices = rows.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
-    before = _prefix(slices, keys, "_sum").drop("_sum")
-    inside = (Window.partitionBy(*keys, "_slice").orderBy(time, tie)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (rows.join(before, [*keys, "_slice"])
-            .withColumn(out, F.col("_before") + F.sum(value).over(inside)).drop("_slice", "_before"))
+    rows, unit = _units(df.dropna(subset=[*keys, time]), keys, time, tie, piece_rows)
+    slices = rows.groupBy(*keys, *unit).agg(F.sum(value).alias("_sum"))
+    before = _prefix(slices, keys, unit, "_sum").drop("_sum")
+    return (rows.join(before, [*keys, *unit])
+            .withColumn(out, F.col("_before") + F.sum(value).over(_inside(keys, unit, time, tie))).drop(*unit, "_before"))
+
+
+def row_numbers(df: DataFrame, time: str, tie: str, out: str = "row_number", piece_rows: int = 1_000_000) -> DataFrame:
+    """All rows numbered from 1 in (time, tie) order, rows without time last, without bringing them into one task.
+
+    Only the number of rows in each piece of each hour is added up in one place. Rows that agree in both columns are
+    numbered in any order among themselves.
+    """
+    rows, unit = _units(df, [], time, tie, piece_rows)
+    counts = rows.groupBy(*unit).agg(F.count(F.lit(1)).alias("_rows"))
+    before = _prefix(counts, [], unit, "_rows").drop("_rows")
+    place = F.row_number().over(Window.partitionBy(*unit).orderBy(time, tie))
+    return rows.join(before, unit).withColumn(out, F.col("_before") + place).drop(*unit, "_before")
 
 
 def first_crossing(df: DataFrame, keys: list[str], time: str, tie: str, value: str, threshold,
-                   out: str = "crossed_at") -> DataFrame:
+                   out: str = "crossed_at", piece_rows: int | None = None) -> DataFrame:
     """First time per key at which the running sum of `value` reaches `threshold`.
 
     Slice totals bound the running sum inside a slice, so only slices that can hold the first crossing are
     looked into row by row: a slice counts when its start value plus its positive amounts reaches the
-    threshold, and no slice after the first one that surely ends above it does.
+    threshold, and no slice after the first one that surely ends above it does. The same holds for pieces of slices.
     """
-    rows = df.dropna(subset=[*keys, time]).withColumn("_slice", hour_slice(time))
-    slices = rows.groupBy(*keys, "_slice").agg(
+    rows, unit = _units(df.dropna(subset=[*keys, time]), keys, time, tie, piece_rows)
+    slices = rows.groupBy(*keys, *unit).agg(
         F.sum(value).alias("_sum"),
         F.sum(F.when(F.col(value) > 0, F.col(value)).otherwise(F.lit(0))).alias("_gain"))
     limit = F.lit(threshold)
     whole = Window.partitionBy(*keys)
-    open_slices = (_prefix(slices, keys, "_sum")
-                   .withColumn("_sure", F.min(F.when(F.col("_before") + F.col("_sum") >= limit,
-                                                     F.col("_slice"))).over(whole))
+    place = F.struct(*unit) if len(unit) > 1 else F.col(unit[0])
+    open_slices = (_prefix(slices, keys, unit, "_sum")
+                   .withColumn("_sure", F.min(F.when(F.col("_before") + F.col("_sum") >= limit, place)).over(whole))
                    .where((F.col("_before") + F.col("_gain") >= limit)
-                          & (F.col("_sure").isNull() | (F.col("_slice") <= F.col("_sure"))))
-                   .select(*keys, "_slice", "_before"))
-    inside = (Window.partitionBy(*keys, "_slice").orderBy(time, tie)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    reached = F.col("_before") + F.sum(value).over(inside) >= limit
-    return (rows.select(*keys, "_slice", time, tie, value).join(open_slices, [*keys, "_slice"])
+                          & (F.col("_sure").isNull() | (place <= F.col("_sure"))))
+                   .select(*keys, *unit, "_before"))
+    reached = F.col("_before") + F.sum(value).over(_inside(keys, unit, time, tie)) >= limit
+    return (rows.select(*keys, *unit, time, tie, value).join(open_slices, [*keys, *unit])
             .withColumn("_hit", reached).where("_hit")
             .groupBy(*keys).agg(F.min(time).alias(out)))
 

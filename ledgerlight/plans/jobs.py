@@ -14,13 +14,14 @@ from ledgerlight.plans.views import FTD100_THRESHOLD
 CORRUPT = 1e8                 # fixed value: floating results this large are data errors
 
 
-def threshold_clients(money: DataFrame, accounts: DataFrame, threshold=FTD100_THRESHOLD) -> DataFrame:
+def threshold_clients(money: DataFrame, accounts: DataFrame, threshold=FTD100_THRESHOLD, piece_rows: int | None = None) -> DataFrame:
     """Clients whose net running total stands at the threshold.
 
     Sales accounts are valued at their latest money row. Others are valued at the newest row up to the
     cutoff: the later of qualification and the first time the total reached the threshold. A running total at
     a given row is the sum up to it, so both values are plain sums with a max for the row; only the first
-    crossing, needed for qualified non-sales accounts, looks at the order of the rows.
+    crossing, needed for qualified non-sales accounts, looks at the order of the rows; `piece_rows` is for ledgers
+    in which an hour of one account may be too much for a task.
     """
     ledger = (money.where(m.valid_money())
               .select("account_id", "confirmed", "money_id", "owner", m.signed_usd().alias("amount")))
@@ -29,7 +30,7 @@ def threshold_clients(money: DataFrame, accounts: DataFrame, threshold=FTD100_TH
     key = keyed.order_key("confirmed", "money_id")
     latest = ledger.groupBy("account_id").agg(F.sum("amount").alias("net_now"), F.max("confirmed").alias("latest_at"),
                                               F.max_by("owner", key).alias("latest_owner"))
-    crossed = keyed.first_crossing(ledger, ["account_id"], "confirmed", "money_id", "amount", threshold)
+    crossed = keyed.first_crossing(ledger, ["account_id"], "confirmed", "money_id", "amount", threshold, piece_rows=piece_rows)
     needs = acc.where((F.col("account_status") != "Sales") & F.col("qualified").isNotNull())
     cutoffs = (needs.select("account_id", "qualified").join(crossed, "account_id", "left")
                .select("account_id", F.greatest("qualified", "crossed_at").alias("cutoff")))

@@ -144,11 +144,11 @@ def account_stats(accounts: DataFrame, as_of: str) -> DataFrame:
         F.count_if(today & live).alias("new_live_today"), F.count_if(month & live).alias("new_live_month"))
 
 
-def second_deposit_clients(money: DataFrame, accounts: DataFrame, threshold=STD_THRESHOLD) -> DataFrame:
+def second_deposit_clients(money: DataFrame, accounts: DataFrame, threshold=STD_THRESHOLD, piece_rows: int | None = None) -> DataFrame:
     """V6: accounts whose deposits reached the threshold, and their first deposit after that moment."""
     deposits = money.where(m.valid_money(m.MONEY_IN)).select("account_id", "confirmed", "money_id", "usd")
     acc = accounts.where(m.real_account()).select("account_id", "assigned_to")
-    crossed = keyed.first_crossing(deposits, ["account_id"], "confirmed", "money_id", "usd", threshold)
+    crossed = keyed.first_crossing(deposits, ["account_id"], "confirmed", "money_id", "usd", threshold, piece_rows=piece_rows)
     reached = crossed.join(acc, "account_id")
     later = keyed.first_after(deposits, reached.select("account_id", "crossed_at"), ["account_id"], "confirmed", "crossed_at",
                               "second_deposit_at")

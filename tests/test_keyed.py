@@ -47,6 +47,47 @@ def test_crossing_inside_an_hour_that_ends_below(spark):
     assert got == [(1, at + timedelta(minutes=5)), (3, at)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_pieces_of_an_hour_change_nothing(spark, seed, monkeypatch):
+    """Every chunk of bounds and every tie: sums, crossings and numbers are those of whole hours."""
+    monkeypatch.setattr(keyed, "CHUNK", 3)
+    df = spark.createDataFrame(ledger(seed), "a int, at timestamp_ntz, id int, v decimal(18,2)").repartition(5)
+    for piece_rows in (1, 2, 7, 10 ** 6):
+        for f in (lambda **k: keyed.running_total(df, ["a"], "at", "id", "v", **k), lambda **k: keyed.first_crossing(df, ["a"], "at", "id", "v", 150, **k)):
+            assert sorted(map(str, f(piece_rows=piece_rows).collect())) == sorted(map(str, f().collect()))
+
+
+def test_one_hour_of_one_key_is_spread(spark):
+    """All rows in one hour of one key: many pieces in many tasks, none of them near the whole, order as before."""
+    n = 40_000
+    df = spark.range(n).select(F.lit(1).alias("a"), F.timestamp_seconds(F.lit(1700000000 - 1700000000 % 3600) + F.pmod(F.xxhash64("id"), F.lit(3600))).cast("timestamp_ntz").alias("at"),
+                               F.col("id"), (F.col("id") % 11 - 4).cast("decimal(10,0)").alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = keyed.running_total(df, ["a"], "at", "id", "v", piece_rows=1000).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+        assert len(sizes) >= 8 and max(sizes) < n / 2 and sum(sizes) == n
+        found = {r.id: r.running for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    run = 0
+    for r in sorted(df.collect(), key=lambda r: (r["at"], r["id"])):
+        run += r["v"]
+        assert found[r["id"]] == run
+
+
+@pytest.mark.parametrize("piece_rows", [1, 5, 10 ** 6])
+def test_row_numbers(spark, piece_rows):
+    data = ledger(9) + [(7, None, 900 + i, Decimal(0)) for i in range(5)]
+    df = spark.createDataFrame(data, "a int, at timestamp_ntz, id int, v decimal(18,2)").repartition(5)
+    want = sorted(data, key=lambda r: (r[1] is None, r[1] or datetime(1, 1, 1), r[2]))
+    got = keyed.row_numbers(df, "at", "id", "n", piece_rows).orderBy("n").collect()
+    assert [r.id for r in got] == [r[2] for r in want] and [r.n for r in got] == list(range(1, len(data) + 1))
+    assert keyed.row_numbers(df.limit(0), "at", "id").count() == 0
+
+
 def test_rows_without_key_or_time_are_left_out(spark):
     df = spark.createDataFrame([(None, ts("2024-01-01"), 1, 5), (1, None, 2, 5), (1, ts("2024-01-01"), 3, 7)], "a int, at timestamp_ntz, id int, v int")
     assert rows(keyed.running_total(df, ["a"], "at", "id", "v"), "id", "running") == [(3, 7)]
