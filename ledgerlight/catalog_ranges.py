@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.catalog import Domain, query
+from ledgerlight.catalog_streams import _folder
 from ledgerlight.functions import money as m
-from ledgerlight.operators import keyed
-from ledgerlight.plans import jobs, views
+from ledgerlight.operators import intervals, keyed
+from ledgerlight.plans import jobs, quality, views
+from ledgerlight.schemas import _schema
+from ledgerlight.sources import feeds, rewrite, tables
 
 PIECE = 500     # rows; a cluster takes about a million, here hours shall be cut in small tables too
 
@@ -45,3 +48,116 @@ def V6_second_deposits_by_pieces(d: Domain):
 def W6_row_numbers(d: Domain):
     """All payments numbered by confirmation, those without one last."""
     return keyed.row_numbers(d.money.select("money_id", "confirmed"), "confirmed", "money_id", "place", PIECE).select("money_id", "place")
+
+
+def _active(d: Domain) -> DataFrame:
+    """Periods in which an agent's clients moved money, at most 20 days apart."""
+    days = (d.money.where(m.valid_money() & F.col("owner").isNotNull()).groupBy(F.col("owner").alias("agent_id"), F.to_date("confirmed").alias("day"))
+            .agg(F.sum(m.signed_usd()).alias("net")))
+    return intervals.periods(days.where("day IS NOT NULL"), ["agent_id"], "day", 20, [F.sum("net").cast("decimal(28,4)").alias("net_usd")])
+
+
+@query
+def J10_activity_in_departments(d: Domain):
+    """R2: each agent's periods of activity with the departments held meanwhile."""
+    return intervals.overlaps(d.dept_history, _active(d), ["agent_id"], ("valid_from", "valid_to"), ("first_day", "last_day"))
+
+
+@query
+def J10_net_by_department(d: Domain):
+    """Money by the department its owner belonged to on the day; a day is a range of its own."""
+    paid = (d.money.where(m.valid_money() & F.col("confirmed").isNotNull()).groupBy(F.col("owner").alias("agent_id"), F.to_date("confirmed").alias("day"))
+            .agg(F.sum(m.signed_usd()).alias("net")).withColumn("day_end", F.col("day")))
+    met = intervals.overlaps(d.dept_history, paid, ["agent_id"], ("valid_from", "valid_to"), ("day", "day_end"), 365)
+    return met.groupBy("report_dept").agg(F.count(F.lit(1)).alias("agent_days"), F.sum("net").cast("decimal(28,4)").alias("net_usd"))
+
+
+@query
+def M19_ranged_retyping(d: Domain):
+    """Every payment typed again by ranges of its id; the job stops after three ranges, and another one ends it."""
+    path = f"{_folder(d)}/retyped"
+    source = d.raw_money.withColumn("type", F.lit(None).cast("string"))
+    change = lambda rows: jobs.typed_money(rows, d.balance_ops).select("money_id", "type")
+    rewrite.RangeRewrite(d.spark, path, "money_id").run(source, change, 6, at_most=3)
+    again = rewrite.RangeRewrite(d.spark, path, "money_id")
+    again.run(source, change, 6)
+    return again.read()
+
+
+@query
+def D4_snapshots_by_ranges(d: Domain):
+    """Daily equity snapshots made anew by ranges of logins."""
+    done = rewrite.RangeRewrite(d.spark, f"{_folder(d)}/snapshots", "login")
+    rows = d.snapshots
+    done.run(rows, lambda part: part, 4, at_most=2)
+    done.run(rows, lambda part: part, 4)
+    return done.read().select(*rows.columns)
+
+
+# ---- further forms of pulls, history and exports -----------------------------------------------------------
+
+
+@query
+def S16_bonus_ledger_lookback(d: Domain):
+    return feeds.bonus_ledger(d.money, cutoff="1998-06-01")
+
+
+@query
+def S16_bonus_ledger_after_id(d: Domain):
+    return feeds.bonus_ledger(d.money, after_id=5000)
+
+
+@query
+def S20_trades_missing(d: Domain):
+    """Trades whose ticket is not stored; the older half of the deals stands for the stored copy."""
+    stored = d.deals.where("open_time < TIMESTAMP_NTZ '1996-01-01 00:00:00'")
+    return feeds.missing(feeds.trades(d.deals), stored, ["ticket", "source"]).select("ticket", "source", "login", "symbol", "notional")
+
+
+@query
+def S20_trades_full(d: Domain):
+    return feeds.trades(d.deals).select("ticket", "source", "login", "symbol", "notional")
+
+
+@query
+def S20_trades_open(d: Domain):
+    """Trades still open: their close time is the sentinel."""
+    return feeds.open_deals(feeds.trades(d.deals)).select("ticket", "source", "login", "symbol", "notional")
+
+
+@query
+def S22_deals_utc_full(d: Domain):
+    return feeds.deals_utc(d.deals).select("ticket", "source", "open_time", "close_time")
+
+
+@query
+def S22_deals_utc_missing(d: Domain):
+    stored = d.deals.where("sync_time < TIMESTAMP_NTZ '1996-01-01 00:00:00'")
+    return feeds.missing(feeds.deals_utc(d.deals), stored, ["ticket", "source"]).select("ticket", "source", "open_time", "close_time")
+
+
+@query
+def S26_ids_from_text(d: Domain):
+    """Logins exported as text; the list is read back and picks the daily rows."""
+    path = f"{_folder(d)}/logins"
+    tables.export_csv(d.bridge.where(m.not_deleted()).select(F.col("login").cast("string").alias("login")), path)
+    return feeds.by_ids(d.equity, feeds.read_ids(d.spark, path), "login").select("login", "source", F.to_date("at").alias("day"), "balance")
+
+
+@query
+def S26_sheet_totals(d: Domain):
+    """Net by agent exported with a header and read back as a sheet of external values."""
+    path = f"{_folder(d)}/net"
+    net = d.kpis.groupBy("agent_id").agg(F.sum("net_usd").cast("decimal(28,4)").alias("net_usd"))
+    tables.export_csv(net, path)
+    return feeds.read_sheet(d.spark, path, "agent_id long, net_usd decimal(28,4)")
+
+
+@query
+def Q15_score_trend(d: Domain):
+    """Scores of the payment checks kept by day over three runs, the second of a day replacing the first."""
+    history = d.spark.createDataFrame([], _schema("day:date total:long pass:long warn:long fail:long error:long score:dbl"))
+    paid, plain = d.money.where(m.valid_money()), d.money.where(m.valid_money() & m.not_bonus_comment())
+    for day, tolerance in (("1999-01-08", 0.0), ("1999-01-09", 0.0), ("1999-01-09", 1.0)):
+        history = quality.keep_history(history, quality.cross_source(paid, plain, "payments", "usd", tolerance), day)
+    return quality.trend(history)

@@ -283,6 +283,16 @@ def trades(rows: DataFrame, time: str | None = None, since: str | None = None, a
     return rows if after_ticket is None else after_key(rows, ["ticket"], [after_ticket])
 
 
+def missing(rows: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is not stored yet."""
+    return rows.join(stored.select(*keys).distinct(), keys, "left_anti")
+
+
+def open_deals(rows: DataFrame, sentinel: str = m.CLOSED_AFTER) -> DataFrame:
+    """Trades without a close time or with the sentinel for it."""
+    return rows.where(F.col("close_time").isNull() | (F.col("close_time") <= F.lit(sentinel).cast("timestamp_ntz")))
+
+
 def deals_utc(rows: DataFrame, since: str | None = None) -> DataFrame:
     """Deals with their platform-local times moved to UTC; the open-deal sentinel stays."""
     out = trades(rows, "sync_time", since)
