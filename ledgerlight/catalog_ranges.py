@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerlight.catalog import Domain, query
+from ledgerlight.catalog import FIRST, LAST, LIVE, Domain, query
 from ledgerlight.catalog_streams import _folder
 from ledgerlight.functions import money as m
 from ledgerlight.operators import intervals, keyed
-from ledgerlight.plans import jobs, quality, views
+from ledgerlight.plans import campaigns, jobs, quality, views
 from ledgerlight.schemas import _schema
 from ledgerlight.sources import feeds, rewrite, tables
 
@@ -94,6 +94,18 @@ def D4_snapshots_by_ranges(d: Domain):
     return done.read().select(*rows.columns)
 
 
+@query
+def R8_all_groupings(d: Domain):
+    """The campaign table by each one and two of its 13 dimensions, 92 groupings from one read of each table."""
+    folder = _folder(d)
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return d.spark.read.parquet(f"{folder}/{name}")
+
+    return campaigns.all_groupings(d.money, d.accounts, d.campaigns, d.agents, d.deals, d.positions, d.bridge, FIRST, LAST, LIVE, store, floor_day=FIRST)
+
+
 # ---- further forms of pulls, history and exports -----------------------------------------------------------
 
 

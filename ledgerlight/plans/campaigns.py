@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlight.functions import buckets as b, calendar as cal, money as m
 from ledgerlight.functions.numeric import round_even
-from ledgerlight.operators import filters
+from ledgerlight.operators import filters, lattice
 from ledgerlight.operators.grouping import ratio, stack_measures
 from ledgerlight.plans import scoreboards as sb, views
 
@@ -245,6 +245,33 @@ def campaign_table(money: DataFrame, accounts: DataFrame, campaigns: DataFrame,
     return rows.drop("_all")
 
 
+SUMS = {**{c: t for c, t in TABLE_SPEC.items() if not t.startswith("max ")},
+        "live_score": "double", "live_scored": "bigint", "ftd_score": "double", "ftd_scored": "bigint"}
+
+
+def client_states(table: DataFrame, names: list[str]) -> DataFrame:
+    """R8 by all its dimensions, one of them the account, as measures that add up: averages as a sum and a count.
+
+    Every dimension belongs to the account, so counts of traders and depositors are sums of a client's flags.
+    """
+    live, ftd = F.col("live_avg_score"), F.col("ftd_avg_score")
+    return table.select(*[F.col(f"g{i + 1}").alias(n) for i, n in enumerate(names)], *[c for c in SUMS if c in table.columns],
+                        (live * F.col("live_accounts")).alias("live_score"), F.when(live.isNotNull(), F.col("live_accounts")).alias("live_scored"),
+                        (ftd * F.col("ftd")).alias("ftd_score"), F.when(ftd.isNotNull(), F.col("ftd")).alias("ftd_scored"))
+
+
+def all_groupings(money: DataFrame, accounts: DataFrame, campaigns: DataFrame, agents: DataFrame, deals: DataFrame, positions: DataFrame,
+                  bridge: DataFrame, first: str, last: str, as_of: str, store: lattice.Store, *, floor_day: str) -> DataFrame:
+    """R8 by each one and two of its dimensions and in all, from one pass over the tables."""
+    names = list(dimensions(as_of))
+    table = campaign_table(money, accounts, campaigns, agents, deals, positions, bridge, first, last, as_of, tuple(names), floor_day=floor_day)
+    rows = lattice.groupings(client_states(table, names), names, SUMS, store)
+    return with_rates(rows.select(
+        "grouping", F.get("labels", F.lit(0)).alias("g1"), F.get("labels", F.lit(1)).alias("g2"), *[c for c in SUMS if c in TABLE_SPEC],
+        F.round(F.col("live_score") / F.nullif("live_scored", F.lit(0)), 1).alias("live_avg_score"),
+        F.round(F.col("ftd_score") / F.nullif("ftd_scored", F.lit(0)), 1).alias("ftd_avg_score")))
+
+
 def closed_by_day(deals: DataFrame) -> DataFrame:
     """(login, day) notional of closing deals by the day they closed."""
     return (deals.where((F.col("entry") == 1) & m.closed()).groupBy("login", F.to_date("close_time").alias("day"))

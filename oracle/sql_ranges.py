@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from oracle import sql_equity as eq
+from itertools import combinations
+
+from oracle import sql_equity as eq, sql_reports as rp
 from oracle.base import NET, NOBONUS, OK, VALID, out
-from oracle.sql_operators import TYPED, eet
+from oracle.sql_operators import GROUPS, TYPED, eet
 
 SQL: dict[str, str] = {}
 #: query that works in pieces -> query whose SQL gives the same rows
@@ -62,3 +64,22 @@ def _day_score(tolerance: float, day: str) -> str:
 
 SQL["Q15_score_trend"] = out(f"""
     SELECT *, ROUND(score - LAG(score) OVER (ORDER BY day), 2) AS change FROM ({_day_score(0.0, '1999-01-08')} UNION ALL {_day_score(1.0, '1999-01-09')}) h""", "day")
+
+_SUMMED = "leads live_accounts ftc ftd deposits withdrawals traders rdp_count rdp_net volume_usd".split()
+_SETS = [(), *((g,) for g in GROUPS), *combinations(GROUPS, 2)]
+_CASES = " ".join(f"WHEN GROUPING({', '.join(GROUPS)}) = {int(''.join('0' if g in s else '1' for g in GROUPS), 2)} THEN ({{}})".replace("{}", "{" + str(i) + "}") for i, s in enumerate(_SETS))
+
+
+def _by_set(pick) -> str:
+    return "CASE " + _CASES.format(*map(pick, _SETS)) + " END"
+
+
+SQL["R8_all_groupings"] = out(rp.rates(f"""
+    SELECT {_by_set(lambda s: "'" + ",".join(s) + "'")} AS "grouping", {_by_set(lambda s: s[0] if s else "NULL")} AS g1, {_by_set(lambda s: s[1] if len(s) > 1 else "NULL")} AS g2,
+           {', '.join(f'SUM({c}) AS {c}' for c in _SUMMED)},
+           ROUND(CAST(SUM(live_avg_score * live_accounts) AS DOUBLE) / NULLIF(SUM(CASE WHEN live_avg_score IS NOT NULL THEN live_accounts END), 0), 1) AS live_avg_score,
+           ROUND(CAST(SUM(ftd_avg_score * ftd) AS DOUBLE) / NULLIF(SUM(CASE WHEN ftd_avg_score IS NOT NULL THEN ftd END), 0), 1) AS ftd_avg_score
+    FROM (SELECT x.* EXCLUDE (g1), {', '.join(f"COALESCE({e}, '(Unassigned)') AS {g}" for g, e in GROUPS.items())}
+          FROM ({rp.table('CAST(a.account_id AS STRING)', None, None)}) x JOIN accounts a ON CAST(a.account_id AS STRING) = x.g1 {rp.CAMP}
+          LEFT JOIN agents cu ON cu.agent_id = a.assigned_to) y
+    GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(s) + ')' for s in _SETS)})"""), "", "deposits withdrawals rdp_net volume_usd net_deposits")
