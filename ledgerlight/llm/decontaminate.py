@@ -28,7 +28,7 @@ from ledgerlight.llm.storage import stored
 RATE = 0.1
 LEVELS = (6, 8, 10, 12)  # steps of a walk; a part takes the most that stay inside it, and no part is shorter than the least
 ALONE = 1.3              # length of a part without a partner, in other parts
-MIN_ITEM = 16            # bytes; shorter items say nothing about a text and are left out
+MIN_ITEM = 16            # bytes; shorter items allow no edit that leaves a part to embed, see Short
 BLOCK_BYTES = 8 << 20    # of items in one pass over the texts
 TEXT_BYTES = 1 << 17     # of text whose walks are computed at a time
 NODES = 4096             # groups whose bit tables are held at a time
@@ -124,6 +124,8 @@ class Items:
         self.bytes = np.frombuffer(b"".join(item for _, item in rows) + b"\0" * 64, np.uint8)
         base, parts, levels, shapes = 0, [], [], {}
         for i, (_, item) in enumerate(rows):
+            if not item:                # a place kept for a short item
+                continue
             shape = shapes.setdefault(len(item), None) or parts_of(len(item))
             shapes[len(item)] = shape
             for part in shape:
@@ -161,6 +163,51 @@ class Items:
         return np.unique(np.concatenate(found), axis=0)
 
 
+class Short:
+    """Items of fewer than MIN_ITEM bytes, which allow one edit at most: found verbatim, as whole words."""
+
+    def __init__(self, rows: list[tuple[int, bytes]]):
+        self.rows = rows
+        self.known = {}
+        for n in sorted({len(item) for _, item in rows}):
+            own = np.array([i for i, (_, item) in enumerate(rows) if len(item) == n], np.int64)
+            items = np.frombuffer(b"".join(rows[i][1] for i in own), np.uint8).reshape(-1, n)
+            keys = keys_of(items.reshape(-1), n)[::n]
+            order = np.argsort(keys, kind="stable")
+            self.known[n] = keys[order], own[order], items[order]
+
+    def found(self, text: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, place in `text`) wherever an item stands between word boundaries."""
+        word = in_words(text)
+        edge = np.ones(len(text) + 1, bool)
+        edge[1:-1] = ~(word[1:] & word[:-1])
+        for n, (known, own, items) in self.known.items():
+            if len(text) < n:
+                continue
+            at = np.flatnonzero(edge[:len(text) - n + 1] & edge[n:])
+            which, at = met(keys_of(text, n)[at], at, known)
+            same = (text[at[:, None] + np.arange(n)] == items[which]).all(1)
+            yield from zip(own[which[same]].tolist(), at[same].tolist())
+
+
+def keys_of(text: np.ndarray, n: int) -> np.ndarray:
+    """A key of the `n` bytes from each place of `text` that has so many."""
+    key = np.zeros(max(0, len(text) - n + 1), np.uint64)
+    for j in range(n):
+        key = key * STEP + CODE[text[j:j + len(key)]]
+    return key
+
+
+def in_words(text: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII letters, digits, underscores and of letters of two bytes (Latin, Greek, Cyrillic and the like).
+
+    Characters of three bytes and more stand mostly in scripts without blanks and are words of their own.
+    """
+    ascii_word = (text >= 97) & (text <= 122) | (text >= 48) & (text <= 57) | (text == 95)
+    lead = (text >= 0xC3) & (text <= 0xDF)
+    return ascii_word | lead | np.concatenate([[False], lead[:-1]])
+
+
 def met(keys: np.ndarray, starts: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in `known`, start) of all equal keys."""
     lo, hi = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
@@ -282,13 +329,13 @@ def normal(text: str | None) -> bytes:
     return normalised(data, np.array([0, len(data)]))[0].tobytes()[:-1].strip()
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """Normalised items in blocks of BLOCK_BYTES; at least one block, which may be empty."""
+def blocks(benchmark: DataFrame, least: int = MIN_ITEM) -> Iterator[list[tuple[int, bytes]]]:
+    """Normalised items of `least` bytes or more in blocks of BLOCK_BYTES; at least one block, which may be empty."""
     block, size = [], 0
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text").distinct().orderBy("item_id", "text")
     for row in rows.toLocalIterator():
         item = normal(row["text"])
-        if len(item) >= MIN_ITEM:
+        if len(item) >= least:
             if block and size + len(item) > BLOCK_BYTES:
                 yield block
                 block, size = [], 0
@@ -300,16 +347,18 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.LongType())]))
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, name: str = "leaks") -> DataFrame:
+def marked(docs: DataFrame, benchmark: DataFrame, name: str = "leaks", short: bool = False) -> DataFrame:
     """`docs` (a column text, any others) with a column `name`: (item_id, edits) of each item that the text leaks, by item.
 
-    `edits` is the least number seen. Null and empty texts leak nothing; items without id or text, or with fewer than
-    MIN_ITEM bytes, are left out; repeated items count once. Items are taken in blocks of BLOCK_BYTES, one pass over the
+    `edits` is the least number seen. Null and empty texts leak nothing; items without id or text or with no character
+    but blanks are left out. Items of fewer than MIN_ITEM bytes count with `short`, where they stand verbatim between word
+    boundaries (edits 0); without it they are left out, as in without_leaks(): a document isn't dropped for one
+    common word. Repeated items count once. Items are taken in blocks of BLOCK_BYTES, one pass over the
     texts for each, with the result stored in between, so that a task holds the index of one block at a time. Rows are neither dropped nor added; an own column of that
     name is replaced.
     """
     out = docs.drop(name).withColumn(name, F.lit(None).cast(LEAKS))
-    for n, block in enumerate(blocks(benchmark)):
+    for n, block in enumerate(blocks(benchmark, 1 if short else MIN_ITEM)):
         out = marked_by(stored(out, "leaks") if n else out, block)
     return out
 
@@ -318,7 +367,8 @@ def marked_by(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
     place = docs.columns.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows)
+        items = Items([row if len(row[1]) >= MIN_ITEM else (row[0], b"") for row in rows])
+        short = Short([(i, item) for i, (_, item) in enumerate(rows) if len(item) < MIN_ITEM])
         for batch in batches:
             data, offsets = buffers(batch.column(place))
             found: list[list[tuple[int, int]]] = [list(map(tuple, (x.values() for x in old or ()))) for old in batch.column(len(batch.columns) - 1).to_pylist()]
@@ -331,6 +381,8 @@ def marked_by(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
                     edits = best_edits(item, text[low:high].tobytes(), int(RATE * len(item)))
                     if edits is not None:
                         least[r, i] = min(edits, least.get((r, i), edits))
+                for own, at in short.found(text) if short.rows else ():
+                    least[int(np.searchsorted(begin, at, side="right")) - 1, short.rows[own][0]] = 0
                 for (r, i), edits in sorted(least.items()):
                     found[lo + r].append((rows[i][0], edits))
             marks = [[{"item_id": i, "edits": e} for i, e in row] for row in found]
@@ -340,13 +392,13 @@ def marked_by(docs: DataFrame, rows: list[tuple[int, bytes]]) -> DataFrame:
     return docs.mapInArrow(of, docs.schema)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, item_id, edits) for each text of `docs` (doc_id, text) that leaks an item of `benchmark` (item_id, text).
 
     One row for each pair of ids, with the least edits; see marked(). Other columns are ignored; repeated rows count
     once; a null doc_id is reported as null. An empty table gives an empty result.
     """
-    found = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark)
+    found = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, short=short)
     pairs = found.select("doc_id", F.explode_outer("leaks").alias("leak")).where("leak is not null")
     return pairs.groupBy("doc_id", "leak.item_id").agg(F.min("leak.edits").alias("edits"))
 

@@ -46,7 +46,7 @@ SQL["op9_line_dedup"] = line_chunks.comparison_sql()
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlight.llm.decontaminate import leaks
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
 
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"

@@ -144,3 +144,32 @@ def test_a_plan_holds_one_block(spark, monkeypatch):
     out = dc.marked(spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert all(r.doc_id in [x.item_id for x in r.leaks if x.edits == 0] for r in out.collect())
+
+
+def test_short_items_are_found_verbatim_between_word_boundaries(spark):
+    items = [(1, "a"), (2, "42"), (3, "café au lait"), (4, "用户"), (5, "x = y;"), (6, "fifteen bytes !"), (6, "Fifteen  BYTES\n!"), (7, "  "), (8, "caf"),
+             (9, "a long item that is embedded as before")]
+    docs = [(1, "A cat"), (2, "b42 420 4-2"), (3, "(42)"), (4, "un CAFé AU LAIT?"), (5, "un café au laité"), (6, "我用户名"), (7, "if(x = y;)"),
+            (8, "fifteen bytes !fifteen bytes !"), (9, None), (10, ""), (11, "4"), (12, "2 a long item that is embedded as before"), (13, "z" * 200_000 + " 42"), (42, "4")]
+    got = sorted((r.doc_id, r.item_id, r.edits) for r in dc.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string"), short=True).collect())
+    assert got == [(1, 1, 0), (3, 2, 0), (4, 3, 0), (6, 4, 0), (7, 5, 0), (8, 6, 0), (12, 1, 0), (12, 9, 0), (13, 2, 0)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_short_items_against_every_place(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda n: "".join(rng.choice("ab 1é,") for _ in range(n))
+    items, docs = [(i, pick(rng.randrange(1, 6))) for i in range(40)], [(d, pick(rng.randrange(0, 60))) for d in range(60)]
+    letter = lambda c: c in "ab1é"
+    want = set()
+    for d, text in docs:
+        t = dc.normal(text).decode()
+        for i, item in items:
+            x = dc.normal(item).decode()
+            for at in range(len(t) - len(x) + 1) if x else ():
+                end = at + len(x)
+                if t[at:end] == x and not (at and letter(t[at - 1]) and letter(x[0])) and not (end < len(t) and letter(t[end]) and letter(x[-1])):
+                    want.add((d, i, 0))
+    got = {tuple(r) for r in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), short=True).collect()}
+    assert got == want and len(want) > 30
