@@ -157,7 +157,8 @@ def sections(results: DataFrame) -> DataFrame:
 def keep_history(history: DataFrame, results: DataFrame, day: str) -> DataFrame:
     """Q15: the day's score, replacing an earlier one of the same day."""
     today = score(results).withColumn("day", F.lit(day).cast("date")).select(*history.columns)
-    return merge.merge_by_key(history, today, ["day"], ["day"])
+    both = history.withColumn("_run", F.lit(0)).unionByName(today.withColumn("_run", F.lit(1)))
+    return merge.keyed.newest(both, ["day"], ["_run"]).drop("_run")
 
 
 def trend(history: DataFrame) -> DataFrame:
