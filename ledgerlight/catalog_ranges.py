@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlight.catalog import FIRST, LAST, LIVE, Domain, query
 from ledgerlight.catalog_streams import _folder
 from ledgerlight.functions import money as m
-from ledgerlight.operators import intervals, keyed
+from ledgerlight.operators import changes as ch, hashtree, intervals, keyed
 from ledgerlight.plans import campaigns, jobs, quality, views
 from ledgerlight.schemas import _schema
 from ledgerlight.sources import feeds, rewrite, tables
@@ -106,6 +106,47 @@ def R8_all_groupings(d: Domain):
     return campaigns.all_groupings(d.money, d.accounts, d.campaigns, d.agents, d.deals, d.positions, d.bridge, FIRST, LAST, LIVE, store, floor_day=FIRST)
 
 
+# ---- difference search ---------------------------------------------------------------------------------------
+
+SHAPE = hashtree.Shape("money_id", width=64, fanout=16, levels=4)     # small leaves, so that small tables have many
+
+
+def _copies(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """The payments, and a copy that lost a page of them, holds those of one day as they stood before and some that are
+    gone from the source; both stored in order of their ids."""
+    source = d.money.select("money_id", "account_id", "approval", "type", "usd", "confirmed")
+    stale = F.to_date("confirmed") == F.lit("1998-03-10").cast("date")
+    copy = source.where(~F.col("money_id").between(700, 749)).withColumn("approval", F.when(stale, "Stale").otherwise(F.col("approval")))
+    gone = source.where("money_id < 300 AND type = 'Withdrawal'").withColumn("money_id", -F.col("money_id") - 1)
+    folder, out = _folder(d), []
+    for name, rows in (("copy", copy.unionByName(gone)), ("source", source)):
+        rows.repartitionByRange("money_id").sortWithinPartitions("money_id").write.parquet(f"{folder}/{name}")
+        out.append(d.spark.read.parquet(f"{folder}/{name}"))
+    return out[0], out[1]
+
+
+def _found(changes: DataFrame) -> DataFrame:
+    return changes.select("money_id", ch.operation().alias("operation"), F.col("before.approval").alias("old_approval"),
+                          F.col("after.approval").alias("new_approval"), F.coalesce("after.usd", "before.usd").alias("usd"))
+
+
+@query
+def J20_tree_differences(d: Domain):
+    """Q12: where a copy of the payments differs from its source, searched by hash trees."""
+    copy, source = _copies(d)
+    return _found(hashtree.differences(copy, source, hashtree.tree(copy, SHAPE), hashtree.tree(source, SHAPE), ["money_id"], SHAPE, 64))
+
+
+@query
+def D10_tree_resync(d: Domain):
+    """What still differs once rows the copy lacked were put in; its tree follows by the change set alone."""
+    copy, source = _copies(d)
+    held, wanted = hashtree.tree(copy, SHAPE), hashtree.tree(source, SHAPE)
+    lost = hashtree.differences(copy, source, held, wanted, ["money_id"], SHAPE, 64).where("before IS NULL")
+    mended = ch.applied(copy, lost, ["money_id"])
+    return _found(hashtree.differences(mended, source, hashtree.folded(held, lost, SHAPE), wanted, ["money_id"], SHAPE, 64))
+
+
 # ---- further forms of pulls, history and exports -----------------------------------------------------------
 
 

@@ -37,6 +37,16 @@ SQL["J10_net_by_department"] = out(f"""
     JOIN dept_history h ON h.agent_id = x.agent_id AND x.day >= h.valid_from AND (h.valid_to IS NULL OR x.day <= h.valid_to) GROUP BY 1""", "", "net_usd")
 SQL["M19_ranged_retyping"] = out(f"SELECT money_id, type FROM {TYPED} x")
 
+_COPY = """(SELECT money_id, CASE WHEN CAST(confirmed AS DATE) = DATE '1998-03-10' THEN 'Stale' ELSE approval END AS approval, usd FROM money WHERE NOT money_id BETWEEN 700 AND 749
+    UNION ALL SELECT -money_id - 1, approval, usd FROM money WHERE money_id < 300 AND type = 'Withdrawal')"""
+_DIFFERENT = f"""
+    SELECT COALESCE(c.money_id, t.money_id) AS money_id, CASE WHEN c.money_id IS NULL THEN 'insert' WHEN t.money_id IS NULL THEN 'delete' ELSE 'update' END AS operation,
+           c.approval AS old_approval, t.approval AS new_approval, COALESCE(t.usd, c.usd) AS usd
+    FROM {_COPY} c FULL JOIN money t ON t.money_id = c.money_id
+    WHERE c.money_id IS NULL OR t.money_id IS NULL OR c.approval IS DISTINCT FROM t.approval"""
+SQL["J20_tree_differences"] = out(_DIFFERENT, "", "usd")
+SQL["D10_tree_resync"] = out(f"SELECT * FROM ({_DIFFERENT}) x WHERE operation <> 'insert'", "", "usd")
+
 _BONUS = f"""SELECT t.money_id, TRY_CAST(t.login AS BIGINT) AS login, CASE WHEN t.raw_type = 'Deposit' THEN t.usd ELSE -t.usd END AS amount, t.confirmed FROM money t
     WHERE {OK} AND ((t.raw_type = 'Deposit' AND t.type IN ('FRF Commission', 'Bonus')) OR (t.raw_type = 'Withdrawal' AND t.type IN ('FRF Commission Cancelled', 'BonusCancelled')))"""
 SQL["S16_bonus_ledger_lookback"] = out(f"{_BONUS} AND (t.modified >= DATE '1998-06-01' OR t.confirmed >= DATE '1998-06-01')", "confirmed", "amount")
