@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlight.catalog import Domain, query
+from ledgerlight.catalog_queries import _ftcs
 from ledgerlight.catalog_streams import _folder
 from ledgerlight.functions import money as m
 from ledgerlight.operators import changes as ch, distinct
-from ledgerlight.plans import views
+from ledgerlight.plans import bonuses, views
 from ledgerlight.plans.incremental import KeptViews
 from ledgerlight.schemas import _schema
-from ledgerlight.sources import tables
+from ledgerlight.sources import search, tables
 from ledgerlight.streaming import feeds as streams
 
 
@@ -124,3 +125,25 @@ def A2_A3_distinct_by_range(d: Domain):
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+NEEDLES = (" NATION_1 ", "nation_2", "10", "Agent", "no such text")
+
+
+@query
+def F17_indexed_totals(d: Domain):
+    """Totals of the rows that each of several texts finds by the search index, which was built before a change of agents'
+    names and the last clients came in."""
+    folder, columns = _folder(d), ["account_id", "agent_name", "desk", "office_name"]
+    _ftcs(d).write.parquet(f"{folder}/ftcs")
+    rows = d.spark.read.parquet(f"{folder}/ftcs")
+    index = search.SearchIndex(d.spark, f"{folder}/index", "account_id", columns, rows.schema, width=256)
+    late = F.col("account_id") % 7 == 3
+    older = rows.where(~late).withColumn("agent_name", F.when(F.col("account_id") % 5 == 2, "NATION_1").otherwise(F.col("agent_name")))
+    index.build(older)
+    index.update(rows, rows.where(late | (F.col("account_id") % 5 == 2)))
+    parts = [bonuses.kept_totals(index.search(n)).select(F.lit(n.strip()).alias("needle"), "*") for n in NEEDLES]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

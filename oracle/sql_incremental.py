@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle.base import VALID, out
+from oracle.sql_reports import FTCS
 
 SQL: dict[str, str] = {}
 #: query of a kept view -> query whose SQL gives the same rows
@@ -38,3 +39,10 @@ SQL["A2_A3_distinct_by_range"] = out(f"""
     UNION ALL SELECT 'agent', agent_id, NULL, COUNT(DISTINCT account_id) FROM {_FIRSTS} x GROUP BY 2
     UNION ALL SELECT 'month', NULL, month, COUNT(DISTINCT account_id) FROM {_FIRSTS} x GROUP BY 3
     UNION ALL SELECT 'all', NULL, NULL, COUNT(DISTINCT account_id) FROM {_FIRSTS} x""", "month")
+SQL["F17_indexed_totals"] = out(f"""
+    SELECT n.needle, COUNT(r.account_id) AS rows, SUM(ftc) AS ftc, SUM(ftc_deposit) AS ftc_deposit, SUM(ftc_wd) AS ftc_wd, SUM(basic_bonus) AS basic_bonus,
+           SUM(ftd_amount_bonus) AS ftd_amount_bonus
+    FROM (VALUES ('NATION_1'), ('nation_2'), ('10'), ('Agent'), ('no such text')) n(needle) LEFT JOIN ({FTCS}) r
+      ON CONTAINS(LOWER(CAST(r.account_id AS STRING)), LOWER(n.needle)) OR CONTAINS(LOWER(r.agent_name), LOWER(n.needle))
+      OR CONTAINS(LOWER(r.desk), LOWER(n.needle)) OR CONTAINS(LOWER(r.office_name), LOWER(n.needle)) GROUP BY 1""",
+    "", "ftc_deposit ftc_wd basic_bonus", "ftc ftd_amount_bonus")
