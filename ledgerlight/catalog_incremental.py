@@ -13,7 +13,7 @@ from ledgerlight.plans import bonuses, views
 from ledgerlight.plans.incremental import KeptViews
 from ledgerlight.schemas import _schema
 from ledgerlight.sources import search, tables
-from ledgerlight.streaming import feeds as streams
+from ledgerlight.streaming import feeds as streams, state
 
 
 def batches(money: DataFrame, accounts: DataFrame) -> list[dict[str, DataFrame]]:
@@ -147,3 +147,25 @@ def F17_indexed_totals(d: Domain):
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+@query
+def I1_state_upserts(d: Domain):
+    """I4, M5: payments upserted by keyed state over three runs of one stream: as first seen; their final form for two thirds
+    with some delivered again; and older versions that come late, of which only a greater peak counts."""
+    folder, third = _folder(d), F.pmod("money_id", F.lit(3))
+    final = d.money.select("money_id", F.lit(2).alias("version"), "approval", "usd", F.col("usd").alias("peak"))
+    seen = final.withColumn("version", F.lit(1)).withColumn("approval", F.lit("Pending"))
+    late = final.withColumn("version", F.lit(0)).withColumn("approval", F.lit("Draft")).withColumn("peak", (F.col("usd") + 10).cast("decimal(20,4)"))
+    table = tables.PartitionedTable(d.spark, f"{folder}/money", ["money_id"], _schema("money_id:long version:int approval:str usd:usd peak:usd"),
+                                    "part", F.pmod("money_id", F.lit(8)))
+    before = d.spark.conf.get(state.PROVIDER)
+    d.spark.conf.set(state.PROVIDER, state.ROCKSDB)
+    try:
+        for batch in (seen, final.where(third > 0).unionByName(seen.where(third == 1)), late.where(third < 2).unionByName(final.where(third == 2))):
+            batch.write.mode("append").parquet(f"{folder}/in")
+            rows = streams.read_files(d.spark, f"{folder}/in", table.schema)
+            state.upsert_stream(rows, table, ["version"], f"{folder}/checkpoint", ("peak",)).awaitTermination()
+    finally:
+        d.spark.conf.set(state.PROVIDER, before)
+    return table.read().drop("part")

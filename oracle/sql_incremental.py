@@ -46,3 +46,6 @@ SQL["F17_indexed_totals"] = out(f"""
       ON CONTAINS(LOWER(CAST(r.account_id AS STRING)), LOWER(n.needle)) OR CONTAINS(LOWER(r.agent_name), LOWER(n.needle))
       OR CONTAINS(LOWER(r.desk), LOWER(n.needle)) OR CONTAINS(LOWER(r.office_name), LOWER(n.needle)) GROUP BY 1""",
     "", "ftc_deposit ftc_wd basic_bonus", "ftc ftd_amount_bonus")
+SQL["I1_state_upserts"] = out("""
+    SELECT money_id, CASE WHEN money_id % 3 = 0 THEN 1 ELSE 2 END AS version, CASE WHEN money_id % 3 = 0 THEN 'Pending' ELSE approval END AS approval, usd,
+           CASE WHEN money_id % 3 < 2 THEN usd + 10 ELSE usd END AS peak FROM money""", "", "usd peak", "version")
