@@ -9,7 +9,7 @@ from ledgerlight.catalog_queries import _ftcs
 from ledgerlight.catalog_streams import _folder
 from ledgerlight.functions import money as m
 from ledgerlight.operators import changes as ch, distinct
-from ledgerlight.plans import bonuses, views
+from ledgerlight.plans import bonuses, equity, views
 from ledgerlight.plans.incremental import KeptViews
 from ledgerlight.schemas import _schema
 from ledgerlight.sources import search, tables
@@ -169,3 +169,12 @@ def I1_state_upserts(d: Domain):
     finally:
         d.spark.conf.set(state.PROVIDER, before)
     return table.read().drop("part")
+
+
+@query
+def I7_last_good_copy(d: Domain):
+    """Balances where the remote copy is stale and the local one empty: those of the last version that was stored."""
+    remote, local = d.platform_users.where("source = 'S0'"), d.platform_users.where("updated > TIMESTAMP_NTZ '2099-01-01 00:00:00'")
+    good = tables.VersionedTable(d.spark, f"{_folder(d)}/good", ["login"])
+    good.write(d.platform_users.where("source = 'S1'"))
+    return equity.pick_fresher(remote, local, "updated", "2098-01-01 00:00:00", good.read()).select("login", "balance", "data_source")

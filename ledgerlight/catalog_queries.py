@@ -464,6 +464,12 @@ def R37_net_by_source(d: Domain):
     return reconcile.net_by_source(d.kpis, d.equity, d.balance_ops, ("Deposit Void", "Withdrawal Void", "FRF", "Cash ADVANCE"), 50)
 
 
+@query
+def R37_retention_net_by_source(d: Domain):
+    ledger = reconcile.retention_net(d.money, d.accounts, d.agents)
+    return reconcile.net_by_source(ledger, d.equity, d.balance_ops, ("Deposit Void", "Withdrawal Void", "FRF", "Cash ADVANCE"), 50)
+
+
 @query
 def R38_extra_logins(d: Domain):
     return reconcile.extra_logins(jobs.equity_by_day(d.equity), equity.bridge_logins(d.bridge, d.accounts, with_equity=True))

@@ -173,16 +173,24 @@ def live_equity(equity: DataFrame, bonuses: DataFrame, bridge: DataFrame, accoun
                         - F.col("bonuses_today")))
 
 
-def pick_fresher(remote: DataFrame | None, local: DataFrame, time: str, oldest: str) -> DataFrame:
-    """The remote copy while it is fresh enough, else the local one, as one plan without an action.
+def pick_fresher(remote: DataFrame | None, local: DataFrame, time: str, oldest: str, last_good: DataFrame | None = None) -> DataFrame:
+    """The remote copy while it is fresh enough, else the local one, else the last good rows, as one plan without an action.
 
-    Freshness is a scalar over the remote copy's time column, so the choice is made when the query runs.
+    Freshness is a scalar over the remote copy's time column, and the local copy counts if it has rows, so the choice is
+    made when the query runs. Without `last_good` an empty local copy is taken as it is.
     """
+    labelled = lambda df, name: df.withColumn("data_source", F.lit(name))
     if remote is None:
-        return local.withColumn("data_source", F.lit("local"))
-    fresh = remote.agg(F.coalesce(F.max(time) >= F.lit(oldest).cast("timestamp_ntz"), F.lit(False))).scalar()
-    return (remote.where(fresh).withColumn("data_source", F.lit("remote"))
-            .unionByName(local.where(~fresh).withColumn("data_source", F.lit("local"))))
+        fresh, out = F.lit(False), None
+    else:
+        fresh = remote.agg(F.coalesce(F.max(time) >= F.lit(oldest).cast("timestamp_ntz"), F.lit(False))).scalar()
+        out = labelled(remote.where(fresh), "remote")
+    held = labelled(local.where(~fresh), "local")
+    out = held if out is None else out.unionByName(held)
+    if last_good is None:
+        return out
+    none_local = local.agg(F.count(F.lit(1)) == 0).scalar()
+    return out.unionByName(labelled(last_good.where(~fresh & none_local), "last good"))
 
 
 # ---- R31 ---------------------------------------------------------------------------------------------------

@@ -40,6 +40,15 @@ def last_runs(log: DataFrame, n: int = 50) -> DataFrame:
     return keyed.top_rows(log, ["table_name"], [F.desc("ran_at"), F.desc("run_id")], n)
 
 
+def retention_net(money: DataFrame, accounts: DataFrame, agents: DataFrame) -> DataFrame:
+    """The ledger's side limited to retention agents: money of real accounts without bonus comments, by owner and day."""
+    retention = agents.where("dept = 'Retention'").select(F.col("agent_id").alias("owner"))
+    paid = (money.where(m.valid_money() & m.not_bonus_comment())
+            .groupBy("owner", "account_id", F.to_date("confirmed").alias("tx_date")).agg(m.usd_sum(m.signed_usd()).alias("net_usd")))
+    kept = paid.join(retention, "owner", "left_semi").join(accounts.where(m.real_account()).select("account_id"), "account_id", "left_semi")
+    return kept.groupBy(F.col("owner").alias("agent_id"), "tx_date").agg(F.sum("net_usd").cast(USD).alias("net_usd"))
+
+
 def net_by_source(kpis: DataFrame, equity: DataFrame, balance_ops: DataFrame, adjustments: tuple = (),
                   flag_above: float = 5000) -> DataFrame:
     """Net deposits by day from the ledger, the platform's daily rows and its balance operations.

@@ -21,7 +21,7 @@ SQL["R34_sync_status"] = out(f"""
 SQL["O4_last_runs"] = out("""
     SELECT table_name, cutoff, rows, duration_ms, status, error, run_id, ran_at FROM (
         SELECT *, ROW_NUMBER() OVER (PARTITION BY table_name ORDER BY ran_at DESC, run_id DESC) AS rn FROM sync_log) l WHERE rn <= 25""", "cutoff ran_at")
-SQL["R37_net_by_source"] = out("""
+R37 = """
     SELECT day, COALESCE(ledger, 0) AS ledger, COALESCE(platform, 0) AS platform, COALESCE(platform_rows, 0) AS platform_rows,
            COALESCE(operations, 0) AS operations, COALESCE(operations_plain, 0) AS operations_plain, COALESCE(ledger, 0) - COALESCE(platform, 0) AS diff,
            CASE WHEN ABS(COALESCE(ledger, 0) - COALESCE(platform, 0)) > 50 THEN 1 ELSE 0 END AS flagged
@@ -30,8 +30,12 @@ SQL["R37_net_by_source"] = out("""
                FROM (SELECT e.at AS at, e.net_deposit FROM equity e) e2 GROUP BY 1) b USING (day)
     FULL JOIN (SELECT CAST(close_time AS DATE) AS day, SUM(profit) AS operations,
                       COALESCE(SUM(CASE WHEN comment IS NULL OR comment NOT IN ('Deposit Void', 'Withdrawal Void', 'FRF', 'Cash ADVANCE') THEN profit END), 0) AS operations_plain
-               FROM balance_ops WHERE cmd = 6 GROUP BY 1) c USING (day)""".replace("CAST(at AS DATE)", "CAST(e2.at AS DATE)"), "day",
-    "ledger platform operations operations_plain diff")
+               FROM balance_ops WHERE cmd = 6 GROUP BY 1) c USING (day)""".replace("CAST(at AS DATE)", "CAST(e2.at AS DATE)")
+SQL["R37_net_by_source"] = out(R37, "day", "ledger platform operations operations_plain diff")
+_RETENTION = f"""(SELECT CAST(t.confirmed AS DATE) AS day, SUM({NET}) AS ledger FROM money t JOIN accounts a ON a.account_id = t.account_id
+    WHERE {VALID} AND {NOBONUS} AND a.is_test = 0 AND t.owner IN (SELECT u.agent_id FROM agents u WHERE u.dept = 'Retention') GROUP BY 1)"""
+_KPIS = "(SELECT tx_date AS day, SUM(net_usd) AS ledger FROM kpis GROUP BY 1)"
+SQL["R37_retention_net_by_source"] = out(R37.replace(_KPIS, _RETENTION), "day", "ledger platform operations operations_plain diff", "flagged")
 SQL["R38_extra_logins"] = out(f"""
     SELECT source, COUNT(DISTINCT login) AS logins, COUNT(*) FILTER (WHERE {eq.NETEQ} > 0) AS with_equity,
            SUM(GREATEST({eq.NETEQ}, 0)) AS equity, COALESCE(SUM(net_deposit), 0) AS net_deposit

@@ -49,3 +49,4 @@ SQL["F17_indexed_totals"] = out(f"""
 SQL["I1_state_upserts"] = out("""
     SELECT money_id, CASE WHEN money_id % 3 = 0 THEN 1 ELSE 2 END AS version, CASE WHEN money_id % 3 = 0 THEN 'Pending' ELSE approval END AS approval, usd,
            CASE WHEN money_id % 3 < 2 THEN usd + 10 ELSE usd END AS peak FROM money""", "", "usd peak", "version")
+SQL["I7_last_good_copy"] = out("SELECT login, balance, 'last good' AS data_source FROM platform_users WHERE source = 'S1'", "", "balance")
