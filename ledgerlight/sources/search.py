@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ledgerlight.operators import changes as ch, filters
 from ledgerlight.sources.tables import Files
 
 SEGMENT, GRAM, NO_KEY = "segment", "gram", "none"
+SPANS = 32      # ranges of keys named one by one in a filter; of more, the filter has the segments and the outer bounds
 
 
 def trigrams(column: str) -> Column:
@@ -57,16 +58,16 @@ class SearchIndex:
 
     def _replace(self, name: str, rows: DataFrame, order: str, segments: list[str]) -> None:
         """Segments the rows belong to replaced, those of `segments` that got none removed."""
-        (rows.hint("rebalance", SEGMENT).sortWithinPartitions(SEGMENT, order).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(SEGMENT).parquet(f"{self.path}/{name}"))
-        held = {r[0] for r in rows.select(SEGMENT).distinct().collect()}
-        for gone in set(segments) - held:
+        seen = Observation()
+        (rows.hint("rebalance", SEGMENT).observe(seen, F.collect_set(SEGMENT).alias("held")).sortWithinPartitions(SEGMENT, order)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SEGMENT).parquet(f"{self.path}/{name}"))
+        for gone in set(segments) - set(seen.get["held"]):
             self.files.delete(f"{self.path}/{name}/{SEGMENT}={gone}")
 
     def _store(self, rows: DataFrame, segments: list[str]) -> None:
         placed = rows.select(*self.schema.fieldNames(), self._segment().alias(SEGMENT))
         self._replace("rows", placed, self.key, segments)
-        stored = self.rows().where(F.col(SEGMENT).isin(segments)) if segments else self.rows()
+        stored = self.rows().where(self._in(segments)) if segments else self.rows()
         grams = stored.select(SEGMENT, self.key, F.explode(F.array_distinct(F.flatten(F.array(*map(trigrams, self.columns))))).alias(GRAM))
         self._replace("grams", grams.distinct(), GRAM, segments)
 
@@ -80,15 +81,31 @@ class SearchIndex:
         number is bounded by the index."""
         segments = sorted(r[0] for r in changed.select(self._segment().alias(SEGMENT)).distinct().collect())
         if segments:
-            self._store(rows.where(self._keys_of(segments)), segments)
+            self._store(rows.withColumn(SEGMENT, self._segment()).where(self._keys_of(segments)), segments)
         return segments
 
+    @staticmethod
+    def _in(segments: list[str]) -> Column:
+        """Rows of these segments, whose names are whole numbers or NO_KEY; one flat list, however many."""
+        return F.expr(f"{SEGMENT} IN ({', '.join(repr(s) for s in segments)})")
+
+    def _bounds(self, low: int, high: int) -> Column:
+        return F.col(self.key).between(F.lit(max(low, -(1 << 63))), F.lit(min(high, (1 << 63) - 1)))
+
     def _keys_of(self, segments: list[str]) -> Column:
-        """The segments as bounds of the key, for the scan of the source."""
-        key = F.col(self.key)
-        low, high = -(1 << 63), (1 << 63) - 1
-        tests = [key.isNull() if s == NO_KEY else key.between(F.lit(max(low, int(s) * self.width)), F.lit(min(high, (int(s) + 1) * self.width - 1))) for s in segments]
-        return reduce(lambda a, b: a | b, tests)
+        """The segments as bounds of the key, for the scan of the source; neighbours make one range."""
+        runs: list[list[int]] = []
+        for n in sorted(int(s) for s in segments if s != NO_KEY):
+            if runs and runs[-1][1] == n - 1:
+                runs[-1][1] = n
+            else:
+                runs.append([n, n])
+        outer = [[runs[0][0], runs[-1][1]]] if len(runs) > SPANS else runs
+        tests = [self._bounds(a * self.width, (z + 1) * self.width - 1) for a, z in outer]
+        tests += [F.col(self.key).isNull()] if NO_KEY in segments else []
+        inside = reduce(lambda a, b: a | b, tests)
+        # numbers between the runs belong to other segments
+        return inside if outer is runs else inside & self._in(segments)
 
     def hits(self, needle: str) -> DataFrame:
         """(segment, key) of rows that hold all of the needle's trigrams: more than match, never fewer."""
@@ -101,13 +118,19 @@ class SearchIndex:
         hits = self.hits(needle).groupBy(SEGMENT).agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"))
         return [tuple(r) for r in hits.collect()]
 
+    def _places(self, places: list[tuple]) -> Column:
+        """The segments to open and between which keys; the join with the hits leaves the same rows for any such bounds."""
+        key, known = F.col(self.key), [p for p in places if p[0] != NO_KEY]
+        if len(places) > SPANS:
+            outer = self._bounds(min(lo for _, lo, _ in known), max(hi for _, _, hi in known))
+            return self._in([s for s, _, _ in places]) & (outer if len(known) == len(places) else outer | key.isNull())
+        tests = [(F.col(SEGMENT) == s) & (key.isNull() if s == NO_KEY else self._bounds(lo, hi)) for s, lo, hi in places]
+        return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+
     def search(self, text: str) -> DataFrame:
         """Rows with the text in any searched column, in any case; blank text keeps all."""
         needle, rows = text.strip().lower(), self.rows()
         if len(needle) >= 3:
-            places = self.opened(needle)
-            key = F.col(self.key)
-            tests = [(F.col(SEGMENT) == s) & (key.isNull() if s == NO_KEY else key.between(F.lit(lo), F.lit(hi))) for s, lo, hi in places]
-            inside = reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
-            rows = ch.with_keys(rows.where(inside), self.hits(needle), [SEGMENT, self.key])
+            rows = rows.where(self._places(self.opened(needle)))
+            rows = ch.with_keys(rows, self.hits(needle), [SEGMENT, self.key])
         return filters.search(rows, text, self.columns).drop(SEGMENT)

@@ -77,3 +77,24 @@ def test_empty_index(spark, tmp_path):
 @pytest.mark.parametrize("needle, grams", [("abc", ["abc"]), ("abcd", ["abc", "bcd"]), ("abcdef", ["abc", "def"]), ("aaaaa", ["aaa"])])
 def test_grams_cover_the_needle(needle, grams):
     assert needed(needle) == grams
+
+
+def test_many_segments(spark, tmp_path):
+    """More segments with hits than a filter names range by range, some untouched between them."""
+    idx = index(spark, tmp_path, width=1)
+    rows = spark.range(60).selectExpr("IF(id = 59, NULL, id * 2) AS id", "IF(id % 20 = 7, 'other', 'anna') AS name", "CAST(NULL AS string) AS desk", "CAST(id AS int) AS score")
+    idx.build(rows.withColumn("name", F.lit("before")))
+    fresh = rows.withColumn("name", F.when(F.col("score") % 20 == 7, "before").otherwise(F.col("name")))
+    assert len(idx.update(fresh, rows.where("score % 20 <> 7"))) == 57
+    assert len(idx.opened("anna")) == 57 and "PartitionFilters: [segment" in plan(idx.search("anna"))
+    for needle in ("anna", "before"):
+        assert listed(idx.search(needle)) == listed(filters.search(fresh, needle, COLUMNS)), needle
+
+
+def test_filters_dont_nest_by_segment(spark, tmp_path):
+    idx, rows = index(spark, tmp_path), people(spark)
+    names = [str(n) for n in range(-3000, 3000, 2)]
+    inside = rows.withColumn("segment", idx._segment()).where(idx._keys_of([*names, "none"])).drop("segment")
+    assert listed(inside) == listed(rows.where("id IS NULL OR pmod(floor(id / 16), 2) = 0"))
+    places = [*((n, int(n) * 16, int(n) * 16 + 15) for n in names), ("none", None, None)]
+    assert rows.withColumn("segment", idx._segment()).where(idx._places(places)).count() == inside.count()
