@@ -2,21 +2,19 @@
 
 fold() says what a key's rows come to, whatever their order, batches or repetition: the greatest row by the order columns
 (nulls least; ties by all columns, in the order of the schema), with the greatest value of some columns over all rows. The
-stateful form gives the same: each batch emits only keys that it changed, and these are folded with their stored rows, so a
-row that comes late or once more changes nothing that it shouldn't, and the state may be lost (a new checkpoint).
+stateful form is the same aggregate over a stream: each batch emits the keys it has rows of, as they are by then. They are
+folded with their stored rows and only those that differ are merged, so a row that comes late or once more changes nothing
+that it shouldn't, and the state may be lost (a new checkpoint).
 
-State is one row a key, kept in RocksDB on the executors' disks, and doesn't expire: timers in processing time keep a stream
-that is to end with its input running for ever, and event time would drop late rows.
+State is one row a key, kept in RocksDB on the executors' disks, and doesn't expire: event time would drop late rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ledgerlight.operators import changes as ch
 from ledgerlight.sources.tables import PartitionedTable
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -32,45 +30,18 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], greatest: tuple[str
     return out.select(*[F.col(c) if c in keys else F.col(f"top_{c}" if c in greatest else f"n.{c}").alias(c) for c in rows.columns])
 
 
-class Newest(StatefulProcessor):
-    """State of a key: its folded row."""
-
-    def __init__(self, schema: T.StructType, keys: list[str], order: list[str], greatest: tuple[str, ...]):
-        names = schema.fieldNames()
-        self.schema = schema
-        self.rank = [names.index(c) for c in [*order, *[c for c in names if c not in order and c not in keys]]]
-        self.greatest = [names.index(c) for c in greatest]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", self.schema)
-
-    def _placed(self, row) -> list:
-        return [(row[i] is not None, row[i]) for i in self.rank]
-
-    def _both(self, a, b):
-        new = list(max(a, b, key=self._placed))
-        for i in self.greatest:
-            new[i] = max((v for v in (a[i], b[i]) if v is not None), default=None)
-        return tuple(new)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.row.get() if self.row.exists() else None
-        held = tuple(held) if held is not None else None
-        now = held
-        for row in rows:
-            now = tuple(row) if now is None else self._both(now, tuple(row))
-        if now != held:
-            self.row.update(now)
-            yield Row(*self.schema.fieldNames())(*now)
-
-    def close(self) -> None:
-        pass
+def upserted(stream: DataFrame, keys: list[str], order: list[str], greatest: tuple[str, ...] = ()) -> DataFrame:
+    """Keys of each batch with their folded rows (update mode). The session must keep state in RocksDB (PROVIDER)."""
+    return fold(stream, keys, order, greatest)
 
 
-def upserted(stream: DataFrame, keys: list[str], order: list[str], greatest: tuple[str, ...] = ()) -> DataFrame:
-    """Changed keys of each batch with their folded rows. The session must keep state in RocksDB (PROVIDER)."""
-    return stream.dropna(subset=keys).groupBy(*keys).transformWithState(
-        Newest(stream.schema, keys, order, greatest), stream.schema, "Update", "None")
+def changed(stored: DataFrame, rows: DataFrame, keys: list[str], order: list[str], greatest: tuple[str, ...] = ()) -> DataFrame:
+    """Folded rows of the keys of both frames that aren't stored so already; `stored` holds a key once."""
+    columns = rows.columns
+    held = stored.select(*columns, ch.image(columns).alias("_held"))
+    both = held.unionByName(rows.withColumn("_held", F.lit(None).cast(held.schema["_held"].dataType)))
+    now = fold(both, keys, order, (*greatest, "_held"))
+    return now.where(~F.col("_held").eqNullSafe(ch.image(columns))).select(*columns)
 
 
 def upsert_stream(stream: DataFrame, table: PartitionedTable, order: list[str], checkpoint: str, greatest: tuple[str, ...] = ()) -> StreamingQuery:
@@ -78,12 +49,14 @@ def upsert_stream(stream: DataFrame, table: PartitionedTable, order: list[str],
     columns = table.schema.fieldNames()
 
     def apply(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
+        # kept, as its state is to be written once; dealt by key, as the order that state gives its rows can't be cached
+        batch = batch.repartition(*table.keys).persist()
+        stored = table.read().select(*columns).join(batch.select(*table.keys), table.keys, "left_semi")
+        now = changed(stored, batch.select(*columns), table.keys, order, greatest).persist()
         try:
-            stored = table.read().select(*columns).join(batch.select(*table.keys), table.keys, "left_semi")
-            table.merge(fold(stored.unionByName(batch.select(*columns)), table.keys, order, greatest), order)
+            table.merge(now, order)
         finally:
+            now.unpersist()
             batch.unpersist()
 
-    changed = upserted(stream.select(*columns), table.keys, order, greatest)
-    return changed.writeStream.foreachBatch(apply).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return upserted(stream.select(*columns), table.keys, order, greatest).writeStream.foreachBatch(apply).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -48,3 +48,17 @@ def test_fold_doesnt_depend_on_the_order(spark):
     folded = [listed(state.fold(spark.createDataFrame(x, SCHEMA), ["id"], ["version"], ("peak",))) for x in (rows, rows[::-1], rows + rows)]
     assert folded[0] == folded[1] == folded[2]
     assert state.fold(spark.createDataFrame([], SCHEMA), ["id"], ["version"]).isEmpty()
+
+
+def test_state_is_kept_without_a_python_call_per_key(rocksdb, tmp_path):
+    spark = rocksdb
+    spark.createDataFrame(BATCHES[0], SCHEMA).write.parquet(str(tmp_path / "in"))
+    stream = state.upserted(feeds.read_files(spark, str(tmp_path / "in"), SCHEMA), ["id"], ["version"], ("peak",))
+    logical = stream._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate [id" in logical and "TransformWithState" not in logical
+
+
+def test_only_keys_that_differ_are_merged(spark):
+    stored = state.fold(spark.createDataFrame(BATCHES[0], SCHEMA), ["id"], ["version"], ("peak",))
+    again = state.changed(stored, spark.createDataFrame(BATCHES[0] + BATCHES[1][:2], SCHEMA), ["id"], ["version"], ("peak",))
+    assert listed(again) == ["Row(id=2, version=2, name=None, peak=Decimal('3.0000'))"]
