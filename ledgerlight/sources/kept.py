@@ -61,11 +61,16 @@ class KeptTable:
     def read(self) -> DataFrame:
         return self.partitions().select(*self.columns)
 
-    def rows_of(self, wanted: DataFrame) -> DataFrame:
-        """The rows with the keys of `wanted`: a scan of the key columns finds the partitions, and only those are read."""
+    def names_of(self, wanted: DataFrame) -> list[str]:
+        """The partitions that hold keys of `wanted`, found by a scan of the key columns."""
+        if not Files(self.spark, self.path).children(self.path):
+            return []
         held = ch.with_keys(self.partitions().select(*self.keys, self.part), wanted, self.keys)
-        names = [r[0] for r in held.select(self.part).distinct().collect()]   # bounded by the table's partitions
-        return ch.with_keys(self.partitions(names).select(*self.columns), wanted, self.keys)
+        return [r[0] for r in held.select(self.part).distinct().collect()]   # bounded by the table's partitions
+
+    def rows_of(self, wanted: DataFrame) -> DataFrame:
+        """The rows with the keys of `wanted`; only their partitions are read."""
+        return ch.with_keys(self.partitions(self.names_of(wanted)).select(*self.columns), wanted, self.keys)
 
     def propose(self, batch: int, changes: Callable[[], DataFrame]) -> DataFrame:
         """The batch's logged changes, computed and logged where that isn't done yet."""
@@ -73,22 +78,33 @@ class KeptTable:
             self.log.write(batch, changes())
         return self.log.read(batch)
 
+    def _marked(self, rows: DataFrame, gone: DataFrame) -> DataFrame:
+        """Rows with `_gone` where their key is in `gone`."""
+        marks = gone.select(*[F.col(k).alias(f"_of_{k}") for k in self.keys]).distinct().withColumn("_gone", F.lit(True))
+        on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in self.keys]
+        return rows.join(marks, on, "left")
+
     def merged(self, batch: int, delta: DataFrame, order: list, rules: dict | None = None, gone: DataFrame | None = None) -> DataFrame:
         """Changes that a keyed merge of `delta` makes (see operators.merge), then the deletion of the keys in `gone`."""
         def changes() -> DataFrame:
             new = merge.last_per_key(delta, self.keys, order).select(*self.columns)
-            wanted = new.select(*self.keys)
+            wanted = merge.drop_null_keys(delta, self.keys).select(*self.keys)
             wanted = wanted if gone is None else wanted.unionByName(gone.select(*self.keys))
-            held = self.rows_of(wanted)
-            after = merge.merge_by_key(held, new, self.keys, self.keys, rules).select(*self.columns)
-            after = after.to(self.schema)
-            return ch.change_set(held, after if gone is None else ch.with_keys(after, gone, self.keys, "left_anti"), self.keys)
+            # each row goes with its old image through one merge with the partitions touched; rows left as they are fall out
+            held = self.partitions(self.names_of(wanted)).select(*self.columns, ch.image(self.columns).alias("_old"))
+            rows = merge.merge_by_key(held, new, self.keys, self.keys, rules).select(*self.columns, "_old")
+            rows = rows.to(T.StructType([*self.schema.fields, T.StructField("_old", T.StructType(self.schema.fields))]))
+            after = ch.image(self.columns)
+            if gone is not None:
+                rows = rows.transform(self._marked, gone)
+                after = F.when(F.col("_gone").isNull(), after)
+            return rows.select(*self.keys, F.col("_old").alias("before"), after.alias("after")).where(~F.col("before").eqNullSafe(F.col("after")))
 
         return self.propose(batch, changes)
 
     def replaced(self, batch: int, rows: Callable[[], DataFrame], wanted: Callable[[], DataFrame]) -> DataFrame:
         """Changes that give the keys of `wanted` exactly the rows of `rows`."""
-        return self.propose(batch, lambda: ch.change_set(self.rows_of(wanted()), rows().select(*self.columns).to(self.schema), self.keys))
+        return self.propose(batch, lambda: ch.differing(self.rows_of(wanted()), rows().select(*self.columns).to(self.schema), self.keys))
 
     def after(self, batch: int) -> DataFrame:
         """The table as it is once the batch is applied."""
@@ -125,15 +141,22 @@ class AdditiveView(KeptTable):
 
     def folded(self, batch: int, rows: Callable[[], DataFrame]) -> DataFrame:
         """Changes of the view by `rows`: keys and measures, each measure already with its sign, row_count plus or minus one."""
-        def changes() -> DataFrame:
-            types = {f.name: f.dataType for f in self.schema.fields}
-            add = [F.sum(c).cast(types[c]).alias(c) for c in self.measures]
-            sums = rows().groupBy(*self.keys).agg(*add).where(" OR ".join(f"{c} <> 0" for c in self.measures))
+        if self.log.has(batch):
+            return self.log.read(batch)
+        types = {f.name: f.dataType for f in self.schema.fields}
+        total = lambda c, out: F.sum(c).cast(types[out]).alias(c)
+        sums = rows().groupBy(*self.keys).agg(*[total(c, c) for c in self.measures]).where(" OR ".join(f"{c} <> 0" for c in self.measures)).persist()
+        try:
             names = [r[0] for r in sums.select(self.place().alias("p")).distinct().collect()]
-            held = ch.with_keys(self.partitions(names).select(*self.columns), sums, self.keys)
-            both = held.withColumn("_old", ch.image(self.columns)).unionByName(sums.withColumn("_old", F.lit(None).cast(T.StructType(self.schema.fields))))
-            total = both.groupBy(*self.keys).agg(F.max("_old").alias("before"), *add)
+            # old measures in columns of their own: sums of numbers need no sorted rows
+            old = {c: f"_old_{c}" for c in self.measures}
+            held = self.partitions(names).select(*self.columns, *[F.col(c).alias(o) for c, o in old.items()], F.lit(1).alias("_held"))
+            fresh = sums.select(*self.columns, *[F.lit(None).cast(types[c]).alias(o) for c, o in old.items()], F.lit(0).alias("_held"))
+            both = held.unionByName(fresh).groupBy(*self.keys).agg(
+                *[total(c, c) for c in self.measures], *[total(o, c) for c, o in old.items()], F.max("_held").alias("_held"))
+            before = F.when(F.col("_held") == 1, F.struct(*[F.col(old.get(c, c)).alias(c) for c in self.columns]))
             after = F.when(F.col(self.ROWS) > 0, ch.image(self.columns))
-            return total.select(*self.keys, "before", after.alias("after")).where(~F.col("before").eqNullSafe(F.col("after")))
-
-        return self.propose(batch, changes)
+            changes = both.select(*self.keys, before.alias("before"), after.alias("after"))
+            return self.propose(batch, lambda: changes.where(~F.col("before").eqNullSafe(F.col("after"))))
+        finally:
+            sums.unpersist()
