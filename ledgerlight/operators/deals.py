@@ -21,11 +21,11 @@ def _exits(deals: DataFrame) -> DataFrame:
                  F.max(F.when(F.col("notional") > 0, 1).otherwise(0)).alias("has_notional")))
 
 
-def matched_volume(deals: DataFrame, opened: Column, name: str, first_entry_only: bool = False) -> DataFrame:
-    """Exit notional per (login, opening moment): sum, pair count, and whether any notional is positive.
+def matched_rows(deals: DataFrame, opened: Column, name: str, first_entry_only: bool = False) -> DataFrame:
+    """Exits of a (position, source, login) with the entries of one opening moment: notional, pairs and whether any notional is positive.
 
     `opened` is the grain of the entry time. `first_entry_only` dates an exit by the earliest entry of its
-    position instead of counting it once per entry.
+    position instead of counting it once per entry. An opening moment of a login may have several rows, for callers that add up.
     """
     entries = deals.where(F.col("entry") == 0)
     if first_entry_only:
@@ -33,10 +33,15 @@ def matched_volume(deals: DataFrame, opened: Column, name: str, first_entry_only
                    .select(*MATCH, opened.alias(name), F.lit(1).cast("bigint").alias("entries")))
     else:
         entries = entries.groupBy(*MATCH, opened.alias(name)).agg(F.count(F.lit(1)).alias("entries"))
-    return (_exits(deals).join(entries, MATCH)
-            .groupBy("login", name)
-            .agg(F.sum(F.col("notional") * F.col("entries")).cast("decimal(28,4)").alias("notional"),
-                 F.sum(F.col("exits") * F.col("entries")).alias("pairs"),
+    return _exits(deals).join(entries, MATCH).select(
+        "login", name, (F.col("notional") * F.col("entries")).alias("notional"),
+        (F.col("exits") * F.col("entries")).alias("pairs"), "has_notional")
+
+
+def matched_volume(deals: DataFrame, opened: Column, name: str, first_entry_only: bool = False) -> DataFrame:
+    """Exit notional per (login, opening moment): sum, pair count, and whether any notional is positive."""
+    return (matched_rows(deals, opened, name, first_entry_only).groupBy("login", name)
+            .agg(F.sum("notional").cast("decimal(28,4)").alias("notional"), F.sum("pairs").alias("pairs"),
                  F.max("has_notional").alias("has_notional")))
 
 

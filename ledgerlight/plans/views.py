@@ -59,12 +59,14 @@ def daily_kpis(money: DataFrame, accounts: DataFrame, agents: DataFrame | None,
 
 def traded_notional(deals: DataFrame, positions: DataFrame, floor_day: str | None,
                     first_entry_only: bool = False) -> DataFrame:
-    """(login, opening day) notional of open positions and of closed deals dated by their entry."""
+    """(login, opening day) notional of open positions and of closed deals dated by their entry.
+
+    Both are added up together, once: a task then holds one table of sums and not one for each side and for both.
+    """
     opened = F.to_date("open_time")
-    pos = (positions.groupBy("login", opened.alias("open_date"))
-           .agg(F.sum("notional").cast("decimal(28,4)").alias("notional"),
-                F.max(F.when(F.col("notional") > 0, 1).otherwise(0)).alias("has_notional")))
-    closed = dl.matched_volume(deals, opened, "open_date", first_entry_only).select(pos.columns)
+    pos = positions.select("login", opened.alias("open_date"), "notional",
+                           F.when(F.col("notional") > 0, 1).otherwise(0).alias("has_notional"))
+    closed = dl.matched_rows(deals, opened, "open_date", first_entry_only).select(pos.columns)
     both = pos.unionByName(closed)
     if floor_day:
         both = both.where(F.col("open_date") >= F.lit(floor_day).cast("date"))

@@ -51,6 +51,12 @@ def test_deal_matching_joins_aggregates(spark):
     assert text[join:].count("HashAggregate(keys=[position_id") >= 4      # partial and final on both sides
 
 
+def test_traded_notional_is_added_up_once(spark):
+    """Positions and closed deals share one table of sums by login and day; the deals are reduced by position before it."""
+    d = Domain(spark, FOLDER)
+    assert plan(views.traded_notional(d.deals, d.positions, None)).count("HashAggregate(keys=[login") == 2   # partial and final
+
+
 def test_top_k_is_not_a_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(Domain(spark, FOLDER).money.orderBy(F.desc("usd"), "money_id").limit(5))
 
