@@ -17,7 +17,8 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ BLANK = "▁"
 STOPS = ".,;:!?"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)   # piece types of the model file
-REMEMBERED = 250_000     # segments whose paths a worker keeps,
-REMEMBERED_CHARS = 4_000_000   # of so many characters together
+REMEMBERED = 600_000     # segments whose paths a worker keeps,
+REMEMBERED_CHARS = 8_000_000   # of so many characters together
 REMEMBERED_PAIRS = 250_000     # pairs of pieces whose weight it keeps
+REMEMBERED_STARTS = 50_000     # beginnings of four characters whose pieces it keeps
+SHORT = 64               # characters of a segment that is kept
 BATCH_TOKENS = 1 << 18
 
 
@@ -97,6 +100,31 @@ class Pieces:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+class Paths(dict):
+    """Paths of the segments met lately, found when first asked for.
+
+    Half of the room is for new segments; when it is full, they become the old ones and those before them are dropped, so
+    a segment that is met all the time stays.
+    """
+
+    def __init__(self, find: Callable[[str], list[int]]):
+        super().__init__()
+        self.find, self.old, self.held = find, {}, 0
+
+    def __missing__(self, segment: str) -> tuple[int, ...]:
+        path = self.old.get(segment)
+        if path is None:
+            path = tuple(self.find(segment))
+        if len(segment) <= SHORT:
+            if len(self) >= REMEMBERED // 2 or self.held >= REMEMBERED_CHARS // 2:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
+            self[segment] = path
+            self.held += len(segment)
+        return path
+
+
 class Model(Pieces):
     """Transducers of a model file's bytes."""
 
@@ -108,11 +136,13 @@ class Model(Pieces):
         self.longest = max(map(len, self.ids), default=1)
         self.known = {c for p in self.ids for c in p}
         self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.lengths: dict[str, list[int] | tuple[int, ...]] = {}   # of the pieces that begin with four characters, longest first
+        self.lengths: dict[str, list[int] | tuple[int, ...]] = {}   # of the longer pieces that begin with four characters, negative, longest first
         for p in self.ids:
-            if len(p) > 3:
-                self.lengths.setdefault(p[:4], []).append(len(p))
-        self.lengths = {k: (*sorted(set(v), reverse=True), 3, 2, 1) for k, v in self.lengths.items()}
+            if len(p) > 4:
+                self.lengths.setdefault(p[:4], []).append(-len(p))
+        self.lengths = {k: tuple(sorted(set(v))) for k, v in self.lengths.items()}
+        self.sizes = [*map(len, self.pieces)]
+        self.starts: dict[str, tuple[int, ...]] = {}
         self.singles = all(c in self.ids for c in self.known)
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         # a text may be cut where no piece reaches across: before a blank that follows something else, around characters that
@@ -120,20 +150,11 @@ class Model(Pieces):
         inner = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids)
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in self.known)
         joined = "".join(re.escape(c) for c in sorted({p[0] for p in self.inside if p[1] in STOPS and p[0].isalnum()}))
-        word = f"{BLANK}*[^\\W_{joined}]+(?=[{re.escape(STOPS)}])|"
+        word = f"{BLANK}*+[^\\W_{joined}]++(?=[{re.escape(STOPS)}])|"
         self.cut = re.compile(r"(?s).+" if inner else f"{word}[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{word}{BLANK}*[^{BLANK}]+|{BLANK}+")
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}     # by left piece * pieces + right piece
         self.grown: dict[int, tuple[list[tuple[float, str, str]], bool]] = {}
-        self.paths: dict[str, list[int]] = {}
-        self.held = 0
-
-    def remember(self, segment: str, path: list[int]) -> None:
-        if len(segment) <= 64:
-            if len(self.paths) >= REMEMBERED or self.held >= REMEMBERED_CHARS:
-                self.paths.clear()
-                self.held = 0
-            self.paths[segment] = path
-            self.held += len(segment)
+        self.paths = Paths(self.path)
 
     def normalised(self, text: str) -> str:
         if self.squeeze:
@@ -141,33 +162,25 @@ class Model(Pieces):
         return (BLANK if self.prefix and text else "") + text.replace(" ", BLANK)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        paths = self.paths
-        for segment in self.cut.findall(self.normalised(text)):
-            path = paths.get(segment)
-            if path is None:
-                path = self.path(segment)
-                self.remember(segment, path)
-            out += path
-        return out
+        return list(chain.from_iterable(map(self.paths.__getitem__, self.cut.findall(self.normalised(text)))))
 
     def path(self, segment: str) -> list[int]:
         """Shortest path of a segment, between places that no piece reaches across."""
+        if self.kind == BPE and len(segment) <= SHORT and self.known.issuperset(segment):
+            return self.only(segment)
         out, at = [], 0
         for end in range(1, len(segment) + 1):
             if end == len(segment) or segment[end - 1:end + 1] not in self.inside:
-                run = segment[at:end]
-                path = self.paths.get(run)
-                if path is None:
-                    if run[0] not in self.known:
-                        path = self.fallback(run)
-                    else:
-                        path = self.least(run) if self.kind == UNIGRAM else self.only(run)
-                    self.remember(run, path)
-                out += path
+                out += self.run(segment) if end - at == len(segment) else self.paths[segment[at:end]]
                 at = end
         return out
 
+    def run(self, run: str) -> list[int]:
+        """Shortest path of a segment that some piece may reach across at each place."""
+        if run[0] not in self.known:
+            return self.fallback(run)
+        return self.least(run) if self.kind == UNIGRAM else self.only(run)
+
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "replace")] if len(self.bytes) == 256 else [self.unknown]
 
@@ -199,25 +212,30 @@ class Model(Pieces):
         """
         if BLANK + BLANK in run or not (self.singles or all(c in self.ids for c in run)):
             return self.merged(run)
-        ids, lengths, fits, n = self.ids, self.lengths, self.fits, len(run)
+        ids, sizes, starts, fits, many, n = self.ids, self.sizes, self.starts, self.fits, len(self.pieces), len(run)
         path: list[int] = []
         ends, dead, at, last, below = [0], set(), 0, -1, self.longest + 1
         while at < n:
-            for size in lengths.get(run[at:at + 4], (3, 2, 1)):
-                end = at + size
-                if size < below and end <= n and end not in dead:
-                    i = ids.get(run[at:end])
-                    if i is not None:
-                        fit = fits.get((last, i))
-                        if fit is None:
-                            if len(fits) >= REMEMBERED_PAIRS:
-                                fits.clear()
-                            fit = fits[last, i] = self.stays(last, i)
-                        if fit:
-                            path.append(i)
-                            ends.append(end)
-                            at, last, below = end, i, self.longest + 1
-                            break
+            key = run[at:at + 4]
+            left = last * many
+            for i in starts.get(key) or self.start(key):
+                if i < 0:
+                    i = ids.get(run[at:at - i])
+                    if i is None:
+                        continue
+                size = sizes[i]
+                if size < below and at + size not in dead:
+                    fit = fits.get(left + i)
+                    if fit is None:
+                        if len(fits) >= REMEMBERED_PAIRS:
+                            fits.clear()
+                        fit = fits[left + i] = self.stays(last, i)
+                    if fit:
+                        path.append(i)
+                        at += size
+                        ends.append(at)
+                        last, below = i, self.longest + 1
+                        break
             else:
                 if not path:
                     return self.merged(run)
@@ -227,6 +245,14 @@ class Model(Pieces):
                 last = path[-1] if path else -1
         return path
 
+    def start(self, key: str) -> tuple[int, ...]:
+        """For the next four characters: negative lengths of the longer pieces that begin so, then the pieces within, longest first."""
+        if len(self.starts) >= REMEMBERED_STARTS:
+            self.starts.clear()
+        within = [self.ids.get(key[:size]) for size in range(len(key), 0, -1)]
+        self.starts[key] = out = (*self.lengths.get(key, ()), *[i for i in within if i is not None])
+        return out
+
     def stays(self, a: int, b: int) -> bool:
         """Whether piece b after piece a (-1: none) weighs 0, as merging both texts by rank leaves the two.
 
@@ -309,7 +335,7 @@ def compiled(data: bytes, kind: type[Pieces] = Model) -> Pieces:
 
 def id_lists(parts: list[list[int]]) -> pa.Array:
     offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    flat = np.fromiter((i for p in parts for i in p), np.int32, int(offsets[-1]))
+    flat = np.fromiter(chain.from_iterable(parts), np.int32, int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 

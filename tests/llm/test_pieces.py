@@ -63,3 +63,18 @@ def test_unigram_takes_the_cheapest_path():
         assert [model.pieces[i] for i in ids] and "".join(model.pieces[i] for i in ids) == run
         assert sum(-scores[model.pieces[i]][0] for i in ids) == pytest.approx(best(run)[0])
     assert model.encode("c") == [1, 0] and model.decode(model.encode("ab a")) == "ab a"
+
+
+@given
+def test_a_common_segment_is_found_once(monkeypatch):
+    """Its path stays when rare ones fill the room for paths; ids and room are as before."""
+    monkeypatch.setattr(pieces, "REMEMBERED", 8)
+    data = open(MODEL, "rb").read()
+    model, fresh, seen = pieces.Model(data), pieces.Model(data), []
+    only = model.only
+    model.only = lambda run: seen.append(run) or only(run)
+    for n in range(40):
+        text = f"the {'word' * (n % 3)}ing{n} Thation ²x the 執日本 ​{n}"
+        assert model.encode(text) == fresh.merged(fresh.normalised(text))
+        assert len(model.paths) + len(model.paths.old) <= 8
+    assert sum(run in ("the", "▁the") for run in seen) <= 2
