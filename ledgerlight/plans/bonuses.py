@@ -77,7 +77,8 @@ def in_sales_bonus(offices=SALES_OFFICES, extra_agents=()) -> Column:
 
 
 def sales_bonus(kpis: DataFrame, bonuses: DataFrame, net: DataFrame, targets: DataFrame, agents: DataFrame,
-                first: str, last: str, offices=SALES_OFFICES, extra_agents=(), access: Column | None = None) -> DataFrame:
+                first: str, last: str, offices=SALES_OFFICES, extra_agents=(), access: Column | None = None,
+                ordered: bool = True) -> DataFrame:
     """Multiplier by FTD100 count, half weight below the full amount, target and amount bonus.
 
     Agents take part with at least one FTD100 client or a target above one; a missing target counts as one.
@@ -97,15 +98,15 @@ def sales_bonus(kpis: DataFrame, bonuses: DataFrame, net: DataFrame, targets: Da
     basic = F.when(ok, F.col("ftd100_full_count") * multiplier + F.col("ftd100_half_count") * multiplier / 2).otherwise(0.0)
     hit = F.when(ok, tiers.target_bonus(count, target)).otherwise(0)
     amount = F.when(ok, F.col("ftd_amount_bonus")).otherwise(0)
-    return rows.select(
+    out = rows.select(
         "agent_id", F.coalesce("office_name", F.lit("N/A")).alias("office_name"),
         F.coalesce("agent_name", "full_name", F.lit("N/A")).alias("agent_name"), target, F.col("ftc").alias("ftc_count"),
         "ftd100_count", "ftd100_full_count", "ftd100_half_count", F.col("net_usd").alias("ftc_net_usd"),
         "total_sales_net", round_even(basic, 2).alias("basic_bonus"), hit.alias("sales_target_bonus"),
         amount.alias("ftd_amount_bonus"), round_even(basic + hit + amount, 2).alias("total_sales_bonus"),
         round_even(count / target, 6).alias("target_pct"), multiplier.alias("multiplier"),
-        F.coalesce("status", F.lit("")).alias("status"),
-    ).orderBy(F.asc_nulls_last("office_name"), F.desc("ftd100_count"), "agent_name")
+        F.coalesce("status", F.lit("")).alias("status"))
+    return out.orderBy(F.asc_nulls_last("office_name"), F.desc("ftd100_count"), "agent_name") if ordered else out
 
 
 def first_ftd(money: DataFrame) -> DataFrame:

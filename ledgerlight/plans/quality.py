@@ -67,17 +67,29 @@ def labelled(check: str, context: Column, value: Column, placeholders=("", "N/A"
 
 def minimum_rows(df: DataFrame, report: str, section: str, least: int) -> DataFrame:
     """Q3: a warning when the frame holds fewer rows."""
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    return unfold(n, report, section, [result(
-        "min_rows", F.lit("All rows"), verdict(F.col("n") >= least, WARN), F.lit(f"at least {least} rows"), F.lit(least), F.col("n"))])
+    return unfold(df.agg(row_count()), report, section, [enough_rows(least)])
+
+
+def row_count() -> Column:
+    return F.count(F.lit(1)).alias("n")
+
+
+def enough_rows(least: int) -> Column:
+    return result("min_rows", F.lit("All rows"), verdict(F.col("n") >= least, WARN), F.lit(f"at least {least} rows"), F.lit(least), F.col("n"))
 
 
 def coverage(df: DataFrame, report: str, section: str, condition: Column, least: float = 0.8) -> DataFrame:
     """Q7: share of rows that satisfy the condition."""
-    share = df.agg((F.count_if(condition) / F.count(F.lit(1))).alias("share"))
-    return unfold(share, report, section, [result(
-        "coverage", F.lit("All rows"), verdict(F.col("share") >= least, WARN), F.lit(f"share of rows at least {least}"),
-        F.lit(least), F.round("share", 4))])
+    return unfold(df.agg(share_of(condition)), report, section, [covered(least)])
+
+
+def share_of(condition: Column) -> Column:
+    return (F.count_if(condition) / F.count(F.lit(1))).alias("share")
+
+
+def covered(least: float) -> Column:
+    return result("coverage", F.lit("All rows"), verdict(F.col("share") >= least, WARN), F.lit(f"share of rows at least {least}"),
+                  F.lit(least), F.round("share", 4))
 
 
 def expected_groups(df: DataFrame, report: str, section: str, column: str, groups: list[str]) -> DataFrame:
@@ -227,14 +239,19 @@ def check_aging(rows: DataFrame) -> DataFrame:
         result("pct_range", who, verdict(F.col("pct_std").between(0, 100) & F.col("traders_pct").between(0, 100)), F.lit("percentages within 0 and 100"))])
 
 
-def check_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
-    """Q6, Q10: part sums against grand totals of another report, one row each."""
+def check_totals(rows: DataFrame, totals: DataFrame, condition: Column, least: int, share: float = 0.8) -> DataFrame:
+    """Q3, Q7 on the whole scoreboard, and Q6, Q10: its sums against grand totals of another report, one row each.
+
+    All come from one aggregate, so the scoreboard is computed once for them.
+    """
     from ledgerlight.plans.scoreboards import one_row
-    parts = rows.agg(F.sum("ftc").alias("p_ftc"), F.sum("ftd_count").alias("p_ftd"))
+    parts = rows.agg(F.sum("ftc").alias("p_ftc"), F.sum("ftd_count").alias("p_ftd"), row_count(), share_of(condition))
     both = one_row(rows.sparkSession, parts, totals.select("grand_ftc", "grand_ftd"))
-    return unfold(both, "Performance", "Totals", [
-        at_most("agents_up_to_grand_ftc", F.lit("Grand Total"), F.col("p_ftc"), F.col("grand_ftc")),
-        at_most("agents_up_to_grand_ftd", F.lit("Grand Total"), F.col("p_ftd"), F.col("grand_ftd"))])
+    sums = [at_most("agents_up_to_grand_ftc", F.lit("Grand Total"), F.col("p_ftc"), F.col("grand_ftc")),
+            at_most("agents_up_to_grand_ftd", F.lit("Grand Total"), F.col("p_ftd"), F.col("grand_ftd"))]
+    named = [("Sales", r) for r in (enough_rows(least), covered(share))] + [("Totals", r) for r in sums]
+    return (both.select(F.explode(F.array(*[F.struct(F.lit(s).alias("section"), r.alias("r")) for s, r in named])).alias("one"))
+            .select(F.lit("Performance").alias("report"), "one.section", "one.r.*").select(*COLUMNS))
 
 
 def office_totals(rows: DataFrame, value: str) -> DataFrame:

@@ -87,8 +87,11 @@ def _agents_with(agents: DataFrame, measures: DataFrame, where: Column, spec: di
 
 def sales_scoreboard(kpis: DataFrame, clients: DataFrame, targets: DataFrame, agents: DataFrame, first: str,
                      last: str, scores: DataFrame | None = None, access: Column | None = None,
-                     active_only: bool = True, ftd100: DataFrame | None = None) -> DataFrame:
-    """R1 / R4 rows: active conversion agents with FTC, target, FTD100, net, FTD and the last day's figures."""
+                     active_only: bool = True, ftd100: DataFrame | None = None, ordered: bool = True) -> DataFrame:
+    """R1 / R4 rows: active conversion agents with FTC, target, FTD100, net, FTD and the last day's figures.
+
+    Sorting by range computes the rows twice, once to sample them; callers that only count or test them need no order.
+    """
     frames = [kpi_measures(kpis, first, last), targets,
               ftd100 if ftd100 is not None else ftd100_measures(clients, first, last)]
     if scores is not None:
@@ -106,7 +109,7 @@ def sales_scoreboard(kpis: DataFrame, clients: DataFrame, targets: DataFrame, ag
         "daily_ftd", F.col("daily_ftd_usd").alias("daily_ftd_amount"), "daily_ftc", "daily_net",
         F.coalesce("status", F.lit("")).alias("status"),
         *(["avg_score", "daily_avg_score"] if scores is not None else []))
-    return out.orderBy(F.asc_nulls_last("office_name"), F.desc("ftc"), "agent_name")
+    return out.orderBy(F.asc_nulls_last("office_name"), F.desc("ftc"), "agent_name") if ordered else out
 
 
 def company_gap(rows: DataFrame, company_targets: DataFrame, first: str) -> DataFrame:

@@ -56,3 +56,16 @@ def test_groups_rows_and_coverage(spark):
 def test_key_diff(spark):
     a, b = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     assert rows(compare.key_diff(a, b, ["k"]), "k", "side") == [(1, "missing"), (3, "extra")]
+
+
+def test_whole_scoreboard_checks_in_one_aggregate(spark):
+    """Least rows, coverage and totals as one by one, from one aggregate of the scoreboard."""
+    rows = spark.createDataFrame([(1, 2, 0), (3, None, 5), (None, 4, None)], "ftc long, ftd_count long, target_ftc long")
+    totals = spark.createDataFrame([(4, 5)], "grand_ftc long, grand_ftd long")
+    for df in (rows, rows.where("ftc IS NULL")):
+        got = q.check_totals(df, totals, F.col("target_ftc") > 0, 3, 0.5)
+        alone = q.minimum_rows(df, "Performance", "Sales", 3).unionByName(q.coverage(df, "Performance", "Sales", F.col("target_ftc") > 0, 0.5))
+        assert sorted(got.where("section = 'Sales'").collect(), key=str) == sorted(alone.collect(), key=str)
+        assert got.columns == alone.columns
+    status = {r.check_name: r.status for r in q.check_totals(rows, totals, F.col("target_ftc") > 0, 3, 0.5).where("section = 'Totals'").collect()}
+    assert status == {"agents_up_to_grand_ftc": "PASS", "agents_up_to_grand_ftd": "FAIL"}
