@@ -30,6 +30,17 @@ class Domain(Tables):
     def volume(self) -> DataFrame:
         return views.volume_stats(self.deals, self.positions, self.bridge, self.accounts, self.agents, floor_day=None)
 
+    @cached_property
+    def range_kpis(self) -> DataFrame:
+        """V1 for reports that tell the last day of FIRST to LAST from the others and no more."""
+        return views.daily_kpis(self.money, self.accounts, self.agents, span=(FIRST, LAST))
+
+    @cached_property
+    def range_volume(self) -> DataFrame:
+        """V2 for the same reports."""
+        return views.volume_stats(self.deals, self.positions, self.bridge, self.accounts, self.agents, floor_day=None,
+                                  span=(FIRST, LAST))
+
     @cached_property
     def traders(self) -> DataFrame:
         return views.retention_traders(self.volume)

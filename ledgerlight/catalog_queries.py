@@ -92,13 +92,13 @@ def R1_restricted_totals(d: Domain):
 
 
 def _activity(d: Domain):
-    return sb.trading_activity(d.volume, d.accounts, FIRST, LAST, LIVE)
+    return sb.trading_activity(d.range_volume, d.accounts, FIRST, LAST, LIVE)
 
 
 @query
 def R2_retention_scoreboard(d: Domain):
     return sb.retention_scoreboard(
-        d.kpis, sb.month_targets(d.targets, FIRST), sb.activity_measures(_activity(d)), d.std,
+        d.range_kpis, sb.month_targets(d.targets, FIRST), sb.activity_measures(_activity(d)), d.std,
         sb.rdp_by_agent(d.money, d.accounts, FIRST, LAST), d.agents, d.dept_history, FIRST, LAST)
 
 
@@ -118,7 +118,7 @@ def R4_daily_monthly_sales(d: Domain):
 @query
 def R5_daily_monthly_retention(d: Domain):
     return sb.retention_scoreboard(
-        d.kpis, sb.month_targets(d.targets, FIRST), sb.activity_measures(_activity(d)), d.std,
+        d.range_kpis, sb.month_targets(d.targets, FIRST), sb.activity_measures(_activity(d)), d.std,
         sb.rdp_by_agent(d.money, d.accounts, FIRST, LAST), d.agents, d.dept_history, FIRST, LAST,
         loads=sb.load_measures(sb.deposit_flags(d.money, d.accounts, FIRST, LAST)))
 

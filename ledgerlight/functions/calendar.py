@@ -64,6 +64,17 @@ def progress(first: str, last: str, today: str, holidays: DataFrame) -> dict[str
             "wd_in_range": in_range, "target_ratio": ratio}
 
 
+def last_or_first(day: Column, first: str, last: str) -> Column:
+    """Days of a range as a report on it tells them apart: `last` itself, `first` for all others."""
+    a, z = F.lit(first).cast("date"), F.lit(last).cast("date")
+    return F.when(day == z, z).otherwise(a)
+
+
+def day_in_range(day: Column, first: str, last: str) -> Column:
+    """The same for any day, NULL outside the range."""
+    return F.when(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")), last_or_first(day, first, last))
+
+
 def period_start(at: Column, period: str) -> Column:
     """First day of the day, month or year."""
     return F.to_date(at) if period == "day" else F.trunc(at, period).cast("date")

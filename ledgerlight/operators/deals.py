@@ -21,18 +21,21 @@ def _exits(deals: DataFrame) -> DataFrame:
                  F.max(F.when(F.col("notional") > 0, 1).otherwise(0)).alias("has_notional")))
 
 
-def matched_rows(deals: DataFrame, opened: Column, name: str, first_entry_only: bool = False) -> DataFrame:
+def matched_rows(deals: DataFrame, opened: Column, name: str, first_entry_only: bool = False,
+                 within: Column | None = None) -> DataFrame:
     """Exits of a (position, source, login) with the entries of one opening moment: notional, pairs and whether any notional is positive.
 
     `opened` is the grain of the entry time. `first_entry_only` dates an exit by the earliest entry of its
-    position instead of counting it once per entry. An opening moment of a login may have several rows, for callers that add up.
+    position instead of counting it once per entry. `within` tests the time an exit is dated by. An opening moment of a
+    login may have several rows, for callers that add up.
     """
+    within = F.lit(True) if within is None else within
     entries = deals.where(F.col("entry") == 0)
     if first_entry_only:
-        entries = (entries.groupBy(*MATCH).agg(F.min("open_time").alias("open_time"))
+        entries = (entries.groupBy(*MATCH).agg(F.min("open_time").alias("open_time")).where(within)
                    .select(*MATCH, opened.alias(name), F.lit(1).cast("bigint").alias("entries")))
     else:
-        entries = entries.groupBy(*MATCH, opened.alias(name)).agg(F.count(F.lit(1)).alias("entries"))
+        entries = entries.where(within).groupBy(*MATCH, opened.alias(name)).agg(F.count(F.lit(1)).alias("entries"))
     return _exits(deals).join(entries, MATCH).select(
         "login", name, (F.col("notional") * F.col("entries")).alias("notional"),
         (F.col("exits") * F.col("entries")).alias("pairs"), "has_notional")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerlight.functions import money as m, tiers
+from ledgerlight.functions import calendar as cal, money as m, tiers
 from ledgerlight.operators import deals as dl, keyed
 
 FULL_AMOUNT = 240            # fixed value: FTD100 client counted in full from this amount
@@ -32,18 +32,23 @@ def money_by_account_day(money: DataFrame, where: Column | None = None, bonus_co
 
 
 def daily_kpis(money: DataFrame, accounts: DataFrame, agents: DataFrame | None,
-               account_filter: Column | None = None, bonus_comments: bool = True) -> DataFrame:
+               account_filter: Column | None = None, bonus_comments: bool = True,
+               span: tuple[str, str] | None = None) -> DataFrame:
     """V1: (agent, transaction day, qualification day) with net, deposits, withdrawals, FTD and FTC.
 
     FTC is the count of distinct accounts within each such cell. `agents` None leaves test agents in;
-    `account_filter` and `bonus_comments=False` give the filtered form of the reports.
+    `account_filter` and `bonus_comments=False` give the filtered form of the reports. `span` (first and last day of
+    a report) adds up the cells of days that the report does not tell apart, see cal.day_in_range.
     """
+    def told(day: Column) -> Column:
+        return cal.day_in_range(day, *span) if span else day
+
     acc = accounts.where(m.real_account())
     if account_filter is not None:
         acc = acc.where(account_filter)
-    acc = acc.select("account_id", F.to_date("qualified").alias("qual_date"))
+    acc = acc.select("account_id", told(F.to_date("qualified")).alias("qual_date"))
     out = (money_by_account_day(money, bonus_comments=bonus_comments).join(acc, "account_id")
-           .groupBy(F.col("owner").alias("agent_id"), "tx_date", "qual_date")
+           .groupBy(F.col("owner").alias("agent_id"), told(F.col("tx_date")).alias("tx_date"), "qual_date")
            .agg(F.sum(F.col("deposit_usd") - F.col("withdrawal_usd")).cast("decimal(28,4)").alias("net_usd"),
                 F.sum("deposit_usd").cast("decimal(28,4)").alias("deposit_usd"),
                 F.sum("withdrawal_usd").cast("decimal(28,4)").alias("withdrawal_usd"),
@@ -58,15 +63,20 @@ def daily_kpis(money: DataFrame, accounts: DataFrame, agents: DataFrame | None,
 
 
 def traded_notional(deals: DataFrame, positions: DataFrame, floor_day: str | None,
-                    first_entry_only: bool = False) -> DataFrame:
+                    first_entry_only: bool = False, span: tuple[str, str] | None = None) -> DataFrame:
     """(login, opening day) notional of open positions and of closed deals dated by their entry.
 
     Both are added up together, once: a task then holds one table of sums and not one for each side and for both.
+    `span` (first and last day of a report) leaves out other days and adds up those that the report does not tell
+    apart, see cal.last_or_first: entries and sums are then few for a position or login, however long the report's range.
     """
-    opened = F.to_date("open_time")
+    opened, within = F.to_date("open_time"), None
+    if span:
+        opened, within = cal.last_or_first(opened, *span), m.between_days("open_time", *span)
+        positions = positions.where(within)
     pos = positions.select("login", opened.alias("open_date"), "notional",
                            F.when(F.col("notional") > 0, 1).otherwise(0).alias("has_notional"))
-    closed = dl.matched_rows(deals, opened, "open_date", first_entry_only).select(pos.columns)
+    closed = dl.matched_rows(deals, opened, "open_date", first_entry_only, within).select(pos.columns)
     both = pos.unionByName(closed)
     if floor_day:
         both = both.where(F.col("open_date") >= F.lit(floor_day).cast("date"))
@@ -84,11 +94,12 @@ def login_accounts(bridge: DataFrame, accounts: DataFrame, live_only: bool = Fal
 
 
 def volume_stats(deals: DataFrame, positions: DataFrame, bridge: DataFrame, accounts: DataFrame,
-                 agents: DataFrame, floor_day: str | None, first_entry_only: bool = False) -> DataFrame:
-    """V2: (agent, account, opening day) notional and whether any of it is positive."""
+                 agents: DataFrame, floor_day: str | None, first_entry_only: bool = False,
+                 span: tuple[str, str] | None = None) -> DataFrame:
+    """V2: (agent, account, opening day) notional and whether any of it is positive; `span` as in traded_notional."""
     owners = login_accounts(bridge, accounts.select("account_id", "assigned_to", "is_test"))
     names = agents.select(*PICK_AGENT)
-    return (traded_notional(deals, positions, floor_day, first_entry_only)
+    return (traded_notional(deals, positions, floor_day, first_entry_only, span)
             .join(owners.select("login", "account_id", F.col("assigned_to").alias("agent_id")), "login")
             .groupBy("agent_id", "account_id", "open_date")
             .agg(F.sum("notional").cast("decimal(28,4)").alias("notional_usd"),
@@ -151,7 +162,8 @@ def second_deposit_clients(money: DataFrame, accounts: DataFrame, threshold=STD_
     deposits = money.where(m.valid_money(m.MONEY_IN)).select("account_id", "confirmed", "money_id", "usd")
     acc = accounts.where(m.real_account()).select("account_id", "assigned_to")
     crossed = keyed.first_crossing(deposits, ["account_id"], "confirmed", "money_id", "usd", threshold, piece_rows=piece_rows)
-    reached = crossed.join(acc, "account_id")
+    # all uses of the crossings read their time, also where it is dropped later: Spark then computes them once
+    reached = crossed.where("crossed_at IS NOT NULL").join(acc, "account_id")
     later = keyed.first_after(deposits, reached.select("account_id", "crossed_at"), ["account_id"], "confirmed", "crossed_at",
                               "second_deposit_at")
     return reached.join(later, "account_id", "left").select(

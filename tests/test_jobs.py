@@ -50,6 +50,40 @@ def test_second_deposit(spark):
     assert got == [(1, 0, None), (2, 0, None), (3, 1, datetime(2024, 3, 1, 10, 9))]
 
 
+def test_range_reports_do_not_keep_every_day(spark):
+    """R5's figures from views of two days, the last and one for the others, are those from views of all days."""
+    first, last, n = "2024-03-01", "2024-03-20", 40
+    days = [ts("2024-02-20 23:00:00") + timedelta(days=k) for k in range(n)] + [None]
+    m = frame(spark, "money", [
+        dict(money_id=k, account_id=a, approval="Approved", type=t, usd=Decimal(k + 1), confirmed=at, owner=o, ftd=k % 2, deleted=0)
+        for k, at in enumerate(days) for a, t, o in ((1, "Deposit", 1), (2, "Withdrawal", 2), (2, "Deposit", None)) for _ in range(1 + k % 2)])
+    a = frame(spark, "accounts", [
+        dict(account_id=i, is_test=0, assigned_to=i, score=7, qualified=q and ts(q)) for i, q in ((1, f"{last} 23:59:59"), (2, None), (3, "2024-03-02 00:00:00"))])
+    agents = frame(spark, "agents", [dict(agent_id=1, agent_name="A"), dict(agent_id=2, agent_name="B"), dict(agent_id=2, agent_name="B2")])
+    bridge = frame(spark, "bridge", [dict(bridge_id=i, account_id=i % 4, login=str(i), deleted=0) for i in range(1, 7)])
+    close = ts("2024-04-30 00:00:00")
+    deals = frame(spark, "deals", [
+        dict(source="S", login=1 + k % 3, position_id=p, entry=e, open_time=at, close_time=close, notional=Decimal(10 * k - 50))
+        for k, at in enumerate(days) for p, e in ((None, 0), (k % 5, 0), (k % 5, 1), (k % 2, 0))])
+    positions = frame(spark, "positions", [
+        dict(position_id=k, login=4 + k % 2, open_time=at, notional=Decimal(v)) for k, at in enumerate(days) for v in ((0, 5) if k % 3 else (-1,))])
+
+    def both(make):
+        full, short = make(), make(span=(first, last))
+        assert full.count() > 2 * short.count() and set(full.columns) == set(short.columns)
+        return full, short
+
+    full, short = both(lambda **k: views.daily_kpis(m, a, agents, **k))
+    want = sb.kpi_measures(full, first, last)
+    assert rows(sb.kpi_measures(short, first, last), *want.columns) == rows(want, *want.columns)
+    for first_entry_only in (False, True):
+        full, short = both(lambda **k: views.volume_stats(deals, positions, bridge, a, agents, None, first_entry_only, **k))
+        assert {r.open_date.isoformat() for r in short.collect()} == {first, last}
+        want = sb.trading_activity(full, a, first, last, last)
+        assert want.where("traded").count() and want.where("today").count()
+        assert rows(sb.trading_activity(short, a, first, last, last), *want.columns) == rows(want, *want.columns)
+
+
 def test_daily_kpis_counts(spark):
     ftd = dict(ftd=1, owner=1)
     m = money(spark, [(1, 0, "Deposit", 10, ftd), (1, 5, "Deposit", 10, ftd), (1, 1500, "Deposit", 10, ftd), (2, 0, "Withdrawal", 4, dict(owner=1, ftd=1)),

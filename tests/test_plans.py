@@ -57,6 +57,13 @@ def test_traded_notional_is_added_up_once(spark):
     assert plan(views.traded_notional(d.deals, d.positions, None)).count("HashAggregate(keys=[login") == 2   # partial and final
 
 
+def test_crossings_of_second_deposits_are_computed_once(spark):
+    """All three reads of the crossings end in the same aggregate, so that Spark shares its exchange."""
+    d = Domain(spark, FOLDER)
+    text = plan(views.second_deposit_clients(d.money, d.accounts).drop("second_deposit_at"))
+    assert "HashAggregate(keys=[account_id" in text and not re.search(r"keys=\[account_id#\d+L\], functions=\[\]", text)
+
+
 def test_top_k_is_not_a_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(Domain(spark, FOLDER).money.orderBy(F.desc("usd"), "money_id").limit(5))
 
